@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .near_dedup import op2_near_dedup
+from .pii import op3_pii
+from .secrets import op10_secrets
 
-_ALL = [op2_near_dedup]
+_ALL = [op1_language_id, op2_near_dedup, op3_pii, op10_secrets]
 ORACLE: dict[str, str] = {}
 
 
