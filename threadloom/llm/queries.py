@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
 from .language_id import op1_language_id
+from .mixing import op4_mixing
 from .near_dedup import op2_near_dedup
 from .pii import op3_pii
 from .secrets import op10_secrets
 
-_ALL = [op1_language_id, op2_near_dedup, op3_pii, op10_secrets]
+_ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op10_secrets]
 ORACLE: dict[str, str] = {}
 
 
