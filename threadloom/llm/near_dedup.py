@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lsh import PLANES, Banding, distinct, linked_components, sets_match, signatures
-from .shared import stage
+from .shared import small, stage
 from .textkit import LANE, U64, Slice, buffers, mix, run_hashes, signed, slices
 
 SHINGLE = 5
@@ -91,3 +91,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, that near-duplicate grouping keeps: one of each group, the least doc_id.
+
+    Rows that repeat a doc_id are one document; of these the least text stays. Ids are compared, texts stay where they are.
+    """
+    verdict = stage(near_duplicates(docs).select("doc_id", "kept"), "verdicts")
+    gone = stage(verdict.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    twice = stage(verdict.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if not (n := twice.count()):
+        return left
+    once = left.join(small(twice, n), "doc_id", "left_anti").select(*docs.columns)
+    least = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", *(c for c in docs.columns if c not in ("doc_id", "text")))])
+    again = left.join(small(twice, n), "doc_id", "left_semi").withColumn("_least_rank", F.row_number().over(least)).filter("_least_rank = 1").select(*docs.columns)
+    return once.union(again)

@@ -201,3 +201,34 @@ def _merge(base, added):
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _masked(text: str, added) -> str:
+    spans = [(s, e, k) for k, found in base_spans(text).items() for s, e in found]
+    spans += [(a["s"], a["e"], a["kind"]) for a in added or ()]
+    parts, last = [], 0
+    for s, e, kind in sorted(spans):
+        if s >= last:
+            parts += [text[last:s], f"<{kind.upper()}>"]
+        last = max(last, e)
+    return "".join([*parts, text[last:]])
+
+
+def without_personal_data(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, with every span in the text replaced by its kind; ``n_chars`` follows if there is one."""
+    added = stage(bootstrap(scan(docs)).groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("_added")), "added")
+    key = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_pii_h")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("_pii_n"))
+    rows = docs.join(small(added, added.count()), key, "left").select(*docs.columns, "_pii_added")
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            texts = [t if t is None else _masked(t, a) for t, a in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist())]
+            cols = list(batch.columns[:-1])
+            cols[at] = pa.array(texts, pa.string())
+            if size is not None:
+                cols[size] = pa.array([len(t) if t is not None else n for t, n in zip(texts, batch.column(size).to_pylist())], cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
+
+    docs_columns = docs.columns
+    return rows.mapInArrow(run, docs.schema)

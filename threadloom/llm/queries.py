@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
 from .fingerprints import op5_fingerprints
 from .language_id import op1_language_id
 from .mixing import op4_mixing
@@ -10,7 +11,7 @@ from .pii import op3_pii
 from .secrets import op10_secrets
 from .toxicity import op6_toxicity
 
-_ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op6_toxicity, op10_secrets]
+_ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op6_toxicity, op8_decontaminate, op10_secrets]
 ORACLE: dict[str, str] = {}
 
 

@@ -305,3 +305,20 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without_toxic(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """The rows of ``docs``, all their columns, that the scorer does not call toxic; filtered batch by batch."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if scorer is None or not batch.num_rows:
+                yield batch
+                continue
+            scorer.ready()
+            doc, term, tf = scorer.vocabulary.counts(*buffers(batch.column(at)))
+            best, which = scorer.index.search(doc, term, unit_rows(doc, term, tf, scorer.idf, batch.num_rows), batch.num_rows, NEIGHBOURS)
+            yield batch.filter(pa.array(scorer.probability(best, which) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
