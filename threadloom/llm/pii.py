@@ -216,7 +216,8 @@ def _masked(text: str, added) -> str:
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with every span in the text replaced by its kind; ``n_chars`` follows if there is one."""
-    added = stage(bootstrap(scan(docs)).groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("_added")), "added")
+    added = stage(bootstrap(scan(docs)).groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("_pii_added")), "added")
+    added = added.select(F.col("h").alias("_pii_h"), F.col("n").alias("_pii_n"), "_pii_added")
     key = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_pii_h")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("_pii_n"))
     rows = docs.join(small(added, added.count()), key, "left").select(*docs.columns, "_pii_added")
     at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
