@@ -5,7 +5,7 @@ more in a document, each level a term of its own. A bounded sample of labelled r
 gives the vocabulary (the ``VOCABULARY`` terms of highest chi-square) and the examples; document frequencies of
 these terms are counted over all documents. Postings lie in blocks of ``BLOCK`` examples with the largest weight of each
 term and block; a block is opened only if its bound reaches the query's k-th best cosine, so the neighbours are
-exact. Votes are weighted by distance and calibrated by a logistic curve fitted to leave-one-out votes, at the class
+exact. Votes are weighted by distance and by the documents that an example stands for, and calibrated by a logistic curve fitted to leave-one-out votes, at the class
 rates of all labelled rows. A document without any known term gets the rate of such examples.
 
 Null and empty texts have no term. Rows whose crc32(doc_id) mod 5 is 0 are never learned from; a null id neither, and
@@ -26,14 +26,18 @@ from .shared import crc_mod, stage, stratified
 from .textkit import LANE, U64, Slice, buffers, mix, signed, slices
 
 PER_CLASS = 3000
-VOCABULARY = 2048
-NEIGHBOURS = 15
+VOCABULARY = 1024
+#: Chi-square (one degree) below which a term isn't held to tell the labels apart.
+LEAST_CHI = 20.0
+NEIGHBOURS = 32
 BLOCK = 128
 PREFIXES = (4, 5, 6, 7, 8, 9)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _NOT_SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
 _BITS = 20
+#: Queries that are searched at a time.
+QUERIES = 1024
 LEVELS = (1, 2, 4)
 
 
@@ -127,19 +131,29 @@ class BlockMaxIndex:
 
     def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and example numbers (n x k, best first; ties by number); cosine 0 and -1 where there are fewer."""
-        weight = weight.astype(np.float32)
         first = np.searchsorted(doc, np.arange(n + 1))
-        full = np.flatnonzero(first[1:] > first[:-1])
         best, which = np.zeros((n, k), np.float32), np.full((n, k), -1)
-        if not len(full) or not self.n:
-            return best, which
-        bound = np.zeros((n, self.blocks), np.float32)
-        bound[full] = np.add.reduceat(self.bound[term] * weight[:, None], first[full], axis=0) * np.float32(1.00001)
+        full = np.flatnonzero(first[1:] > first[:-1])
+        for lo in range(0, len(full) if self.n else 0, QUERIES):
+            rows = full[lo : lo + QUERIES]
+            count = first[rows + 1] - first[rows]
+            at = np.repeat(first[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            query = np.zeros((len(rows), len(self.bound)), np.float32)
+            query[np.repeat(np.arange(len(rows)), count), term[at]] = weight[at]
+            best[rows], which[rows] = self._search(query, k)
+        which[best <= 0] = -1
+        return best, which
+
+    def _search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(query)
+        best, which = np.zeros((n, k), np.float32), np.full((n, k), self.n)
+        bound = (query @ self.bound) * np.float32(1.00001)
 
         def visit(block: int, rows: np.ndarray) -> None:
-            count = first[rows + 1] - first[rows]
-            at = np.repeat(first[rows] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            cosine = np.add.reduceat(self.postings[block][term[at]] * weight[at][:, None], np.concatenate([[0], np.cumsum(count)[:-1]]), axis=0)
+            cosine = query[rows] @ self.postings[block]
+            bound[rows, block] = -1
+            better = cosine.max(1) >= best[rows, k - 1]
+            rows, cosine = rows[better], cosine[better]
             number = np.full(BLOCK, self.n)
             mine = self.rank[block * BLOCK : (block + 1) * BLOCK]
             number[: len(mine)] = mine
@@ -147,17 +161,15 @@ class BlockMaxIndex:
             w = np.concatenate([which[rows], np.broadcast_to(number, cosine.shape)], 1)
             order = np.lexsort((w, -c), axis=1)[:, :k]
             best[rows], which[rows] = np.take_along_axis(c, order, 1), np.take_along_axis(w, order, 1)
-            bound[rows, block] = -1
 
         for _ in range(2):  # each query's most promising blocks first, for a threshold
-            pick = bound[full].argmax(1)
+            pick = bound.argmax(1)
             for block in np.unique(pick):
-                visit(block, full[pick == block])
+                visit(block, np.flatnonzero(pick == block))
         for block in range(self.blocks):
-            rows = full[(bound[full, block] >= best[full, k - 1]) & (bound[full, block] > 0)]
-            for lo in range(0, len(rows), 512):
-                visit(block, rows[lo : lo + 512])
-        which[best <= 0] = -1
+            rows = np.flatnonzero((bound[:, block] >= best[:, k - 1]) & (bound[:, block] > 0))
+            if len(rows):
+                visit(block, rows)
         return best, which
 
 
@@ -167,9 +179,9 @@ class Scorer:
     idf: np.ndarray
     example: tuple  # doc, term, weight, number of examples
     label: np.ndarray
+    mass: np.ndarray  # labelled documents that an example stands for
     prior: float  # of documents without a neighbour
-    slope: float
-    shift: float
+    curve: np.ndarray
     index: BlockMaxIndex | None = None
 
     def ready(self) -> Scorer:
@@ -178,26 +190,31 @@ class Scorer:
         return self
 
     def probability(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
-        has = which[:, 0] >= 0
-        return np.where(has, 1 / (1 + np.exp(-(self.slope * self.votes(best, which) + self.shift))), self.prior)
+        z = self.evidence(best, which) @ self.curve
+        return np.where(which[:, 0] >= 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
+
+    def evidence(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """What the curve weighs: the vote, how near the neighbours are, and both at once (a far vote says little)."""
+        vote, near = self.votes(best, which), np.log(np.where(which >= 0, best, 0).mean(1) + 0.01)
+        top = np.log(best[:, 0] + 0.01)
+        return np.stack([vote, near, top, vote * near, np.ones(len(vote))], 1)
 
     def votes(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Distance-weighted share of toxic neighbours, as log odds."""
-        w = np.where(which >= 0, 1 / (1.02 - np.clip(best, 0, 1)), 0)
-        toxic = (w * self.label[np.maximum(which, 0)]).sum(1)
-        return np.log((toxic + 0.5) / (w.sum(1) - toxic + 0.5))
+        w = np.where(which >= 0, self.mass[np.maximum(which, 0)] / (1.02 - np.clip(best, 0, 1)), 0)
+        share = (w * self.label[np.maximum(which, 0)]).sum(1) / np.maximum(w.sum(1), 1e-12)
+        return np.log((NEIGHBOURS * share + 0.5) / (NEIGHBOURS * (1 - share) + 0.5))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method with a little ridge."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(30):
+def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients by Newton's method with a little ridge."""
+    beta = np.zeros(a.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        g = a.T @ (weight * (y - p)) - 1e-3 * (beta - [1, 0])
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        g = a.T @ (weight * (y - p)) - 0.05 * beta
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(beta))
         beta = beta + np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(max(beta[0], 0.05)), float(beta[1])
+    return beta
 
 
 def _class_counts(batches):
@@ -241,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms:
     rate = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = stratified(known, "toxic", "doc_id", per_class).withColumnRenamed("doc_id", "key")  # at most 2.5 x per_class rows: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    texts = stage(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("doc_id", "text", "toxic"), "examples")
+    texts = stage(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("doc_id", "text", "toxic").dropDuplicates(["text"]), "examples")  # of copies, one tells all
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 + n0:
@@ -249,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms:
     count = texts.mapInArrow(_class_counts, "term long, level long, pos long, neg long").groupBy("term", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
     p, q = F.col("pos") / max(n1, 1), F.col("neg") / max(n0, 1)
     share = (F.col("pos") + F.col("neg")) / (n1 + n0)
-    chi = count.withColumn("chi", (p - q) * (p - q) / (share * (1 - share) + 1e-6)).orderBy(F.col("chi").desc(), "term", "level").limit(n_terms).select("term", "level").collect()
+    chi = count.withColumn("chi", (p - q) * (p - q) / (share * (1 - share) + 1e-6) * (n1 * n0 / (n1 + n0))).filter(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term", "level").limit(n_terms).select("term", "level").collect()
     vocabulary = Vocabulary(np.array([r["term"] for r in chi], np.int64).view(U64), np.array([r["level"] for r in chi], np.int64))
     df = np.zeros(vocabulary.size)
     for r in docs.select("text").mapInArrow(_frequencies(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
@@ -261,18 +278,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms:
     length = np.array([len(x) for x in got["term"].to_pylist()], np.int64) if n else np.zeros(0, np.int64)
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
     doc, term, tf = np.repeat(np.arange(n), length), flat("term"), flat("tf")
-    scorer = Scorer(vocabulary, idf, (doc, term, unit_rows(doc, term, tf, idf, n), n), label, 0.0, 1.0, 0.0)
+    weight = np.where(label > 0, rate.get(1, 0) / max(n1, 1), rate.get(0, 0) / max(n0, 1))
+    scorer = Scorer(vocabulary, idf, (doc, term, unit_rows(doc, term, tf, idf, n), n), label, weight, 0.0, np.array([1.0, 0, 0, 0, 0]))
     best, which = scorer.ready().index.search(doc, term, scorer.example[2], n, NEIGHBOURS + 1)
     own = which == np.arange(n)[:, None]
     own[~own.any(1), -1] = True
     drop = np.argsort(own, axis=1, kind="stable")[:, :-1]
     best, which = np.take_along_axis(best, drop, 1), np.take_along_axis(which, drop, 1)
     has = which[:, 0] >= 0
-    weight = np.where(label > 0, rate.get(1, 0) / max(n1, 1), rate.get(0, 0) / max(n0, 1))
     lone = weight[~has]
     scorer.prior = float((lone * label[~has]).sum() / lone.sum()) if len(lone) else float(rate.get(1, 0) / max(1, sum(rate.values())))
     if has.any():
-        scorer.slope, scorer.shift = _logistic(scorer.votes(best[has], which[has]), label[has], weight[has] / weight[has].mean())
+        scorer.curve = _logistic(scorer.evidence(best[has], which[has]), label[has], weight[has] / weight[has].mean())
     scorer.index = None
     return scorer
 
