@@ -26,10 +26,11 @@ PLANES = [f"s{k}" for k in range(8)]
 
 @dataclass(frozen=True)
 class Banding:
-    """``lanes`` (64 or 128) minima in bands of ``rows``; sets link at Jaccard >= ``num`` / ``den``."""
+    """``lanes`` (64 or 128) minima, of which ``bands`` bands of ``rows`` make keys; sets link at Jaccard >= ``num`` / ``den``."""
 
     lanes: int = 128
     rows: int = 4
+    bands: int = 32
     num: int = 70
     den: int = 100
 
@@ -53,6 +54,26 @@ def distinct(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
     return key[seg_starts(key)]
 
 
+def minima(value: np.ndarray, at: np.ndarray, lanes: int) -> np.ndarray:
+    """Least permuted value of each set (members from ``at``) in every lane."""
+    x = (value ^ (value >> U64(20))).astype(np.uint32)
+    low = np.empty((len(at), lanes), np.uint32)
+    work = np.empty(len(x), np.uint32)
+    for k in range(lanes):
+        np.multiply(x, _MUL[k], out=work)
+        np.add(work, _ADD[k], out=work)
+        low[:, k] = np.minimum.reduceat(work, at)
+    return low
+
+
+def band_keys(low: np.ndarray, banding: Banding) -> np.ndarray:
+    """Keys of the bands; a band's number is part of its key."""
+    keys = np.zeros((len(low), banding.bands), U64)
+    for r in range(banding.rows):
+        keys += low[:, r : banding.rows * banding.bands : banding.rows].astype(U64) * LANE[r]
+    return mix(keys + LANE[8 : 8 + banding.bands])
+
+
 def signatures(key: np.ndarray, banding: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of ``distinct`` keys: documents that have any, set sizes, set hashes (2), band keys, bit planes."""
     doc = (key >> U64(52)).astype(np.int64)
@@ -60,18 +81,8 @@ def signatures(key: np.ndarray, banding: Banding) -> tuple[np.ndarray, np.ndarra
     docs, sizes = doc[at], np.diff(np.append(at, len(doc)))
     value = key & VALUE
     hashes = np.stack([np.add.reduceat(mix(value * lane), at) for lane in LANE[40:42]], 1)
-    x = (value ^ (value >> U64(20))).astype(np.uint32)
-    low = np.empty((len(at), banding.lanes), np.uint32)
-    work = np.empty(len(x), np.uint32)
-    for k in range(banding.lanes):
-        np.multiply(x, _MUL[k], out=work)
-        np.add(work, _ADD[k], out=work)
-        low[:, k] = np.minimum.reduceat(work, at)
-    n_bands = banding.lanes // banding.rows
-    bands = np.zeros((len(at), n_bands), U64)
-    for r in range(banding.rows):
-        bands += low[:, r :: banding.rows][:, :n_bands].astype(U64) * LANE[r]
-    bands = mix(bands + LANE[8 : 8 + n_bands])
+    low = minima(value, at, banding.lanes)
+    bands = band_keys(low, banding)
     planes = np.zeros((len(at), len(PLANES)), U64)
     for w in range(banding.lanes // 64):
         for b in range(BITS):

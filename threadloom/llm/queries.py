@@ -7,12 +7,13 @@ from .fingerprints import op5_fingerprints
 from .language_id import op1_language_id
 from .mixing import op4_mixing
 from .near_dedup import op2_near_dedup
+from .paragraphs import op9_paragraphs
 from .pii import op3_pii
 from .repeats import op7_repeats
 from .secrets import op10_secrets
 from .toxicity import op6_toxicity
 
-_ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op6_toxicity, op7_repeats, op8_decontaminate, op10_secrets]
+_ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op6_toxicity, op7_repeats, op8_decontaminate, op9_paragraphs, op10_secrets]
 ORACLE: dict[str, str] = {}
 
 
