@@ -1,0 +1 @@
+"""Intent-conditioned retrieval over a semantic topic graph, as Spark DataFrames."""
