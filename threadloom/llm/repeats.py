@@ -34,6 +34,8 @@ SPAN = LENGTH - Q + 1
 LOW = U64((1 << 48) - 1)
 LAST_ID = (1 << 63) - 1
 SEGMENTS_PER_TASK = 16
+#: Parts are sorted one at a time in a task's memory; more of them are smaller.
+PARTS_PER_BUCKET = 6
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -66,7 +68,10 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segment:
-    """Documents with their runs: consecutive window starts whose least 16-gram is the same."""
+    """Documents with their runs: consecutive window starts whose least 16-gram is the same.
+
+    Least hashes crowd near zero; mixed once more, they fill the parts evenly.
+    """
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
@@ -92,7 +97,7 @@ class Segment:
             count = np.diff(np.append(edge, len(least)))
             keep = good[edge]
             start = edge[keep]
-            parts.append((start + base, count[keep], least[start], lo + np.searchsorted(ends, start, "right")))
+            parts.append((start + base, count[keep], mix(least[start]), lo + np.searchsorted(ends, start, "right")))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
         self.start, self.count, self.least, self.doc = (np.concatenate(x) for x in zip(*parts)) if parts else empty
 
@@ -129,7 +134,7 @@ class Segment:
         np.minimum.at(self.least_id, self.of, self.ids[self.doc[self.run]])
 
 
-def _groups(sizes: np.ndarray, most: int = 1 << 20):
+def _groups(sizes: np.ndarray, most: int = 1 << 18):
     """Ranges of entries of about ``most`` bytes."""
     total = np.concatenate([[0], np.cumsum(sizes)])
     lo = 0
@@ -237,8 +242,10 @@ def _mark_strings(key, table):
         owners.append(np.repeat(least, count))
         sizes.append(int(count.sum()))
     value, owner = np.concatenate(ids), np.concatenate(owners)
+    del ids, owners
     order = np.argsort(value)
     value, sorted_owner = value[order], owner[order]
+    del owner
     at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     least = np.repeat(np.minimum.reduceat(sorted_owner, at), np.diff(np.append(at, len(value))))
     flag = np.empty(len(value), bool)
@@ -261,7 +268,7 @@ def removed_bytes(s: Segment, mail: pa.Table, parts: int) -> np.ndarray:
         flag[place[lo] : place[hi]] = np.unpackbits(np.frombuffer(masks[p], np.uint8), count=place[hi] - place[lo]).astype(bool)
     total = len(s.data)
     delta = np.zeros(total + 1, np.int32)
-    for lo, hi in _groups(s.count[s.run], 1 << 21):
+    for lo, hi in _groups(s.count[s.run]):
         run, of = s.run[lo:hi], s.of[lo:hi]
         c = s.count[run]
         step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
@@ -307,7 +314,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 2 * buckets
+    parts = PARTS_PER_BUCKET * buckets
     texts = segmented(docs, buckets)
     marked = texts.groupBy("seg").applyInArrow(_send_buckets(parts), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL)
     marked = stage(marked, "buckets")
