@@ -1,0 +1,335 @@
+"""Each operator against a brute-force version on documents with nulls, empties, long texts, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from fixtures import rows, save, table
+
+from threadloom.llm import decontaminate, fingerprints, language_id, mixing, near_dedup, paragraphs, pii, repeats, secrets, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+class Union:
+    def __init__(self, items):
+        self.up = {i: i for i in items}
+
+    def find(self, x):
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def test_near_duplicates(docs):
+    found = near_dedup.near_duplicates(docs).collect()
+    assert len(found) == docs.count()
+    sets = {}
+    for r in rows():
+        w = WORD.findall((r[1] or "").translate(LOWER))
+        sets[r[0]] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    known = [i for i in sets if i is not None]
+    u = Union(known)
+    for i in known:
+        for j in known:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 70 * len(sets[i] | sets[j]):
+                u.join(i, j)
+    for r in found:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), u.find(r.doc_id), u.find(r.doc_id) == r.doc_id)
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """A group of near copies that all differ, and documents that share a passage without being near: components stay exact."""
+    import random
+
+    from fixtures import words
+
+    rng = random.Random(8)
+    base = words(rng, 60).split()
+    made = []
+    for k in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = f"new{k}"
+        made.append((k, " ".join(w)))
+    shared = words(rng, 40)
+    made += [(1000 + k, shared + " " + words(rng, 60)) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(300)} == {0}
+    assert all(got[1000 + k] == 1000 + k for k in range(300))
+
+
+def test_near_dedup_keeps_one_of_each_group(docs):
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    want = {r.doc_id for r in near_dedup.near_duplicates(docs).collect() if r.kept and r.doc_id is not None}
+    assert {i for i in ids if i is not None} == want and all(n == 1 for i, n in ids.items() if i is not None) and ids[None] == 2
+
+
+def test_repeated_substrings(docs):
+    found = repeats.repeated_substrings(docs).collect()
+    assert len(found) == docs.count()
+    least: dict[bytes, int] = {}
+    last = (1 << 63) - 1
+    made = [(r[0] if r[0] is not None else last, (r[1] or "").encode()) for r in rows()]
+    for i, b in made:
+        for k in range(len(b) - 49):
+            g = b[k : k + 50]
+            least[g] = min(least.get(g, last), i)
+    want = Counter()
+    for i, b in made:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if least[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        spans = sum(1 for k, x in enumerate(gone) if x and (k == 0 or not gone[k - 1]))
+        want[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, y in zip(b, gone) if not y)).hexdigest())] += 1
+    assert Counter((r.doc_id if r.doc_id is not None else last, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == want
+    assert any(r.n_removed for r in found)
+
+
+def test_repeated_paragraphs(docs):
+    found = paragraphs.repeated_paragraphs(docs).collect()
+    assert len(found) == docs.count()
+    text = {r[0]: r[1] or "" for r in rows()}
+    for r in found:
+        spans = [tuple(map(int, s.split(":"))) for s in r.removed.split(",") if s]
+        b, out, at = text[r.doc_id].encode(), b"", 0
+        for lo, hi in spans:
+            out, at = out + b[at:lo], hi
+        assert hashlib.sha256(out + b[at:]).hexdigest() == r.kept_sha256 and len(spans) == r.n_removed
+    by = {r.doc_id: r for r in found}
+    assert by[0].n_removed == 0 and by[47].n_removed == by[47].n_paragraphs > 0  # an exact copy loses every paragraph
+    assert by[40].n_paragraphs == 0 and by[41].n_paragraphs == 0
+
+
+def test_fingerprints(docs):
+    found = fingerprints.fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
+    text = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
+    order = sorted(text, reverse=True)
+    after = dict(zip(order, [*order[1:], order[0]]))
+    prints = {}
+    for r in found:
+        t, n = text[r.doc_id], text[after[r.doc_id]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = (set(fingerprints.digests([x])[1].tolist()) for x in (t, edited, n))
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
+        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+    assert len(found) == len(text)
+
+
+def test_fingerprints_of_repeats_nulls_and_one_row(spark, docs):
+    assert len(fingerprints.fingerprints(docs).collect()) == docs.count()
+    one = fingerprints.fingerprints(spark.createDataFrame([(7, "a b c")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_peeling_retries_until_it_succeeds():
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 500, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+        b = rng.integers(0, 1 << 63, n // 2, dtype=np.int64).astype(np.uint64)
+        assert fingerprints.differences((np.zeros(n, int), a), (np.zeros(n // 2, int), b), 1)[0] == n + n // 2
+
+
+def test_mixing(docs):
+    found = mixing.mix_sources(docs).collect()
+    assert len(found) == docs.count()
+    size = Counter()
+    for r in rows():
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = dict(zip(names, [5.0, 2.0, 1.0, 5.0]))
+    total, capped = sum(size.values()), set()
+    while True:
+        level = (total - sum(3 * size[s] for s in capped)) / sum(weight[s] for s in names if s not in capped)
+        over = {s for s in names if s not in capped and weight[s] * level > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        capped |= over
+    want = {s: 3 * size[s] if s in capped else weight[s] * level for s in names}
+    taken = Counter()
+    source = {r[0]: r[3] for r in rows() if r[0] is not None}
+    for r in found:
+        if r.doc_id is not None:
+            assert r.source_size == size[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
+            taken[source[r.doc_id]] += r.taken
+        assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+    again = mixing.mix_sources(docs.repartition(7)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+
+
+def test_flight_keeps_totals_and_probabilities():
+    rng = np.random.default_rng(3)
+    size = rng.integers(1, 500, 400)
+    hits = np.zeros(400)
+    for seed in range(60):
+        draw, pi = np.random.default_rng(seed), np.full(400, 0.3)
+        mixing.flight(pi, size, draw.random, False)
+        left = (pi > 0) & (pi < 1)
+        assert left.sum() <= 2 and abs(pi @ size - 0.3 * size.sum()) < 1e-6 * size.sum() and abs(pi.sum() - 120) < 1e-6
+        hits += pi
+    assert abs(hits.mean() / 60 - 0.3) < 1e-9 and hits.std() / 60 < 0.1
+
+
+def test_personal_data(docs, spark):
+    made = [(k, f"write to user{k}@mail{k}.example.com or +1 (559) 555-{1000 + k}, card 4111 1111 1111 1111, host 10.0.0.{k}, 300.1.1.1") for k in range(8)] + [(90, None), (91, ""), (91, "")]
+    r = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert (r[3].n_email, r[3].n_ip, r[3].n_card, r[3].n_phone) == (1, 1, 1, 1) and r[90].spans == "" and r[90].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert len(pii.personal_data(docs).collect()) == docs.count()
+
+
+def test_context_discovers_unseen_identifiers(spark):
+    """Numbers that miss the base form are found where their contexts are those of known ones, and nowhere else."""
+    made = [(k, f"please call our office on +1 (559) 555-{1000 + k} today for help") for k in range(12)]
+    made += [(100, "please call our office on (559) 555-7777 today for help"), (101, "lot size was 559 555 7778 in the old list")]
+    r = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    text = dict(made)
+    start = text[100].index("(559)")
+    assert r[100].spans == f"phone:{start}:{start + 14}" and r[100].n_added == 1 and r[100].n_phone == 0
+    assert r[101].spans == ""
+    masked = {x.doc_id: x.text for x in pii.without_personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert masked[100] == "please call our office on <PHONE> today for help" and masked[101] == text[101]
+
+
+def test_secrets(docs):
+    import base64
+    import gzip
+    import urllib.parse
+
+    plain = 'token = "abcdef123456"'
+    for wrapped in (urllib.parse.quote(plain, safe=""), base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode())).decode(), urllib.parse.quote(base64.b64encode(base64.b64encode(plain.encode())).decode()), "".join(f"\\u{ord(c):04x}" for c in plain)):
+        text = f"wörd {wrapped} end"
+        found, cut = secrets.layered(text)
+        assert found and cut == 0
+        _, s, e, _ = found[0]
+        assert 5 <= s < e <= 5 + len(wrapped)
+    assert secrets.layered("nothing here but ThisIsAnOrdinaryIdentifier0 and words") == ([], 0)
+    found = secrets.secrets(docs).collect()
+    assert len(found) == docs.count() and all(r.spans == ("hex:0:600" if r.doc_id == 56 else "") for r in found)
+
+
+def test_secrets_worklist_ends_on_cycles():
+    assert secrets.layered("%25" * 50)[0] == []
+    assert secrets.layered("%2525252525252525")[0] == []
+
+
+def test_language(spark, docs, empty):
+    net = language_id.fit(docs, per_language=50)
+    found = language_id.identify(docs, net).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        assert 0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und")
+    by = {r.doc_id: r for r in found}
+    assert by[40].lang_pred == by[41].lang_pred == by[42].lang_pred == "und" and by[45].lang_pred != "und"
+    assert language_id.fit(empty) is None
+    assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
+
+
+def test_language_tables_equal_the_filters():
+    net = language_id.ByteConvNet(["a", "b"])
+    net.dense[:] = np.random.default_rng(0).normal(size=net.dense.shape)
+    net.compile()
+    codes = np.random.default_rng(1).integers(0, 64, (40, language_id.WINDOW)).astype(np.uint8)
+    value, _ = net.pooled(codes)
+    want = language_id._softmax(np.maximum(value + net.bias, 0) @ net.dense + net.out)
+    assert np.allclose(net.probabilities(codes), want, atol=1e-4)
+
+
+def test_toxicity(spark, docs, empty):
+    made = [(k, f"{'rotten scum ' if k % 3 == 0 else 'kind friend '}{k} " + "plain filler words here " * 5) for k in range(90)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(90)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    scorer = toxicity.fit(d, labels)
+    found = toxicity.score_toxicity(d, scorer).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0) for r in found) and all(0 <= r.score <= 1 for r in found)
+    assert {r.doc_id for r in toxicity.without_toxic(d, scorer).collect()} == {k for k in range(90) if k % 3}
+    assert len(toxicity.score_toxicity(docs, scorer).collect()) == docs.count()
+    assert toxicity.fit(empty, labels) is None and toxicity.score_toxicity(docs, None).first().score == 0
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(2)
+    n, terms = 700, 90
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.08)
+    dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-9)
+    doc, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(doc, term, dense[doc, term], n, terms)
+    best, which = index.search(doc, term, dense[doc, term], n, 10)
+    want = -np.sort(-(dense @ dense.T), axis=1)[:, :10]
+    assert np.abs(best - want).max() < 1e-5
+    assert np.abs(np.where(which >= 0, (dense @ dense.T)[np.arange(n)[:, None], which], 0) - best).max() < 1e-5
+
+
+def test_decontamination(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 25, 15, 6, 3))] + [(8, None), (9, "")]
+    clean = [(100 + k, " ".join(word() for _ in range(80))) for k in range(20)]
+    swapped = items[0][1].split()
+    swapped[5] = swapped[14] = swapped[23] = "other"
+    made = clean + [(0, f"{word()} {items[0][1].upper()}, {word()}"), (1, f"{word()} {' '.join(swapped)} {word()}"), (2, " ".join(items[1][1].split()[5:20])), (3, f"x {items[3][1]} y"), (4, f"x {items[4][1]} y"), (5, None), (6, "")]
+    d, b = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {0, 1, 2, 3, 4}
+    found = decontaminate.decontaminate(d, b).collect()
+    assert {r.doc_id for r in found if r.contaminated} == want and len(found) == len(made)
+    blocks = decontaminate.overlaps(d, b, block_tokens=20)
+    assert {r.doc_id for r in blocks.collect()} == want
+    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {m[0] for m in made} - want
+    assert decontaminate.decontaminate(docs, b).count() == docs.count()
+    assert not decontaminate.decontaminate(d, b.limit(0)).filter("contaminated").collect()
+
+
+def test_empty_tables(empty):
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert pii.personal_data(empty).count() == 0
+    assert mixing.mix_sources(empty).count() == 0
+    assert fingerprints.fingerprints(empty).count() == 0
+    assert repeats.repeated_substrings(empty).count() == 0
+    assert paragraphs.repeated_paragraphs(empty).count() == 0
+    assert secrets.secrets(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from threadloom.llm.shared import stage
+
+    made = rows()
+    passage = made[51][1]
+    path = save(spark, str(tmp_path / "d"), made, [(k, 1, 0) for k in range(40)], [(1, passage)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    for name, f in corpus_pipeline.STAGES:
+        docs = stage(f(spark, docs, path), name)
+        if name != "mixing":
+            assert docs.columns == columns
+        if name == "decontamination":
+            assert 51 not in {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, path).count() == docs.count() > 20
+    empty = save(spark, str(tmp_path / "e"), [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
