@@ -60,15 +60,23 @@ def leaves(topics: DataFrame) -> DataFrame:
     return topics.join(parents(topics).select(F.col("parent_id").alias("topic_id")).distinct(), "topic_id", "left_anti")
 
 
-def ancestors(topics: DataFrame, max_depth: int = 16) -> DataFrame:
-    """``topic_id, ancestor_id, hops`` (fewest): the closure upwards, one join a level until no new pair appears."""
+def depth(topics: DataFrame) -> int | None:
+    """Hops from the deepest topic to its root where every topic has one parent at most; None in a DAG, where levels don't tell."""
+    level, several = topics.agg(F.max("level"), F.max(F.size("parent_ids"))).first()
+    return None if several is not None and several > 1 else max(0, (level or 1) - 1)
+
+
+def ancestors(topics: DataFrame, max_depth: int = 64) -> DataFrame:
+    """``topic_id, ancestor_id, hops`` (fewest): the closure upwards, one join a level. In a tree the levels say when to stop, in a DAG the first level without a pair."""
     step = parents(topics).select("topic_id", "parent_id")
     found = level = step.select("topic_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("hops"))
-    for hops in range(2, max_depth + 1):
+    known = depth(topics)
+    for hops in range(2, (max_depth if known is None else known) + 1):
         level = level.alias("l").join(step.alias("s"), F.col("l.ancestor_id") == F.col("s.topic_id")).select(F.col("l.topic_id"), F.col("s.parent_id").alias("ancestor_id"), F.lit(hops).alias("hops")).distinct()
-        level = level.cache()
-        if level.isEmpty():
-            break
+        if known is None:
+            level = level.cache()
+            if level.isEmpty():
+                break
         found = found.union(level)
     return found.groupBy("topic_id", "ancestor_id").agg(F.min("hops").alias("hops"))
 

@@ -116,20 +116,22 @@ class MoveTable:
 
 def move_table(topics: DataFrame, allowed: DataFrame, markov: DataFrame | None = None) -> MoveTable:
     """Collected for the tasks; a topic graph with more than ``MOVES_LIMIT`` moves is refused, as walks would need a partitioned graph."""
-    if (n := allowed.count()) > MOVES_LIMIT or (markov is not None and markov.count() > MOVES_LIMIT):
-        raise ValueError(f"the topic graph has {n} moves; walks take {MOVES_LIMIT} at most: coarsen the hierarchy")
+    found = allowed.select("intent", "i", "k", "r").limit(MOVES_LIMIT + 1).collect()
+    links = markov.select("i", "j", "k", "p").limit(MOVES_LIMIT + 1).collect() if markov is not None else []
+    if max(len(found), len(links)) > MOVES_LIMIT:
+        raise ValueError(f"walks take {MOVES_LIMIT} moves of the topic graph at most: coarsen the hierarchy")
     rows = topics.select("topic_id", "centroid").orderBy("topic_id").collect()
     names = [r["topic_id"] for r in rows]
     dim = max((len(r["centroid"] or ()) for r in rows), default=0)
     m = unit(np.array([r["centroid"] if r["centroid"] is not None else [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim))
     at = {t: k for k, t in enumerate(names)}
     moves: dict = {}
-    for r in allowed.select("intent", "i", "k", "r").collect():
+    for r in found:
         if r["i"] in at and r["k"] in at:
             moves.setdefault((r["intent"], at[r["i"]]), []).append((at[r["k"]], r["r"]))
     pack = lambda pairs: tuple(np.array(x) for x in zip(*sorted(pairs)))
     chain: dict = {}
-    for r in markov.collect() if markov is not None else ():
+    for r in links:
         if all(r[c] in at for c in "ijk"):
             chain.setdefault((at[r["i"]], at[r["j"]]), []).append((at[r["k"]], r["p"]))
     return MoveTable(names, m, {k: pack(v) for k, v in moves.items()}, {k: pack(v) for k, v in chain.items()})

@@ -71,19 +71,22 @@ def chunk_edges(links: DataFrame, topics: DataFrame, decay: float = 0.7) -> Data
     return base.union(up).groupBy("topic_id", key).agg(F.sum("weight").alias("weight"))
 
 
-def first_parent_chain(topics: DataFrame, max_depth: int = 16) -> DataFrame:
+def first_parent_chain(topics: DataFrame, max_depth: int = 64) -> DataFrame:
     """``topic_id, ancestor_id, hops``: all parents at each hop of the chain of first parents."""
     up = graph.parents(topics)
     first = up.filter("nth = 0").select(F.col("topic_id").alias("child"), F.col("parent_id").alias("above"))
     at = topics.select("topic_id", F.col("topic_id").alias("at"))
-    found = None
-    for hops in range(1, max_depth + 1):
-        level = at.join(up.select(F.col("topic_id").alias("at"), F.col("parent_id").alias("ancestor_id")), "at").select("topic_id", "ancestor_id", F.lit(hops).alias("hops")).cache()
-        if level.isEmpty():
-            break
-        found = level if found is None else found.union(level)
+    known = graph.depth(topics)
+    found = topics.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("hops")).filter(F.lit(False))
+    for hops in range(1, (max_depth if known is None else known) + 1):
+        level = at.join(up.select(F.col("topic_id").alias("at"), F.col("parent_id").alias("ancestor_id")), "at").select("topic_id", "ancestor_id", F.lit(hops).alias("hops"))
+        if known is None:
+            level = level.cache()
+            if level.isEmpty():
+                break
+        found = found.union(level)
         at = at.join(first, F.col("at") == F.col("child")).select("topic_id", F.col("above").alias("at"))
-    return found if found is not None else topics.select("topic_id", F.col("topic_id").alias("ancestor_id"), F.lit(0).alias("hops")).limit(0)
+    return found
 
 
 def rollup(prior: DataFrame, topics: DataFrame) -> DataFrame:
@@ -148,8 +151,8 @@ def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             m = matrix(batch.column(1))
-            d = np.round(np.maximum(((m[:, None, :] - c[None]) ** 2).sum(2), 0), 9) if len(m) else np.zeros((0, len(c)))
-            at = d.argmin(1) if len(m) else np.zeros(0, int)
+            d = ((m[:, None, :] - c[None]) ** 2).sum(2) if len(m) else np.zeros((0, len(c)))
+            at = np.round(d, 9).argmin(1) if len(m) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[at], pa.string()), pa.array(d[np.arange(len(m)), at])], names=[key, "v", "topic_id", "distance"])
 
     return points.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, v array<double>, topic_id string, distance double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.vectors import scores_to
 from ..operators import graph, navigation, topics
+from ..sources.staging import stage
 
 GREEDY = Settings(navigation_greedy=True, max_steps=5)
 STEPS = 5
@@ -18,6 +19,14 @@ class Given:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make, local: bool) -> DataFrame:
+        """Made once for a plan that uses it several times: as local rows if the topics bound it, else in the shared folder."""
+        if name not in self._made:
+            df = make()
+            self._made[name] = self.spark.createDataFrame(df.collect(), df.schema) if local else stage(df, name)
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -40,8 +49,7 @@ class Given:
 
     def settled(self) -> DataFrame:
         """Topics as local rows: they are few, and every operator below joins them several times."""
-        t = self.topics()
-        return self.spark.createDataFrame(t.orderBy("topic_id").collect(), t.schema)
+        return self._once("topics", lambda: self.topics().orderBy("topic_id"), True)
 
     def dist(self, t: DataFrame) -> DataFrame:
         return topics.leaf_distribution(self.vectors().select("vec_id", "v"), t.filter("level = 2"))
@@ -60,8 +68,8 @@ class Given:
 
     def prior(self, t: DataFrame) -> DataFrame:
         """``query_id, topic_id, p``: the leaf distribution of each query."""
-        q = topics.leaf_distribution(self.queries().select("query_id", "vector"), t.filter("level = 2"))
-        return topics.long_form(q)
+        make = lambda: topics.long_form(topics.leaf_distribution(self.queries().select("query_id", "vector"), t.filter("level = 2")))
+        return self._once("prior", make, False)
 
     def policy_prior(self, t: DataFrame) -> DataFrame:
         """What the policy weighs: rolled up to ancestors, but for neutral queries the leaf prior itself."""
@@ -74,10 +82,10 @@ class Given:
         return topics.knn(t).select("src", "dst", F.lit("topic-topic").alias("kind"), "weight")
 
     def moves(self, t: DataFrame) -> DataFrame:
-        return navigation.relations(t, self.knn(t))
+        return self._once("moves", lambda: navigation.relations(t, self.knn(t)), True)
 
     def allowed(self, t: DataFrame) -> DataFrame:
-        return navigation.filtered_moves(t, self.moves(t))
+        return self._once("allowed", lambda: navigation.filtered_moves(t, self.moves(t)), True)
 
     def start(self, t: DataFrame) -> DataFrame:
         return navigation.start_nodes(self.prior(t), self.queries().select("query_id", "intent"), t)
