@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, stage
+
 #: Rows of a two-column table up to which a join side may be broadcast (about 16 MB).
 BROADCAST_ROWS = 1_000_000
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of our own."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    return _fallback[app]
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for broadcast when its counted ``rows`` are within ``limit``; else untouched, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
@@ -57,3 +35,6 @@ def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
         bound = F.lit(min(space, int(space * per_class / row["n"])))
         cut = F.when(F.col(by) == F.lit(row[0]), bound) if cut is None else cut.when(F.col(by) == F.lit(row[0]), bound)
     return df.filter(F.lit(False)) if cut is None else df.filter(pick < cut)
+
+
+__all__ = ["BROADCAST_ROWS", "crc_mod", "shared_dir", "small", "stage", "stratified"]
