@@ -14,7 +14,15 @@ from .secrets import op10_secrets
 from .toxicity import op6_toxicity
 
 _ALL = [op1_language_id, op2_near_dedup, op3_pii, op4_mixing, op5_fingerprints, op6_toxicity, op7_repeats, op8_decontaminate, op9_paragraphs, op10_secrets]
-ORACLE: dict[str, str] = {}
+#: Near duplicates by all shared shingles; the other operators hold models, draws or byte offsets that SQL can't express.
+ORACLE: dict[str, str] = {
+    "op2_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x20\x09-\x0D]+'), lambda x: x<>'') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w)>=5 THEN list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) WHEN len(w)>0 THEN [array_to_string(w,' ')] ELSE [] END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g=b.g AND a.doc_id<>b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*)>=70*(a.n+b.n-count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a=r.c)
+SELECT s.doc_id, len(any_value(s.s))::BIGINT AS n_shingles, min(r.c) AS component_id, s.doc_id=min(r.c) AS kept FROM s JOIN r ON r.doc_id=s.doc_id GROUP BY s.doc_id""",
+}
 
 
 def queries() -> dict:
