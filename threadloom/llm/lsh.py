@@ -123,25 +123,26 @@ def linked_components(classes: DataFrame, verify: Callable[[DataFrame], DataFram
     """
     member = classes.select("id", F.explode("bands").alias("band"))
     head = member.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last")
-    pairs = member.join(head, "band").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    hits = stage(member.join(head, "band").select("band", "head", "id"), "hits")  # all that later rounds need of the buckets
+    pairs = hits.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     lean = classes.select("id", "n", *PLANES)
     first = stage(
         pairs.join(lean.alias("x"), F.col("a") == F.col("x.id")).join(lean.alias("y"), F.col("b") == F.col("y.id")).filter(may_link("x", "y", banding)).select("a", "b"), "pairs"
     )
     edges = stage(verify(first), "links")
     label = components(edges)
-    rich = classes.join(label, "id", "left").select("id", "n", *PLANES, F.coalesce("component", "id").alias("comp"), "bands")
+    rich = hits.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
     mixed = (
-        rich.select("comp", F.explode("bands").alias("band")).groupBy("band")
+        rich.groupBy("band")
         .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("c")).filter("c0 < c1").select("band", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     )
     cells = (
-        rich.select("id", "n", "comp", *PLANES, F.explode("bands").alias("band")).join(mixed, "band")
+        rich.join(mixed, "band")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("cell", F.struct("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
     )
-    cells = stage(cells.select("cell", "id", "n", "comp", *PLANES), "cells")
+    cells = stage(cells.select("cell", "id", "comp").join(lean, "id"), "cells")
     x, y = cells.alias("x"), cells.alias("y")
     second = (
         x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", banding))
@@ -153,14 +154,16 @@ def linked_components(classes: DataFrame, verify: Callable[[DataFrame], DataFram
     return components(edges.union(verify(second)))
 
 
-def sets_match(pairs: DataFrame, texts: DataFrame, keys: Callable, banding: Banding) -> DataFrame:
+def sets_match(pairs: DataFrame, texts: DataFrame, keys: Callable, banding: Banding, repeats: bool = False) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets, made by ``keys`` from ``texts(id, text)``, link exactly.
 
-    Only texts of some pair are moved; their ids are broadcast when counted few enough.
+    Only texts of some pair are moved; their ids are broadcast when counted few enough. With ``repeats`` an id may
+    have many rows, of which one is taken after that selection.
     """
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
     rows = ids.count()
     used = texts.join(small(ids, rows), "id", "left_semi")
+    used = used.dropDuplicates(["id"]) if repeats else used
     both = (
         pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .lsh import PLANES, Banding, band_keys, distinct, linked_components, minima, sets_match, signatures
 from .near_dedup import shingle_keys
 from .repeats import _MAIL_SQL, LAST_ID, _mail, _mark_buckets, _ranges, _six, part_of, segmented
-from .shared import small, stage
+from .shared import stage
 from .textkit import U64, Slice, buffers, run_hashes, seg_starts, signed, slices
 
 WORDS = 8
@@ -180,7 +180,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     marked = stage(texts.groupBy("seg").applyInArrow(_send(buckets), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL), "bands")
     shared = stage(texts.groupBy("seg").cogroup(marked.groupBy("seg")).applyInArrow(_collect_shared(buckets), SHARED), "shared")
     classes = stage(shared.select("id", "n", "bands", *PLANES).dropDuplicates(["id"]), "classes")
-    label = linked_components(classes, lambda pairs: sets_match(pairs, shared.select("id", "text").dropDuplicates(["id"]), _trigrams, BANDING), BANDING)
+    label = linked_components(classes, lambda pairs: sets_match(pairs, shared.select("id", "text"), _trigrams, BANDING, repeats=True), BANDING)
     found = shared.select("seg", "doc_id", "text_hash", "number", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     owner = found.groupBy("component").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("component", "owner")
     gone = stage(found.join(owner, "component").filter("doc_id > owner").select("seg", "doc_id", "text_hash", "number"), "gone")
