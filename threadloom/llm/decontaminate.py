@@ -27,7 +27,7 @@ MASKS = ("11111", "110111", "1101011", "10110011", "11001011")
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.8
 BLOCK_TOKENS = 1_000_000
-_BITS = 22
+_BITS = 20
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 _FOLD = np.where(_TOKEN, np.arange(256), 32).astype(np.uint8)

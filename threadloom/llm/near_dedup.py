@@ -63,6 +63,7 @@ def _signed_batches(batches):
                 ],
                 names=["doc_id", "n", "h0", "h1", "bands", *PLANES],
             )
+        del batch, data, offsets  # before the next batch arrives
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -46,13 +46,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null has no bytes."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """Bytes and offsets of a string column, not copied unless it has nulls; a null has no bytes."""
     if column.null_count:
         column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets, data = column.buffers()[1], column.buffers()[2]
+    if offsets is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
 def slices(offsets: np.ndarray, size: int = SLICE_BYTES, most: int = 4096) -> Iterator[tuple[int, int]]:

@@ -336,6 +336,9 @@ def without_toxic(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             scorer.ready()
             doc, term, tf = scorer.vocabulary.counts(*buffers(batch.column(at)))
             best, which = scorer.index.search(doc, term, unit_rows(doc, term, tf, scorer.idf, batch.num_rows), batch.num_rows, NEIGHBOURS)
-            yield batch.filter(pa.array(scorer.probability(best, which) < 0.5))
+            kept = batch.filter(pa.array(scorer.probability(best, which) < 0.5))
+            del batch, doc, term, tf, best, which
+            yield kept
+            del kept
 
     return docs.mapInArrow(run, docs.schema)
