@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small, stage
-from .textkit import Slice, buffers, slices
+from .textkit import Slice, buffers, slices, tidy
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -38,7 +38,10 @@ def _sizes(batches):
             s = Slice(data, offsets, lo, hi)
             s.words()
             size[lo:hi] = s.counts
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], names=["doc_id", "source", "size"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size)], names=["doc_id", "source", "size"])
+        del batch, data, offsets
+        yield out
+    tidy()
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .lsh import PLANES, Banding, distinct, linked_components, sets_match, signatures
 from .shared import small, stage
-from .textkit import LANE, U64, Slice, buffers, mix, run_hashes, signed, slices
+from .textkit import LANE, U64, Slice, buffers, mix, run_hashes, signed, slices, tidy
 
 SHINGLE = 5
 BANDING = Banding()
@@ -64,6 +64,7 @@ def _signed_batches(batches):
                 names=["doc_id", "n", "h0", "h1", "bands", *PLANES],
             )
         del batch, data, offsets  # before the next batch arrives
+    tidy()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

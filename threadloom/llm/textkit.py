@@ -6,6 +6,7 @@ slice by itself, so whole texts are always seen.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,15 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def tidy() -> None:
+    """Gives freed memory back at the end of a task: workers are reused, and the executor's memory is shared with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def seg_starts(doc: np.ndarray) -> np.ndarray:
     """Where each run of equal values of a sorted array begins."""
     if not len(doc):

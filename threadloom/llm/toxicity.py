@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, stage, stratified
-from .textkit import LANE, U64, Slice, buffers, mix, signed, slices
+from .textkit import LANE, U64, Slice, buffers, mix, signed, slices, tidy
 
 PER_CLASS = 3000
 VOCABULARY = 1024
@@ -340,5 +340,6 @@ def without_toxic(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             del batch, doc, term, tf, best, which
             yield kept
             del kept
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
