@@ -126,6 +126,24 @@ def test_repeated_paragraphs(docs):
     assert by[40].n_paragraphs == 0 and by[41].n_paragraphs == 0
 
 
+def test_repeated_paragraphs_of_short_sentences(spark):
+    """A 50-word passage of sentences of 4 to 7 words, pasted mid-line, and short lines that other documents have too."""
+    import random
+
+    from fixtures import words
+
+    rng = random.Random(12)
+    sentences = [words(rng, n) + "." for n in (5, 4, 7, 6, 4, 5, 7, 4, 5, 3)]
+    passage = " ".join(sentences)
+    made = [(k, f"{words(rng, 30 + k)} {passage} {words(rng, 25 + k)}") for k in range(5)]
+    made += [(10 + k, f"{words(rng, 12)}\nAll rights reserved.\n{words(rng, 11)}") for k in range(3)] + [(20, "Two words"), (21, "two  words"), (22, "Two other words. And more")]
+    text = dict(made)
+    r = {x.doc_id: x for x in paragraphs.repeated_paragraphs(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    gone = {i: " ".join(text[i][int(a) : int(b)] for a, b in (s.split(":") for s in x.removed.split(",") if s)) for i, x in r.items()}
+    assert gone[0] == "" and all(gone[k].split() == " ".join(sentences[1:]).split() for k in range(1, 5))  # the first sentence runs on from the text before it
+    assert [gone[k] for k in (10, 11, 12, 20, 21, 22)] == ["", "All rights reserved.", "All rights reserved.", "", "two  words", ""]
+
+
 def test_fingerprints(docs):
     found = fingerprints.fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     text = {r[0]: r[1] or "" for r in rows() if r[0] is not None}

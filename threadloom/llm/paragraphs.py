@@ -1,11 +1,15 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
 A paragraph is a line, cut further after words that end a sentence (. ! ?) and after one word in 64 that its hash picks,
-so that a passage pasted into another text has the same paragraphs there; those of at least ``WORDS`` words count.
-Bands over word trigrams are tuned for recall: a pair of Jaccard 0.7 collides with probability 0.997, of 0.8 with 0.9999,
-equal ones surely. Band keys first travel packed, 6 bytes each, and only paragraphs with a key that another
+so that a passage pasted into another text has the same paragraphs there.
+Bands over word trigrams of paragraphs of at least ``WORDS`` words are tuned for recall: a pair of Jaccard 0.7 collides
+with probability 0.997, of 0.8 with 0.9999, equal ones surely. A shorter paragraph says little by itself and is taken
+with its neighbours: the ``WORDS`` words from its first on and those up to its last, across lines, are keys of one exact
+hash each, and a shared one takes all paragraphs that lie wholly in it. Lines and texts below ``WORDS`` words are exact keys
+as a whole. So every word lies in a candidate, and of a repeated passage of ``WORDS`` words that begins and ends with
+paragraphs every short paragraph is found. Band keys first travel packed, 6 bytes each, and only paragraphs with a key that another
 document shares become rows; colliding paragraphs are joined, verified by exact Jaccard, and grouped by connected
-components. Of a component, the document of least doc_id keeps its paragraphs, and all others lose them.
+components; exact keys only with their equals. Of a component, the document of least doc_id keeps its paragraphs, and all others lose them.
 
 Null and empty texts have no paragraph. Repeated rows of one doc_id are one document and don't remove each other. A null
 doc_id counts as greater than all others. Texts keep all bytes outside removed paragraphs.
@@ -24,7 +28,7 @@ from .lsh import PLANES, Banding, band_keys, distinct, linked_components, minima
 from .near_dedup import shingle_keys
 from .repeats import _MAIL_SQL, LAST_ID, _mail, _mark_buckets, _ranges, _six, part_of, segmented
 from .shared import stage
-from .textkit import U64, Slice, buffers, run_hashes, seg_starts, signed, slices
+from .textkit import LANE, U64, Slice, buffers, mix, run_hashes, seg_starts, signed, slices
 
 WORDS = 8
 SHINGLE = 3
@@ -34,7 +38,8 @@ _STOP[[33, 46, 63]] = True
 
 
 class Paragraphs:
-    """Paragraphs of the documents of one segment: row, number in its document, bytes from and to, and trigrams."""
+    """Paragraphs of the documents of one segment: row, number in its document, bytes from and to; of those at
+    positions ``long`` their trigrams; and exact keys: position of the first and last paragraph taken, and hash."""
 
     def __init__(self, table: pa.Table):
         column = table["text"].combine_chunks()
@@ -45,30 +50,34 @@ class Paragraphs:
         parts = [p for p in parts if len(p[0])]
         cols = [np.concatenate(x) for x in zip(*(p[:4] for p in parts))] if parts else [np.zeros(0, np.int64)] * 4
         self.row, self.number, self.start, self.end = cols
-        self.keys = [k for p in parts for k in p[4]]
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        shifted = lambda k: np.concatenate([p[k] + at for p, at in zip(parts, base)]) if parts else np.zeros(0, np.int64)
+        self.long, self.first, self.last = shifted(4), shifted(5), shifted(6)
+        self.exact = np.concatenate([p[7] for p in parts]) if parts else np.zeros(0, U64)
+        self.keys = [k for p in parts for k in p[8]]
 
     def _cut(self, lo: int, hi: int):
         s = Slice(self.data, self.bounds, lo, hi)
         s.words()
         if not len(s.starts):
-            return (np.zeros(0, np.int64),) * 4 + ([],)
+            return (np.zeros(0, np.int64),) * 7 + (np.zeros(0, U64), [])
         w = s.span_hashes(s.starts, s.ends)
         lines = np.concatenate([[0], np.cumsum(s.bytes == 10)])
-        cut = _STOP[s.bytes[s.ends - 1]] | ((w >> U64(58)) == 0)
-        cut[:-1] |= (lines[s.starts[1:]] > lines[s.ends[:-1]]) | (s.doc[1:] != s.doc[:-1])
-        cut[-1] = True
-        last = np.flatnonzero(cut)
+        broken = np.ones(len(w), bool)
+        broken[:-1] = (lines[s.starts[1:]] > lines[s.ends[:-1]]) | (s.doc[1:] != s.doc[:-1])
+        last = np.flatnonzero(broken | _STOP[s.bytes[s.ends - 1]] | ((w >> U64(58)) == 0))
         first = np.concatenate([[0], last[:-1] + 1])
         doc = s.doc[first]
         number = np.arange(len(first)) - np.searchsorted(doc, np.arange(s.docs))[doc]
-        good = last - first + 1 >= WORDS
-        first, last, doc, number = first[good], last[good], doc[good], number[good]
+        long = np.flatnonzero(last - first + 1 >= WORDS)
         runs, keys = run_hashes(w, SHINGLE), []
-        for a in range(0, len(first), 4096):
-            f, n = first[a : a + 4096], (last - first)[a : a + 4096] + 2 - SHINGLE
+        for a in range(0, len(long), 4096):
+            pick = long[a : a + 4096]
+            f, n = first[pick], (last - first)[pick] + 2 - SHINGLE
             at = np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())
             keys.append(distinct(np.repeat(np.arange(len(f)), n), runs[at]))
-        return doc + lo, number, s.starts[first] + self.bounds[lo], s.ends[last] + self.bounds[lo], keys
+        exact = _exact(w, s.first, first, last, doc, broken)
+        return doc + lo, number, s.starts[first] + self.bounds[lo], s.ends[last] + self.bounds[lo], long, *exact, keys
 
     def bands(self) -> np.ndarray:
         parts = []
@@ -78,10 +87,33 @@ class Paragraphs:
         return np.concatenate(parts) if parts else np.zeros((0, BANDING.bands), U64)
 
 
+def _exact(w: np.ndarray, edge: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, broken: np.ndarray):
+    """First and last paragraph and hash of the exact keys, from word hashes, first words of documents, and words that end a line."""
+    short = np.flatnonzero(last - first + 1 < WORDS)
+    ahead, back = first[short], last[short] + 1 - WORDS
+    begin = np.unique(np.concatenate([ahead[ahead + WORDS <= edge[doc[short] + 1]], back[back >= edge[doc[short]]]]))
+    stop = begin + WORDS
+    h = run_hashes(w, WORDS)[begin] if len(begin) else np.zeros(0, U64)
+    end = np.flatnonzero(broken)
+    lines = np.stack([np.concatenate([[0], end[:-1] + 1]), end + 1])
+    texts = np.stack([edge[:-1], edge[1:]])
+    whole = np.concatenate([lines, texts], 1)
+    size = whole[1] - whole[0]
+    whole = np.unique(whole[:, (size > 0) & (size < WORDS)], axis=1)
+    size = whole[1] - whole[0]
+    total = size.astype(U64) * LANE[50]
+    for k in range(WORDS - 1):
+        more = size > k
+        total[more] += w[whole[0][more] + k] * LANE[40 + k]
+    begin, stop, h = np.concatenate([begin, whole[0]]), np.concatenate([stop, whole[1]]), np.concatenate([h, mix(total)])
+    return np.searchsorted(first, begin), np.searchsorted(last, stop) - 1, h
+
+
 def _distinct_bands(p: Paragraphs, bands: np.ndarray):
-    value, back = np.unique(bands.ravel(), return_inverse=True)
+    """Distinct keys (of bands, then exact ones), the one of each, and whether two documents here share it."""
+    value, back = np.unique(np.concatenate([bands.ravel(), p.exact]), return_inverse=True)
     lo, hi = np.full(len(value), LAST_ID), np.full(len(value), -LAST_ID)
-    ids = np.repeat(p.ids[p.row], BANDING.bands)
+    ids = p.ids[np.concatenate([np.repeat(p.row[p.long], BANDING.bands), p.row[p.first]])]
     np.minimum.at(lo, back, ids)
     np.maximum.at(hi, back, ids)
     return value, back, lo < hi
@@ -97,8 +129,8 @@ def _send(parts: int):
     return run
 
 
-SHARED = "seg long, doc_id long, text_hash binary, number int, id long, n int, bands array<long>, " + ", ".join(f"{x} long" for x in PLANES) + ", text string"
-_NAMES = ["seg", "doc_id", "text_hash", "number", "id", "n", "bands", *PLANES, "text"]
+SHARED = "seg long, doc_id long, text_hash binary, number int, last int, id long, n int, bands array<long>, " + ", ".join(f"{x} long" for x in PLANES) + ", text string"
+_NAMES = ["seg", "doc_id", "text_hash", "number", "last", "id", "n", "bands", *PLANES, "text"]
 
 
 def _hashes(p: Paragraphs, rows: np.ndarray) -> dict[int, bytes]:
@@ -107,7 +139,7 @@ def _hashes(p: Paragraphs, rows: np.ndarray) -> dict[int, bytes]:
 
 def _collect_shared(parts: int):
     def run(key, table, mail):
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * len(PLANES), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * len(PLANES), pa.string()]
         p = Paragraphs(table) if table.num_rows else None
         if p is None or not len(p.row):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=_NAMES)
@@ -117,9 +149,11 @@ def _collect_shared(parts: int):
         shared = np.zeros(len(value), bool)
         for q, lo, hi in _ranges(part_of(value, parts)):
             shared[lo:hi] = np.unpackbits(np.frombuffer(masks[q], np.uint8), count=hi - lo).astype(bool)
-        shared = shared[back].reshape(-1, BANDING.bands)
+        shared = shared[back]
+        equal = np.flatnonzero(shared[bands.size :])
+        shared = shared[: bands.size].reshape(-1, BANDING.bands)
         pick = np.flatnonzero(shared.any(1))
-        size, first, planes, at = [], [], [], 0
+        size, first, planes, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros((0, len(PLANES)), U64)], 0
         for k in p.keys:
             _, sizes, hashes, _, plane = signatures(k, BANDING)
             mine = pick[(pick >= at) & (pick < at + len(sizes))] - at
@@ -128,13 +162,14 @@ def _collect_shared(parts: int):
             planes.append(plane[mine])
             at += len(sizes)
         size, first, planes = np.concatenate(size), np.concatenate(first), np.concatenate(planes)
-        digest = _hashes(p, p.row[pick])
-        kept = shared[pick]
-        texts = [p.data[a:b].tobytes().decode() for a, b in zip(p.start[pick], p.end[pick])]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept.sum(1))]).astype(np.int32)), pa.array(signed(bands[pick][kept])))
+        kept, long, none = shared[pick], p.long[pick], np.zeros(len(equal), np.int64)
+        head, tail = np.concatenate([long, p.first[equal]]), np.concatenate([long, p.last[equal]])
+        digest = _hashes(p, p.row[head])
+        texts = [p.data[a:b].tobytes().decode() for a, b in zip(p.start[long], p.end[long])] + [None] * len(equal)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate([kept.sum(1), none]))]).astype(np.int32)), pa.array(signed(bands[pick][kept])))
         cols = [
-            np.full(len(pick), key[0].as_py()), p.ids[p.row[pick]], [digest[int(r)] for r in p.row[pick]], p.number[pick].astype(np.int32), signed(first), size.astype(np.int32), lists,
-            *(signed(planes[:, k]) for k in range(len(PLANES))), texts,
+            np.full(len(head), key[0].as_py()), p.ids[p.row[head]], [digest[int(r)] for r in p.row[head]], p.number[head].astype(np.int32), p.number[tail].astype(np.int32),
+            signed(np.concatenate([first, p.exact[equal]])), np.concatenate([size, none]).astype(np.int32), lists, *(np.concatenate([signed(planes[:, k]), none]) for k in range(len(PLANES))), texts,
         ]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
 
@@ -150,8 +185,8 @@ def _apply(key, table, gone):
         return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
     p = Paragraphs(table)
     listed: dict[tuple, set] = {}
-    for r in gone.select(["doc_id", "text_hash", "number"]).to_pylist():
-        listed.setdefault((r["doc_id"], r["text_hash"]), set()).add(r["number"])
+    for r in gone.select(["doc_id", "text_hash", "number", "last"]).to_pylist():
+        listed.setdefault((r["doc_id"], r["text_hash"]), set()).update(range(r["number"], r["last"] + 1))
     rows = []
     edge = np.searchsorted(p.row, np.arange(table.num_rows + 1))
     some = {i for i, _ in listed}
@@ -179,11 +214,11 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     texts = segmented(docs, buckets)
     marked = stage(texts.groupBy("seg").applyInArrow(_send(buckets), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL), "bands")
     shared = stage(texts.groupBy("seg").cogroup(marked.groupBy("seg")).applyInArrow(_collect_shared(buckets), SHARED), "shared")
-    classes = stage(shared.select("id", "n", "bands", *PLANES).dropDuplicates(["id"]), "classes")
-    label = linked_components(classes, lambda pairs: sets_match(pairs, shared.select("id", "text"), _trigrams, BANDING, repeats=True), BANDING)
-    found = shared.select("seg", "doc_id", "text_hash", "number", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = stage(shared.filter("n > 0").select("id", "n", "bands", *PLANES).dropDuplicates(["id"]), "classes")
+    label = linked_components(classes, lambda pairs: sets_match(pairs, shared.filter("n > 0").select("id", "text"), _trigrams, BANDING, repeats=True), BANDING)
+    found = shared.select("seg", "doc_id", "text_hash", "number", "last", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     owner = found.groupBy("component").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("component", "owner")
-    gone = stage(found.join(owner, "component").filter("doc_id > owner").select("seg", "doc_id", "text_hash", "number"), "gone")
+    gone = stage(found.join(owner, "component").filter("doc_id > owner").select("seg", "doc_id", "text_hash", "number", "last"), "gone")
     return texts.groupBy("seg").cogroup(gone.groupBy("seg")).applyInArrow(_apply, OUT)
 
 
