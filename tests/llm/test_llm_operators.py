@@ -235,6 +235,26 @@ def test_context_discovers_unseen_identifiers(spark):
     assert masked[100] == "please call our office on <PHONE> today for help" and masked[101] == text[101]
 
 
+def test_context_discovers_identifiers_of_any_shape(spark):
+    made = [(k, f"please call our office on +1 (559) 555-{1000 + k} today for help, mail desk writer user{k}@mail{k}.example.com with questions, blocked node address 10.0.0.{k} since monday") for k in range(200)]
+    found = {300: ("please call our office on ", "030 1234567", " today for help", "phone"), 301: ("please call our office on ", "01 23 45 67 89", " today for help", "phone"),
+             302: ("mail desk writer ", "root@localhost", " with questions", "email"), 303: ("blocked node address ", "2001:db8::1", " since monday", "ip")}
+    made += [(k, a + x + b) for k, (a, x, b, _) in found.items()]
+    before, chain = "our office on", (64, 21, 7, 2)
+    for step, size in enumerate(chain, 1):  # a pattern's numbers are known only once the one before has been
+        after = f"desk{step} line{step} at{step}"
+        for k in range(size):
+            number = f"0{step}0 77{k:03} {step}"
+            made += [(1000 * step + k, f"{before} {number} today"), (1000 * step + 500 + k, f"{after} {number} today")]
+        before = after
+    made += [(900, "there were 030 1234567 grains and 01 23 45 67 80 stones")]
+    r = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for k, (a, x, _, kind) in found.items():
+        assert r[k].spans == f"{kind}:{len(a)}:{len(a) + len(x)}"
+    missed = [(step, k) for step, size in enumerate(chain, 1) for k in range(size) if r[1000 * step + k].n_added != 1]
+    assert not missed and r[900].spans == ""
+
+
 def test_secrets(docs):
     import base64
     import gzip

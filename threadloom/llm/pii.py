@@ -1,10 +1,12 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction on top of them.
 
-One pass over whole texts yields the base spans (seeds) and looser identifier-like tokens (candidates), each
-with the words around it. The words form lexical patterns; Spark then scores the pattern-instance graph in
-rounds: a pattern's confidence is the share of its distinct instances that are known, an instance is
+One pass over whole texts yields the base spans (seeds) and candidates, each with the words around it: loose forms of
+one kind, and all other spans of a generic class, which may be of several kinds: digits with separators, groups between
+colons, tokens with an @. The words form lexical patterns; Spark then scores the pattern-instance graph in
+rounds, until one accepts nothing new: a pattern's confidence is the share of its distinct instances that are known, an instance is
 accepted when the confidences of its high-confidence patterns leave less than ``DOUBT`` of doubt, and accepted
-instances are known in the next round. Candidates that are accepted add spans; base spans always stay.
+instances are known in the next round. Candidates that are accepted add spans, each of the kind of least doubt; base
+spans always stay.
 
 A null text counts as empty: no span. Repeated rows get equal spans; a null doc_id is allowed, as spans
 belong to texts, which are joined by hash and length. Other columns are ignored.
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from .shared import small, stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 #: A pattern counts once so many distinct known instances carry it, at this share of all its instances.
 LEAST_KNOWN = 4
 LEAST_CONFIDENCE = 0.75
@@ -40,6 +41,12 @@ _LOOSE = (
     ("card", re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z-])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+)(-])(?:00[0-9]{1,3}[ -])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")),
 )
+#: Spans that may fill the slot of a pattern, and the kinds of slots.
+_GENERIC = (
+    (("email",), re.compile(r"(?<![^\s<>()\[\]{},;:\"'])[^\s@<>()\[\]{},;:\"']++@[^\s@<>()\[\]{},;:\"']*[^\W_]")),
+    (("ip",), re.compile(r"(?<![^\W_])(?<!:)(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,}+(?![^\W_])")),
+    (("ip", "card", "phone"), re.compile(r"(?<![^\W_])(?:\+ ?\(?|\()?[0-9]++(?:(?:\) ?| \(|\(| - |[ .:/-])?[0-9]++)*+(?![^\W_])")),
+)
 _WORD_LEFT = re.compile(r"(\w+)\W*\Z")
 _WORD_RIGHT = re.compile(r"\A\W*(\w+)")
 _CONTEXT = 64
@@ -109,24 +116,26 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 def occurrences(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple]:
     """``(kind, start, end, instance, seed, patterns)`` of base spans and of candidates that overlap none."""
-    found, covered = [], None
+    found = []
     for kind, spans in base.items():
         found += [(kind, s, e, text[s:e].lower(), True, _patterns(text, s, e)) for s, e in spans]
     digits = bool(_DIGIT.search(text))
-    for kind, loose in _LOOSE:
-        if not digits and kind != "email" or kind == "email" and "at" not in text.lower():
+    if not digits and "@" not in text and not any(x in text for x in ("(at)", "[at]", "(AT)", "[AT]")):
+        return found
+    covered = bytearray(len(text))
+    for a, b in (x for spans in base.values() for x in spans):
+        covered[a:b] = b"\1" * (b - a)
+    for kinds, form in (*(((kind,), loose) for kind, loose in _LOOSE), *_GENERIC):
+        if not digits and kinds != ("email",):
             continue
-        if kind == "email" and not any(x in text for x in ("(at)", "[at]", "(AT)", "[AT]")) or kind == "ip" and text.count(":") < 7:
+        if form is _LOOSE[0][1] and not any(x in text for x in ("(at)", "[at]", "(AT)", "[AT]")) or form is _GENERIC[0][1] and "@" not in text or kinds == ("ip",) and text.count(":") < 2:
             continue
-        for m in loose.finditer(text):
+        for m in form.finditer(text):
             s, e = m.span()
-            if covered is None:
-                covered = bytearray(len(text))
-                for a, b in (x for spans in base.values() for x in spans):
-                    covered[a:b] = b"\1" * (b - a)
             if not any(covered[s:e]):
                 covered[s:e] = b"\1" * (e - s)
-                found.append((kind, s, e, m[0].lower(), False, _patterns(text, s, e)))
+                patterns = _patterns(text, s, e)
+                found += [(kind, s, e, m[0].lower(), False, patterns) for kind in kinds]
     return found
 
 
@@ -164,8 +173,9 @@ def bootstrap(found: DataFrame) -> DataFrame:
     """``h, n, kind, s, e`` of candidates that the graph of patterns and instances makes certain."""
     occ = found.select("h", "n", F.explode("occ").alias("o")).select("h", "n", "o.*").distinct()
     graph = stage(occ.select("kind", "inst", "seed", F.explode("pats").alias("pat")).groupBy("kind", "inst", "pat").agg(F.max("seed").alias("seed")), "graph")
-    known = graph.filter("seed").select("kind", "inst").distinct()
-    for _ in range(ROUNDS):
+    seeds = graph.filter("seed").select("kind", "inst").distinct()
+    known, accepted = seeds, 0
+    while True:
         marked = graph.join(known.withColumn("known", F.lit(1)), ["kind", "inst"], "left").withColumn("known", F.coalesce("known", F.lit(0)))
         strong = (
             marked.groupBy("kind", "pat").agg(F.count(F.lit(1)).alias("all"), F.sum("known").alias("f"))
@@ -174,11 +184,16 @@ def bootstrap(found: DataFrame) -> DataFrame:
         strong = stage(strong.select("kind", "pat", "conf"), "patterns")
         new = (
             graph.filter(~F.col("seed")).join(strong, ["kind", "pat"]).groupBy("kind", "inst")
-            .agg(F.sum(F.ln(1 - F.least("conf", F.lit(0.999)))).alias("doubt")).filter(F.col("doubt") <= F.ln(F.lit(DOUBT))).select("kind", "inst")
+            .agg(F.sum(F.ln(1 - F.least("conf", F.lit(0.999)))).alias("doubt")).filter(F.col("doubt") <= F.ln(F.lit(DOUBT)))
         )
-        known = stage(graph.filter("seed").select("kind", "inst").union(new).distinct(), "known")
+        new = stage(new, "accepted")
+        if (n := new.count()) <= accepted:  # confidences only grow, so nothing accepted is lost
+            break
+        accepted, known = n, stage(seeds.union(new.select("kind", "inst")).distinct(), "known")
     loose = occ.filter(~F.col("seed")).select("h", "n", "kind", "s", "e", "inst", F.explode("pats").alias("pat"))
-    return loose.join(strong, ["kind", "pat"]).join(known, ["kind", "inst"]).select("h", "n", "kind", "s", "e").distinct()
+    spans = loose.join(strong, ["kind", "pat"]).join(new, ["kind", "inst"])
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return spans.groupBy("h", "n", "s", "e").agg(F.min_by("kind", F.struct("doubt", order)).alias("kind")).select("h", "n", "kind", "s", "e")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
