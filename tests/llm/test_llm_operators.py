@@ -272,6 +272,25 @@ def test_secrets(docs):
     assert len(found) == docs.count() and all(r.spans == ("hex:0:600" if r.doc_id == 56 else "") for r in found)
 
 
+def test_secrets_in_later_members_and_at_the_cut(monkeypatch):
+    import base64
+    import gzip
+    import zlib
+
+    import zstandard
+
+    wrapped = lambda data: base64.b64encode(data).decode()
+    parts = (b"nothing in the first one, ", b'token = "abcdef123456" ', b"and after")
+    for pack in (gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress):
+        found, cut = secrets.layered(f"see {wrapped(b''.join(map(pack, parts)) + b'junk')} end")
+        assert [f[0] for f in found] == ["assign"] and cut == 0
+    text = 'token = "abcdef123456" ' + "é" * 40
+    monkeypatch.setattr(secrets, "INFLATE", 40)  # within a character of two bytes
+    for pack in (gzip.compress, zstandard.ZstdCompressor().compress):
+        found, cut = secrets.layered(wrapped(pack(text.encode())))
+        assert [f[0] for f in found] == ["assign"] and cut == 1
+
+
 def test_secrets_worklist_ends_on_cycles():
     assert secrets.layered("%25" * 50)[0] == []
     assert secrets.layered("%2525252525252525")[0] == []

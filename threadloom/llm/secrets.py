@@ -1,7 +1,7 @@
 """Secrets: exact base patterns, and a worklist that unwraps nested encodings and scans every layer.
 
 Layers are URL escapes, Unicode and HTML escapes, base64 (plain or URL-safe) and compressed data (gzip, zlib,
-zstd) inside base64. Every character of a layer knows the span of the original text it came from, so a
+zstd; all members and frames of it) inside base64. Every character of a layer knows the span of the original text it came from, so a
 secret found deep inside maps back. A layer already seen in the document isn't opened again, and each
 decoding strictly shortens or changes its text, so the list runs dry. ``INFLATE`` bounds one inflated blob, as a
 guard against bombs; what is cut there is reported by ``n_cut``.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -96,17 +97,44 @@ def _readable(data: bytes) -> str | None:
 
 
 def _inflated(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed data, and whether it was cut at ``INFLATE``; None if the data is not compressed."""
+    """Decompressed data of all members or frames, and whether it was cut at ``INFLATE``; None if the data is not compressed."""
+    parts, size = [], 0
+    while (member := _member(data, INFLATE - size)) is not None:
+        plain, cut, data = member
+        parts.append(plain)
+        size += len(plain)
+        if cut or size == INFLATE and _member(data, 1) is not None:
+            return _whole_characters(b"".join(parts)), True
+    return (b"".join(parts), False) if parts else None
+
+
+def _whole_characters(data: bytes) -> bytes:
+    """Without the character that the cut split at the end."""
+    tool = codecs.getincrementaldecoder("utf-8")()
+    try:
+        tool.decode(data)
+    except UnicodeDecodeError:
+        return data
+    return data[: len(data) - len(tool.getstate()[0])]
+
+
+def _member(data: bytes, most: int) -> tuple[bytes, bool, bytes] | None:
+    """The first member's data, at most ``most`` bytes, whether it has more, and what follows it; None if there is none."""
     if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
         try:
             tool = zlib.decompressobj(47)
-            return tool.decompress(data, INFLATE), bool(tool.unconsumed_tail)
+            plain = tool.decompress(data, most + 1)
+            return plain[:most], len(plain) > most, tool.unused_data
         except zlib.error:
             return None
     if data[:4] == b"\x28\xb5\x2f\xfd":
         try:
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(INFLATE + 1)
-            return out[:INFLATE], len(out) > INFLATE
+            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
+            if len(out) > most:
+                return out[:most], True, b""
+            tool = zstandard.ZstdDecompressor().decompressobj()  # has no limit, so comes second
+            tool.decompress(data)
+            return out, False, tool.unused_data
         except zstandard.ZstdError:
             return None
     return None
