@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import random
 import re
+import time
+import urllib.parse
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from fixtures import rows, save, table
 
 from threadloom.llm import decontaminate, fingerprints, language_id, mixing, near_dedup, paragraphs, pii, repeats, secrets, toxicity
@@ -255,45 +262,85 @@ def test_context_discovers_identifiers_of_any_shape(spark):
     assert not missed and r[900].spans == ""
 
 
-def test_secrets(docs):
-    import base64
-    import gzip
-    import urllib.parse
-
-    plain = 'token = "abcdef123456"'
-    for wrapped in (urllib.parse.quote(plain, safe=""), base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode())).decode(), urllib.parse.quote(base64.b64encode(base64.b64encode(plain.encode())).decode()), "".join(f"\\u{ord(c):04x}" for c in plain)):
-        text = f"wörd {wrapped} end"
-        found, cut = secrets.layered(text)
-        assert found and cut == 0
-        _, s, e, _ = found[0]
-        assert 5 <= s < e <= 5 + len(wrapped)
-    assert secrets.layered("nothing here but ThisIsAnOrdinaryIdentifier0 and words") == ([], 0)
-    found = secrets.secrets(docs).collect()
-    assert len(found) == docs.count() and all(r.spans == ("hex:0:600" if r.doc_id == 56 else "") for r in found)
+SECRET = 'token = "abcdef123456"'
 
 
-def test_secrets_in_later_members_and_at_the_cut(monkeypatch):
-    import base64
-    import gzip
-    import zlib
+def wrapped(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
 
-    import zstandard
 
-    wrapped = lambda data: base64.b64encode(data).decode()
-    parts = (b"nothing in the first one, ", b'token = "abcdef123456" ', b"and after")
-    for pack in (gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress):
-        found, cut = secrets.layered(f"see {wrapped(b''.join(map(pack, parts)) + b'junk')} end")
-        assert [f[0] for f in found] == ["assign"] and cut == 0
-    text = 'token = "abcdef123456" ' + "é" * 40
-    monkeypatch.setattr(secrets, "INFLATE", 40)  # within a character of two bytes
-    for pack in (gzip.compress, zstandard.ZstdCompressor().compress):
-        found, cut = secrets.layered(wrapped(pack(text.encode())))
-        assert [f[0] for f in found] == ["assign"] and cut == 1
+def test_secrets(docs):
+    for inner in (urllib.parse.quote(SECRET, safe=""), wrapped(SECRET), wrapped(gzip.compress(SECRET.encode())), urllib.parse.quote(wrapped(wrapped(SECRET))), "".join(f"\\u{ord(c):04x}" for c in SECRET)):
+        text = f"wörd {inner} end"
+        found = secrets.layered(text)
+        _, s, e, _ = found[0]
+        assert 5 <= s < e <= 5 + len(inner)
+    assert secrets.layered("nothing here but ThisIsAnOrdinaryIdentifier0 and words") == []
+    found = secrets.secrets(docs).collect()
+    assert len(found) == docs.count() and all(r.spans == ("hex:0:600" if r.doc_id == 56 else "") for r in found)
 
 
-def test_secrets_worklist_ends_on_cycles():
-    assert secrets.layered("%25" * 50)[0] == []
-    assert secrets.layered("%2525252525252525")[0] == []
+def test_secrets_of_escapes_have_exact_spans():
+    for inner, lo, hi in (("é%C3%A9token%3Dabcdef%31&#50;\\u0033 x", 7, 35), ("&#116;oken=%61bcdefgh%20", 0, 21), ("\\x74oken=abcdef%ff", 0, 16)):
+        assert {f[:3] for f in secrets.layered(inner)} >= {("assign", lo, hi)}, inner
+
+
+def test_secrets_of_equal_blobs_paths_and_wrapped_lines():
+    blob = wrapped(SECRET)
+    found = secrets.layered(f"{blob} and {blob}")
+    assert [f[1] for f in found] == [0, len(blob) + 5]
+    for before in ("https://host.com/x/", "id-", "a_", "word/"):
+        assert [f[0] for f in secrets.layered(before + blob)] == ["assign"]
+    lines = base64.encodebytes(b"some words before it " * 3 + SECRET.encode() + b" and more words after it" * 4).decode()
+    assert [f[0] for f in secrets.layered(lines)] == ["assign"]
+    binary = wrapped(bytes(range(256)) + SECRET.encode() + bytes(range(160, 256)))  # mostly no text
+    assert "assign" in {f[0] for f in secrets.layered(binary)}
+
+
+def test_secrets_in_later_members_and_long_blobs(monkeypatch):
+    parts = (b"nothing in the first one, ", SECRET.encode(), b"and after")
+    packs = (gzip.compress, zlib.compress, zstandard.ZstdCompressor().compress)
+    for pack in packs:
+        found = secrets.layered(f"see {wrapped(b''.join(map(pack, parts)) + b'junk')} end")
+        assert {f[0] for f in found} == {"assign"}
+        assert {f[0] for f in secrets.layered(wrapped(b"junk" + pack(SECRET.encode() * 9)))} == {"assign"}
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    for pack in packs:  # at every place relative to the cuts
+        for k in range(0, 130, 7):
+            data = b"x, " * k + SECRET.encode() + b" ,y" * 50
+            assert "assign" in {f[0] for f in secrets.layered(wrapped(pack(data)))}, k
+
+
+def test_secrets_of_deep_nests_in_linear_time():
+    assert secrets.layered("%25" * 50) == [] and not [f for f in secrets.layered("%2525252525252525") if f[0] != "hex"]
+    deep = "token%" + "25" * 50_000 + "3Dabcdefgh"
+    began = time.time()
+    assert ("assign", 0, len(deep)) in {f[:3] for f in secrets.layered(deep)}
+    assert time.time() - began < 20
+    mixed = "%3D"
+    for k in range(400):  # an escape of % and one of the backslash in turn
+        mixed = mixed.replace("%", "\\u0025", 1) if k % 2 == 0 else mixed.replace("\\", "%5C", 1)
+    assert ("assign", 0, len(mixed) + 13) in {f[:3] for f in secrets.layered(f"token{mixed}abcdefgh")}
+    nested = SECRET
+    for _ in range(12):
+        nested = wrapped(nested)
+    assert {f[0] for f in secrets.layered(nested)} == {"assign"}
+
+
+def test_base_secrets_equal_the_stated_patterns():
+    """Random strings over the characters that matter, against the patterns as they are stated."""
+    rng = random.Random(5)
+    made = ["token", "API_KEY", "apikey", "Secret", "passwd", "password", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ", "0123456789", "abcdef", "x", "-", "é", "\n", "K", "ſ"]
+    assign, access, hexes = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+    hit = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(made) for _ in range(rng.randrange(1, 14)))
+        want = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in access.finditer(text) if m.end() - m.start() >= 20]
+        want += [("hex", *m.span()) for m in hexes.finditer(text) if m.end() - m.start() >= 24]
+        assert sorted(secrets.base_spans(text)) == sorted(want), text
+        hit.update(k for k, _, _ in want)
+    assert min(hit[k] for k in secrets.KINDS) > 20
 
 
 def test_language(spark, docs, empty):

@@ -1,10 +1,15 @@
 """Secrets: exact base patterns, and a worklist that unwraps nested encodings and scans every layer.
 
-Layers are URL escapes, Unicode and HTML escapes, base64 (plain or URL-safe) and compressed data (gzip, zlib,
-zstd; all members and frames of it) inside base64. Every character of a layer knows the span of the original text it came from, so a
-secret found deep inside maps back. A layer already seen in the document isn't opened again, and each
-decoding strictly shortens or changes its text, so the list runs dry. ``INFLATE`` bounds one inflated blob, as a
-guard against bombs; what is cut there is reported by ``n_cut``.
+Layers are escapes (URL, Unicode and HTML, decoded together), base64 (plain or URL-safe, wrapped over lines or not, at
+all four alignments, since a run may go on from a path or a word) and compressed data (gzip, zlib, zstd; all members and
+frames, wherever they begin) inside base64. Each layer is a work item with its origin, which maps a character back to
+the original text, so a secret found deep inside has its span. A layer already seen at the same place isn't opened
+again; the same blob elsewhere is. Bytes are read as Latin-1, one character each: the patterns are ASCII, and
+what is no text matches none of them.
+
+Every decoding shortens its text, so the list runs dry. Base64 shrinks geometrically; escapes are rescanned layer by layer for
+``ROUNDS`` layers, and what is nested deeper goes to its fixpoint in one linear pass, which is scanned too. Inflated data of
+any length is scanned in pieces of about ``PIECE`` bytes, cut where no pattern or encoding can run across.
 
 A null text counts as empty. Rows are independent of one another: repeated rows, null ids and other
 columns make no difference.
@@ -12,30 +17,34 @@ columns make no difference.
 
 from __future__ import annotations
 
-import base64
 import binascii
-import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-INFLATE = 1 << 26
+PIECE = 1 << 23
+ROUNDS = 8
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _KEYWORD = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_ESCAPE = re.compile(r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<unicode>(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+)|(?P<html>&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
+_TAIL = re.compile(r"(?:%[0-7][0-9A-Fa-f]|\\x[0-7][0-9A-Fa-f]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\Z")
+_ENDS = frozenset("0123456789ABCDEFabcdef;")
+_BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+(?=[\r\n=\"'<]|\Z))*")
+_BREAK = re.compile(r"[\r\n]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_SAFE = re.compile(r"""[^A-Za-z0-9+/_.=:%&#;\\"'\s-]""")
+_URL_SAFE = str.maketrans("-_", "+/")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -51,139 +60,190 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _replaced(text: str, left: np.ndarray, right: np.ndarray, pattern: re.Pattern, decode) -> tuple | None:
-    """The text with every decodable match replaced, and its map to the original; None if nothing decodes."""
-    parts, lefts, rights, last = [], [], [], 0
-    for m in pattern.finditer(text):
-        if (plain := decode(m[0])) is None or plain == m[0]:
-            continue
-        s, e = m.span()
-        parts += [text[last:s], plain]
-        at = s + (np.arange(len(plain) + 1) * (e - s)) // max(1, len(plain))
-        lefts += [left[last:s], left[at[:-1]]]
-        rights += [right[last:s], right[np.maximum(at[1:] - 1, at[:-1])]]
-        last = e
-    if not parts:
-        return None
-    return "".join([*parts, text[last:]]), np.concatenate([*lefts, left[last:]]), np.concatenate([*rights, right[last:]])
+#: Maps the number of a character to the first and last character of the text that it came from; None: is itself.
+Origin = Callable[[int], tuple[int, int]] | None
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except (UnicodeDecodeError, ValueError):
-        return None
+def _at(origin: Origin, i: int) -> tuple[int, int]:
+    return (i, i) if origin is None else origin(i)
 
 
-def _escape(run: str) -> str | None:
+def _units(match: re.Match) -> list[tuple[str, int]] | None:
+    """Decoded characters of a run of escapes and the width of each in the run; None if they are none."""
+    run, kind = match[0], match.lastgroup
     try:
-        if run[1] == "x":
-            return bytes.fromhex(run.replace("\\x", "")).decode()
-        if run[1] == "u":
-            return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
+        if kind == "html":
+            return [(chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])), len(run))]
         if run[1] == "U":
-            return chr(int(run[2:], 16))
-        return chr(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
-    except (UnicodeDecodeError, ValueError, OverflowError):
+            return [(chr(int(run[2:], 16)), 10)]
+        if run[1] == "u":
+            plain = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace")
+            return [(c, 12 if ord(c) > 0xFFFF else 6) for c in plain]
+        step = 3 if kind == "url" else 4
+        raw = bytes.fromhex(run.replace("%" if kind == "url" else "\\x", ""))
+        try:
+            return [(c, step * len(c.encode())) for c in raw.decode()]
+        except UnicodeDecodeError:
+            return [(chr(b), step) for b in raw]
+    except (ValueError, OverflowError):
         return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+def _unescaped(text: str, origin: Origin) -> tuple[str, Origin, str] | None:
+    """The text with every escape decoded once, its origin, and the names of the encodings; None if nothing decodes."""
+    parts, names, last, size = [], set(), 0, 0
+    starts, sources, widths = [0], [0], [None]  # from starts[k] on: characters as they are, or of the given widths
+    for m in _ESCAPE.finditer(text):
+        if (units := _units(m)) is None:
+            continue
+        parts += [text[last : m.start()], "".join(c for c, _ in units)]
+        size += m.start() - last
+        edge = [m.start()]
+        for _, w in units:
+            edge.append(edge[-1] + w)
+        starts += [size, size + len(units)]
+        sources += [m.start(), m.end()]
+        widths += [edge, None]
+        size += len(units)
+        last = m.end()
+        names.add(m.lastgroup)
+    if not names:
         return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
-
-
-def _inflated(data: bytes) -> tuple[bytes, bool] | None:
-    """Decompressed data of all members or frames, and whether it was cut at ``INFLATE``; None if the data is not compressed."""
-    parts, size = [], 0
-    while (member := _member(data, INFLATE - size)) is not None:
-        plain, cut, data = member
-        parts.append(plain)
-        size += len(plain)
-        if cut or size == INFLATE and _member(data, 1) is not None:
-            return _whole_characters(b"".join(parts)), True
-    return (b"".join(parts), False) if parts else None
-
-
-def _whole_characters(data: bytes) -> bytes:
-    """Without the character that the cut split at the end."""
-    tool = codecs.getincrementaldecoder("utf-8")()
-    try:
-        tool.decode(data)
-    except UnicodeDecodeError:
-        return data
-    return data[: len(data) - len(tool.getstate()[0])]
-
 
-def _member(data: bytes, most: int) -> tuple[bytes, bool, bytes] | None:
-    """The first member's data, at most ``most`` bytes, whether it has more, and what follows it; None if there is none."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-        try:
-            tool = zlib.decompressobj(47)
-            plain = tool.decompress(data, most + 1)
-            return plain[:most], len(plain) > most, tool.unused_data
-        except zlib.error:
-            return None
-    if data[:4] == b"\x28\xb5\x2f\xfd":
+    def back(i: int) -> tuple[int, int]:
+        k = bisect_right(starts, i) - 1
+        edge, off = widths[k], i - starts[k]
+        lo, hi = (sources[k] + off,) * 2 if edge is None else (edge[off], edge[off + 1] - 1)
+        return _at(origin, lo)[0], _at(origin, hi)[1]
+
+    return "".join([*parts, text[last:]]), back, "+".join(n for n in ("url", "unicode", "html") if n in names)
+
+
+def _fixpoint(text: str, origin: Origin) -> tuple[str, Origin]:
+    """The text with all escapes of single characters reduced until none is left: one pass with a stack."""
+    out: list[str] = []
+    left: list[int] = []
+    right: list[int] = []
+    for i, c in enumerate(text):
+        lo = hi = i
+        while True:
+            out.append(c)
+            left.append(lo)
+            right.append(hi)
+            if c not in _ENDS or (m := _TAIL.search("".join(out[-10:]))) is None:
+                break
+            run = m[0]
+            try:
+                code = int(run[3:-1], 16) if run[:3] in ("&#x", "&#X") else int(run[2:-1]) if run[0] == "&" else int(run[1:] if run[0] == "%" else run[2:], 16)
+                c = chr(code)
+            except (ValueError, OverflowError):
+                break
+            lo = left[-len(run)]
+            del out[-len(run) :], left[-len(run) :], right[-len(run) :]
+    return "".join(out), lambda k: (_at(origin, left[k])[0], _at(origin, right[k])[1])
+
+
+def _streams(data: bytes) -> Iterator[bytes]:
+    """Output of every compressed stream in the data, in bounded chunks; of a broken one what comes before the fault."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        at = m.start() + 1
+        zipped = data[m.start()] != 0x28
+        tool = zlib.decompressobj(47) if zipped else zstandard.ZstdDecompressor().decompressobj()
+        step, pos, given = (1 << 16 if zipped else 1 << 10), m.start(), False
         try:
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-            if len(out) > most:
-                return out[:most], True, b""
-            tool = zstandard.ZstdDecompressor().decompressobj()  # has no limit, so comes second
-            tool.decompress(data)
-            return out, False, tool.unused_data
-        except zstandard.ZstdError:
-            return None
-    return None
-
-
-def _blobs(text: str):
-    """``start, end, decoded bytes`` of the base64 runs worth a look: mixed case or a digit inside."""
+            while pos < len(data):
+                chunk = data[pos : pos + step]
+                pos += len(chunk)
+                plain = tool.decompress(chunk, PIECE) if zipped else tool.decompress(chunk)
+                while plain:
+                    given = True
+                    yield plain
+                    plain = tool.decompress(tool.unconsumed_tail, PIECE) if zipped and tool.unconsumed_tail else b""
+                if tool.eof:
+                    at = pos - len(tool.unused_data)
+                    break
+            else:
+                at = len(data) if given else at
+        except (zlib.error, zstandard.ZstdError):
+            at = max(at, pos - step) if given else at
+
+
+def _pieces(data: bytes) -> Iterator[str]:
+    """All inflated text in pieces: of a piece that is full, what follows the last character that nothing runs across goes to the next."""
+    held: list[str] = []
+    size, due = 0, PIECE
+    for plain in _streams(data):
+        held.append(plain.decode("latin-1"))
+        size += len(plain)
+        if size >= due:
+            text = "".join(held)
+            cut = max((m.end() for m in _SAFE.finditer(text, max(0, size - (1 << 16)))), default=0)
+            cut = cut or max((m.end() for m in _SAFE.finditer(text)), default=0)
+            if cut:
+                yield text[:cut]
+                text = text[cut:]
+            held, size = [text], len(text)
+            due = PIECE if cut else 2 * size
+    if size:
+        yield "".join(held)
+
+
+def _decoded(text: str, origin: Origin) -> Iterator[tuple[str, Origin, str]]:
+    """Layers of the base64 runs of a text: each decoded from its first four characters on, and inflated where it can be."""
     for m in _BLOB.finditer(text):
-        run = m[0].rstrip("=")
-        inner = run[1:]
-        if inner.islower() and inner.isalpha() or run.isupper() and run.isalpha() or len(run) % 4 == 1:
-            continue
-        try:
-            yield *m.span(), base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-
-
-def layered(text: str) -> tuple[list[tuple[str, int, int, str]], int]:
-    """Secrets of the layers below the text, as ``(kind, start, end, path)``, and the number of inflated blobs that were cut."""
-    found, cut = [], 0
-    work = [(text, None, None, "")]
-    seen = {text}
+        run, s = m[0], m.start()
+        kept = None
+        if "\n" in run:  # wrapped: numbers of the characters that count
+            kept = [i for i, c in enumerate(run) if c not in "\r\n"]
+            run = _BREAK.sub("", run)
+        run = run.translate(_URL_SAFE)
+        place = (lambda i, s=s: s + i) if kept is None else (lambda i, s=s, kept=kept: s + kept[i])
+        for k in range(4):
+            n = len(run) - k
+            n -= n % 4 == 1
+            if n < 8:
+                break
+            data = binascii.a2b_base64(run[k : k + n] + "=" * (-n % 4))
+            span = (_at(origin, place(0 if len(run) - n <= 3 else k))[0], _at(origin, place(len(run) - 1))[1])
+            for plain in _pieces(data):
+                yield plain, (lambda i, span=span: span), "base64/inflate"
+
+            def back(i: int, k=k, n=n, place=place) -> tuple[int, int]:
+                lo, hi = k + i * 4 // 3, min(k + (i * 4 + 4) // 3, k + n - 1)
+                return _at(origin, place(lo))[0], _at(origin, place(hi))[1]
+
+            yield data.decode("latin-1"), back, "base64"
+
+
+def _worth(layer: str) -> bool:
+    """Whether a decoded layer can hold a secret or a further layer; what is no text hardly does."""
+    return bool(_HEX.search(layer) or _BLOB.search(layer) or _ESCAPE.search(layer) or "AKIA" in layer or ((":" in layer or "=" in layer) and any(k in layer.lower() for k in _KEYWORD)))
+
+
+def layered(text: str) -> list[tuple[str, int, int, str]]:
+    """Secrets of the layers below the text, as ``(kind, start, end, path)``."""
+    found, seen = set(), set()
+    work: list[tuple[str, Origin, str, int]] = [(text, None, "", 0)]
     while work:
-        layer, left, right, path = work.pop()
-        if left is not None:
-            found += [(k, int(left[s]), int(right[e - 1]) + 1, path) for k, s, e in base_spans(layer)]
+        layer, origin, path, escapes = work.pop()
+        if origin is not None:
+            found.update((k, origin(s)[0], origin(e - 1)[1] + 1, path[1:]) for k, s, e in base_spans(layer))
         new = []
-        for name, mark, pattern, decode in (("url", "%", _PERCENT, _percent), ("unicode", "\\", _ESCAPE, _escape), ("html", "&#", _ESCAPE, _escape)):
-            if mark in layer and pattern.search(layer):
-                a = np.arange(len(layer)) if left is None else left
-                if (r := _replaced(layer, a, a if right is None else right, pattern, decode)) is not None:
-                    new.append((*r, f"{path}/{name}"))
-        for s, e, data in _blobs(layer):
-            first, last = (s, e - 1) if left is None else (int(left[s]), int(right[e - 1]))
-            if (inflated := _inflated(data)) is not None:
-                cut += inflated[1]
-                if plain := _readable(inflated[0]):
-                    new.append((plain, np.full(len(plain), first), np.full(len(plain), last), f"{path}/base64/inflate"))
-            elif plain := _readable(data):
-                wide = np.array([len(c.encode()) for c in plain])
-                stop = np.cumsum(wide)
-                lo, hi = s + (stop - wide) * 4 // 3, np.minimum(s + -(-stop * 4 // 3), e) - 1
-                new.append((plain, lo if left is None else left[lo], hi if right is None else right[hi], f"{path}/base64"))
+        if ("%" in layer or "\\" in layer or "&#" in layer) and (got := _unescaped(layer, origin)) is not None:
+            if escapes >= ROUNDS:
+                got = (*_fixpoint(got[0], got[1]), got[2])
+            new.append((got[0], got[1], f"{path}/{got[2]}", escapes + 1))
+        for plain, back, name in _decoded(layer, origin):
+            if plain and _worth(plain):
+                new.append((plain, back, f"{path}/{name}", 0))
         for item in new:
-            if item[0] not in seen:
-                seen.add(item[0])
-                work.append(item)
-    return found, cut
+            if item[0]:
+                key = (hashlib.blake2b(item[0].encode("utf-8", "surrogatepass"), digest_size=16).digest(), item[1](0)[0], item[1](len(item[0]) - 1)[1])
+                if key not in seen:
+                    seen.add(key)
+                    work.append(item)
+    return sorted(found, key=lambda d: (d[1], d[0], d[2], d[3]))
 
 
 def _beyond(deep: list, base: list) -> list:
@@ -199,7 +259,7 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, decoded string, n_cut long"
+OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, decoded string"
 
 
 def _scan(batches):
@@ -208,15 +268,15 @@ def _scan(batches):
         for text in batch.column(1).to_pylist():
             text = text or ""
             base = base_spans(text)
-            deep, cut = layered(text)
+            deep = layered(text)
             deep = _beyond(deep, base) if deep else deep
             listed = joined(base)
             every = joined({*base, *(d[:3] for d in deep)}) if deep else listed
             count = [sum(k == b[0] for b in base) for k in KINDS]
-            rows.append((*count, hashlib.sha256(listed.encode()).hexdigest(), every, ",".join(f"{k}:{s}:{e}:{p[1:]}" for k, s, e, p in sorted(set(deep), key=lambda d: (d[1], d[0], d[2], d[3]))), cut))
-        cols = list(zip(*rows)) if rows else [[]] * 7
-        kinds = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "decoded", "n_cut"])
+            rows.append((*count, hashlib.sha256(listed.encode()).hexdigest(), every, ",".join(f"{k}:{s}:{e}:{p}" for k, s, e, p in deep)))
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.int64()] * 3 + [pa.string()] * 3
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "decoded"])
 
 
 def secrets(docs: DataFrame) -> DataFrame:
