@@ -170,7 +170,7 @@ def _sampled_windows(batches):
 def fit(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> ByteConvNet | None:
     """A network learned from rows that are not held out; None if no such row has a language and a letter."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = stratified(rows, "lang", "doc_id", per_language).mapInArrow(_sampled_windows, "doc_id long, lang string, codes binary").toArrow()
+    sample = stratified(rows, "lang", "text", per_language).mapInArrow(_sampled_windows, "doc_id long, lang string, codes binary").toArrow()
     if not sample.num_rows:
         return None
     table = sample.to_pandas().sort_values(["doc_id", "codes"], kind="stable")

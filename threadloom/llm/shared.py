@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_dir, stage
@@ -20,21 +20,25 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
-def stratified(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each value of ``by`` (never above 1.25 times), picked by a hash of ``key``.
+#: Classes of a labelled sample: the most frequent ones.
+MAX_CLASSES = 256
 
-    Class sizes are counted over all rows; the hash threshold then is a filter, without a shuffle of rows.
+
+def stratified(df: DataFrame, by: str, content: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` rows of each value of ``by`` (of its ``MAX_CLASSES`` most frequent ones), one for each distinct ``content``.
+
+    Rows are ordered by a hash of their content, and the first of each class are taken: repeats share a hash and
+    collapse on the map side, so neither copies nor a hot key exceed the bound or push out a class. Distinct contents are
+    counted roughly, for a hash threshold that keeps the rest from moving. Nulls in either column are left out.
     """
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()
     space = 1 << 30
-    pick = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(space))
-    cut = None
-    for row in sorted(sizes, key=lambda r: str(r[0])):
-        if row[0] is None:
-            continue
-        bound = F.lit(min(space, int(space * per_class / row["n"])))
-        cut = F.when(F.col(by) == F.lit(row[0]), bound) if cut is None else cut.when(F.col(by) == F.lit(row[0]), bound)
-    return df.filter(F.lit(False)) if cut is None else df.filter(pick < cut)
+    pick = F.pmod(F.xxhash64(F.col(content), F.lit("sample")), F.lit(space))
+    rows = df.filter(F.col(by).isNotNull() & F.col(content).isNotNull()).withColumn("_pick", pick)
+    sizes = rows.groupBy(by).agg(F.approx_count_distinct("_pick", 0.03).alias("n"), F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), by).limit(MAX_CLASSES)
+    cut = sizes.select(F.col(by).alias("_class"), (F.lit(float(space)) * per_class * 1.25 / F.col("n")).alias("_cut"))
+    near = rows.join(F.broadcast(cut), (F.col(by) == F.col("_class")) & (F.col("_pick") < F.col("_cut"))).drop("_class", "_cut").dropDuplicates([by, "_pick"])
+    first = Window.partitionBy(by).orderBy("_pick")
+    return near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= per_class).drop("_pick", "_rank")
 
 
 __all__ = ["BROADCAST_ROWS", "crc_mod", "shared_dir", "small", "stage", "stratified"]

@@ -1,12 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 4 to 9 bytes, at three levels: found once, twice and four times or
-more in a document, each level a term of its own. A bounded sample of labelled rows (``PER_CLASS`` of each label)
-gives the vocabulary (the ``VOCABULARY`` terms of highest chi-square) and the examples; document frequencies of
-these terms are counted over all documents. Postings lie in blocks of ``BLOCK`` examples with the largest weight of each
-term and block; a block is opened only if its bound reaches the query's k-th best cosine, so the neighbours are
-exact. Votes are weighted by distance and by the documents that an example stands for, and calibrated by a logistic curve fitted to leave-one-out votes, at the class
-rates of all labelled rows. A document without any known term gets the rate of such examples.
+Terms are the words of a text; all terms of the examples are indexed, and every text with any of them has exact
+neighbours. A term weighs (1 + log of its frequency) * idf * relevance: document frequencies are counted over all
+documents, and relevance, which is never 0, grows with the chi-square of the term and the labels up to ``SURE``, so that a
+long text is compared by what tells labels apart before anything else. A bounded sample of labelled rows (``PER_CLASS`` of
+each label) gives the examples; equal texts are one example with the share of toxic labels among them.
+
+Postings of rare terms are lists that are added up as they are. Frequent terms (at most ``FREQUENT``, each in over 1/64 of the examples) have
+their postings in blocks of ``BLOCK`` examples, with the largest weight of each term and block; a block is opened only if
+that bound, and what its rare terms add, reach the query's k-th best cosine, so neighbours are exact. Votes are
+weighted by distance and by the documents that an example stands for, and calibrated by a logistic curve fitted to
+leave-one-out votes, at the class rates of all labelled rows. A document without any known term gets the rate of all.
 
 Null and empty texts have no term. Rows whose crc32(doc_id) mod 5 is 0 are never learned from; a null id neither, and
 is not held out. A document labelled more than once counts as toxic if any label says so; null labels are dropped.
@@ -23,99 +27,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, stage, stratified
-from .textkit import LANE, U64, Slice, buffers, mix, signed, slices, tidy
+from .textkit import U64, Slice, buffers, signed, slices, tidy
 
 PER_CLASS = 3000
-VOCABULARY = 1024
-#: Chi-square (one degree) below which a term isn't held to tell the labels apart.
-LEAST_CHI = 20.0
+#: Chi-square (one degree) from which on a term weighs in full.
+SURE = 20.0
 NEIGHBOURS = 32
 BLOCK = 128
-PREFIXES = (4, 5, 6, 7, 8, 9)
+FREQUENT = 1024
+#: Queries that are searched at a time.
+QUERIES = 256
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _NOT_SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
-_BITS = 20
-#: Queries that are searched at a time.
-QUERIES = 1024
-LEVELS = (1, 2, 4)
+_LOW = U64((1 << 32) - 1)
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, sieve: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of every term occurrence; with a ``sieve``, of those whose top bits it knows."""
+def terms(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of every word."""
     s = Slice(data, offsets, lo, hi)
     s.bytes = _NOT_SPACE[s.bytes]
     s.words()
-    if not len(s.starts):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    prefix, docs, hashes = s.prefix_hash(), [], []
-    size = s.ends - s.starts
-    for length in (0, *PREFIXES):
-        pick = slice(None) if not length else np.flatnonzero(size > length)
-        start = s.starts[pick]
-        h = s.span_hashes(start, start + length if length else s.ends, prefix)
-        h = h ^ LANE[56] if not length else h
-        doc = s.doc[pick]
-        if sieve is not None:
-            known = sieve[h >> U64(64 - _BITS)]
-            h, doc = h[known], doc[known]
-        docs.append(doc)
-        hashes.append(h)
-    return np.concatenate(docs), np.concatenate(hashes)
-
-
-def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, term) in order, and how often each occurs."""
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    return doc[at], term[at], np.diff(np.append(at, len(doc)))
-
-
-class Vocabulary:
-    """Known terms: hashes and levels, numbered in the order of (hash, level)."""
-
-    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
-        order = np.lexsort((levels, hashes.astype(U64)))
-        hashes, levels = hashes.astype(U64)[order], levels[order]
-        self.hashes, back = np.unique(hashes, return_inverse=True)
-        self.size = len(order)
-        self.number = np.full((len(self.hashes), len(LEVELS)), -1)
-        self.number[back, levels] = np.arange(self.size)
-        self.sieve = np.zeros(1 << _BITS, bool)
-        self.sieve[self.hashes >> U64(64 - _BITS)] = True
-
-    def counts(self, data, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, term number and frequency over all documents of a batch."""
-        docs, words = [], []
-        for lo, hi in slices(offsets) if self.size else ():
-            doc, h = terms(data, offsets, lo, hi, self.sieve)
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            good = self.hashes[at] == h
-            docs.append(doc[good] + lo)
-            words.append(at[good])
-        if not docs:
-            return (np.zeros(0, np.int64),) * 3
-        doc, word, tf = _counted(np.concatenate(docs), np.concatenate(words))
-        parts = []
-        for level, least in enumerate(LEVELS):
-            number = self.number[word, level]
-            pick = (tf >= least) & (number >= 0)
-            parts.append((doc[pick], number[pick], tf[pick]))
-        doc, number, tf = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((number, doc))
-        return doc[order], number[order], tf[order]
-
-
-def unit_rows(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """TF-IDF weights of unit length for each document."""
-    w = (1 + np.log(tf)) * idf[term]
+    return (s.doc, s.span_hashes(s.starts, s.ends)) if len(s.starts) else (np.zeros(0, np.int64), np.zeros(0, U64))
+
+
+def counted(doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, number), both below 2**32, in order, and how often each occurs."""
+    key = (doc.astype(U64) << U64(32)) | number.astype(U64)
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[at] >> U64(32)).astype(np.int64), (key[at] & _LOW).astype(np.int64), np.diff(np.append(at, len(key)))
+
+
+def frequencies(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term number and frequency of known terms over all documents of a batch; ``vocabulary`` has sorted hashes."""
+    parts = []
+    for lo, hi in slices(offsets) if len(vocabulary) else ():
+        doc, h = terms(data, offsets, lo, hi)
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        good = vocabulary[at] == h
+        doc, number, tf = counted(doc[good], at[good])
+        parts.append((doc + lo, number, tf))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def unit_rows(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, worth: np.ndarray, n: int) -> np.ndarray:
+    """TF-IDF weights of unit length for each document; ``worth`` is idf * relevance."""
+    w = (1 + np.log(tf)) * worth[term]
     norm = np.sqrt(np.bincount(doc, w * w, n))
     return w / np.maximum(norm[doc], 1e-12)
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each of the ranges."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
-    """Examples as postings in blocks; ``search`` returns the exact nearest ones of many queries."""
+    """Postings of examples; ``search`` returns the exact nearest ones of many queries."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
         top = np.zeros(n, np.int64)
@@ -125,9 +94,20 @@ class BlockMaxIndex:
         place = np.empty(n, np.int64)
         place[self.rank] = np.arange(n)
         self.n, self.blocks = n, -(-n // BLOCK)
-        self.postings = np.zeros((self.blocks, n_terms, BLOCK), np.float32)
-        self.postings[place[doc] // BLOCK, term, place[doc] % BLOCK] = weight
-        self.bound = np.ascontiguousarray(self.postings.max(2).T)
+        size = np.bincount(term, minlength=n_terms)
+        frequent = np.flatnonzero(size > n / 64)
+        frequent = np.sort(frequent[np.argsort(-size[frequent], kind="stable")][:FREQUENT])
+        self.dense = np.full(n_terms, -1)
+        self.dense[frequent] = np.arange(len(frequent))
+        often = self.dense[term] >= 0
+        self.postings = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        at = place[doc[often]]
+        self.postings[at // BLOCK, self.dense[term[often]], at % BLOCK] = weight[often]
+        self.bound = np.ascontiguousarray(self.postings.max(2).T) if self.blocks else np.zeros((len(frequent), 0), np.float32)
+        order = np.flatnonzero(~often)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.place, self.weight = place[doc[order]].astype(np.int32), weight[order].astype(np.float32)
 
     def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and example numbers (n x k, best first; ties by number); cosine 0 and -1 where there are fewer."""
@@ -137,46 +117,52 @@ class BlockMaxIndex:
         for lo in range(0, len(full) if self.n else 0, QUERIES):
             rows = full[lo : lo + QUERIES]
             count = first[rows + 1] - first[rows]
-            at = np.repeat(first[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            query = np.zeros((len(rows), len(self.bound)), np.float32)
-            query[np.repeat(np.arange(len(rows)), count), term[at]] = weight[at]
-            best[rows], which[rows] = self._search(query, k)
-        which[best <= 0] = -1
+            at = _spread(first[rows], count)
+            self._search(np.repeat(np.arange(len(rows)), count), term[at], weight[at], rows, k, best, which)
         return best, which
 
-    def _search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(query)
-        best, which = np.zeros((n, k), np.float32), np.full((n, k), self.n)
-        bound = (query @ self.bound) * np.float32(1.00001)
-
-        def visit(block: int, rows: np.ndarray) -> None:
-            cosine = query[rows] @ self.postings[block]
-            bound[rows, block] = -1
-            better = cosine.max(1) >= best[rows, k - 1]
-            rows, cosine = rows[better], cosine[better]
-            number = np.full(BLOCK, self.n)
-            mine = self.rank[block * BLOCK : (block + 1) * BLOCK]
-            number[: len(mine)] = mine
-            c = np.concatenate([best[rows], cosine], 1)
-            w = np.concatenate([which[rows], np.broadcast_to(number, cosine.shape)], 1)
-            order = np.lexsort((w, -c), axis=1)[:, :k]
-            best[rows], which[rows] = np.take_along_axis(c, order, 1), np.take_along_axis(w, order, 1)
-
-        for _ in range(2):  # each query's most promising blocks first, for a threshold
-            pick = bound.argmax(1)
+    def _search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: np.ndarray, k: int, best: np.ndarray, which: np.ndarray) -> None:
+        n, width = len(rows), self.blocks * BLOCK
+        often = self.dense[term] >= 0
+        query = np.zeros((n, len(self.bound)), np.float32)
+        query[row[often], self.dense[term[often]]] = weight[often]
+        row, term, weight = row[~often], term[~often], weight[~often]
+        size = self.first[term + 1] - self.first[term]
+        at = _spread(self.first[term], size)
+        cosine = np.bincount(np.repeat(row * width, size) + self.place[at], np.repeat(weight, size) * self.weight[at], n * width).astype(np.float32).reshape(n, self.blocks, BLOCK)
+        bound = (query @ self.bound + cosine.max(2)) * np.float32(1.0001) + np.float32(1e-6)
+        done = np.zeros((n, self.blocks), bool)
+
+        def visit(block: int, some: np.ndarray) -> None:
+            cosine[some, block] += query[some] @ self.postings[block]
+            done[some, block] = True
+
+        least = np.zeros(n, np.float32)
+        for _ in range(3):  # each query's most promising blocks first, for a threshold
+            pick = np.where(done, -1, bound).argmax(1)
             for block in np.unique(pick):
-                visit(block, np.flatnonzero(pick == block))
+                visit(block, np.flatnonzero((pick == block) & ~done[:, block]))
+        seen = np.where(done[:, :, None], cosine, 0).reshape(n, -1)
+        least = np.partition(seen, width - k, axis=1)[:, width - k] if width > k else least
         for block in range(self.blocks):
-            rows = np.flatnonzero((bound[:, block] >= best[:, k - 1]) & (bound[:, block] > 0))
-            if len(rows):
-                visit(block, rows)
-        return best, which
+            some = np.flatnonzero((bound[:, block] >= least) & (bound[:, block] > 1e-6) & ~done[:, block])
+            if len(some):
+                visit(block, some)
+        cosine = np.where(done[:, :, None], cosine, 0).reshape(n, -1)
+        least = np.partition(cosine, width - k, axis=1)[:, width - k] if width > k else least
+        q, at = np.nonzero((cosine >= least[:, None]) & (cosine > 0))
+        value, number = cosine[q, at], self.rank[at]
+        order = np.lexsort((number, -value, q))
+        q, value, number = q[order], value[order], number[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        top = nth < k
+        best[rows[q[top]], nth[top]], which[rows[q[top]], nth[top]] = value[top], number[top]
 
 
 @dataclass
 class Scorer:
-    vocabulary: Vocabulary
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    worth: np.ndarray
     example: tuple  # doc, term, weight, number of examples
     label: np.ndarray
     mass: np.ndarray  # labelled documents that an example stands for
@@ -186,9 +172,14 @@ class Scorer:
 
     def ready(self) -> Scorer:
         if self.index is None:
-            self.index = BlockMaxIndex(*self.example[:3], self.example[3], self.vocabulary.size)
+            self.index = BlockMaxIndex(*self.example, len(self.vocabulary))
         return self
 
+    def nearest(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the nearest examples of every text."""
+        doc, term, tf = frequencies(self.vocabulary, *buffers(texts))
+        return self.ready().index.search(doc, term, unit_rows(doc, term, tf, self.worth, len(texts)), len(texts), NEIGHBOURS)
+
     def probability(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
         z = self.evidence(best, which) @ self.curve
         return np.where(which[:, 0] >= 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
@@ -217,79 +208,65 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _class_counts(batches):
+def _occurrences(batches):
+    """Known words of the examples: number of the example, hash and frequency."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
-        toxic = np.array(batch.column(2).to_pylist(), np.int64)
         for lo, hi in slices(offsets):
-            every, words, tf = _counted(*terms(data, offsets, lo, hi))
-            for level, least in enumerate(LEVELS):
-                doc, term = every[tf >= least], words[tf >= least]
-                value, back = np.unique(term, return_inverse=True)
-                pos = np.bincount(back, toxic[lo + doc], len(value)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(np.full(len(value), level)), pa.array(pos), pa.array(np.bincount(back, minlength=len(value)) - pos)], names=["term", "level", "pos", "neg"])
+            doc, h = terms(data, offsets, lo, hi)
+            value, back = np.unique(h, return_inverse=True)
+            doc, number, tf = counted(doc, back)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), pa.array(signed(value[number])), pa.array(tf)], names=["key", "term", "tf"])
 
 
-def _frequencies(vocabulary: Vocabulary):
+def _document_counts(vocabulary: np.ndarray):
     def run(batches):
-        total = np.zeros(vocabulary.size, np.int64)
+        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            _, term, _ = vocabulary.counts(*buffers(batch.column(0)))
+            _, term, _ = frequencies(vocabulary, *buffers(batch.column(0)))
             total += np.bincount(term, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "df"])
 
     return run
 
 
-def _vectors(vocabulary: Vocabulary):
-    def run(batches):
-        for batch in batches:
-            doc, term, tf = vocabulary.counts(*buffers(batch.column(1)))
-            at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(at, pa.array(term)), pa.ListArray.from_arrays(at, pa.array(tf))], names=["doc_id", "toxic", "term", "tf"])
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_terms: int = VOCABULARY) -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Scorer | None:
     """A scorer from labelled rows outside the held-out fifth; None where there is none with text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter((crc_mod("doc_id", 5) != 0) & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     rate = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    sample = stratified(known, "toxic", "doc_id", per_class).withColumnRenamed("doc_id", "key")  # at most 2.5 x per_class rows: safe to broadcast
+    sample = stratified(known, "toxic", "doc_id", per_class).select(F.col("doc_id").alias("key"), "toxic")  # at most 2 x per_class rows: safe to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    texts = stage(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("doc_id", "text", "toxic").dropDuplicates(["text"]), "examples")  # of copies, one tells all
-    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    if not n1 + n0:
+    texts = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("key")).groupBy("text").agg(F.min("doc_id").alias("key"), F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    texts = stage(texts.select("key", "text", "n1", "n"), "examples")
+    listed = texts.select("key", "n1", "n").toArrow().sort_by([("key", "ascending")])  # texts of one key all count; its number is the first's
+    if not (n := listed.num_rows):
         return None
-    count = texts.mapInArrow(_class_counts, "term long, level long, pos long, neg long").groupBy("term", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 3")
-    p, q = F.col("pos") / max(n1, 1), F.col("neg") / max(n0, 1)
-    share = (F.col("pos") + F.col("neg")) / (n1 + n0)
-    chi = count.withColumn("chi", (p - q) * (p - q) / (share * (1 - share) + 1e-6) * (n1 * n0 / (n1 + n0))).filter(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term", "level").limit(n_terms).select("term", "level").collect()
-    vocabulary = Vocabulary(np.array([r["term"] for r in chi], np.int64).view(U64), np.array([r["level"] for r in chi], np.int64))
-    df = np.zeros(vocabulary.size)
-    for r in docs.select("text").mapInArrow(_frequencies(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
+    keys, n1, size = (listed[c].to_numpy().astype(np.float64 if c != "key" else np.int64) for c in ("key", "n1", "n"))
+    found = texts.mapInArrow(_occurrences, "key long, term long, tf long").toArrow()
+    vocabulary, term = np.unique(np.ascontiguousarray(found["term"].to_numpy()).view(U64), return_inverse=True)
+    doc = np.searchsorted(keys, found["key"].to_numpy())
+    order = np.lexsort((term, doc))
+    doc, term, tf = doc[order], term[order], found["tf"].to_numpy()[order]
+    df = np.zeros(len(vocabulary))
+    counts = docs.select("text").mapInArrow(_document_counts(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
-    got = texts.mapInArrow(_vectors(vocabulary), "doc_id long, toxic int, term array<long>, tf array<long>").toArrow().sort_by([("doc_id", "ascending")])
-    label = got["toxic"].to_numpy().astype(np.float64)
-    n = len(label)
-    length = np.array([len(x) for x in got["term"].to_pylist()], np.int64) if n else np.zeros(0, np.int64)
-    flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
-    doc, term, tf = np.repeat(np.arange(n), length), flat("term"), flat("tf")
-    weight = np.where(label > 0, rate.get(1, 0) / max(n1, 1), rate.get(0, 0) / max(n0, 1))
-    scorer = Scorer(vocabulary, idf, (doc, term, unit_rows(doc, term, tf, idf, n), n), label, weight, 0.0, np.array([1.0, 0, 0, 0, 0]))
-    best, which = scorer.ready().index.search(doc, term, scorer.example[2], n, NEIGHBOURS + 1)
+    toxic = np.where(size > 0, n1 / size, 0)
+    p, q = (np.bincount(term, x[doc], len(vocabulary)) / max(x.sum(), 1e-9) for x in (toxic, 1 - toxic))
+    share = np.bincount(term, minlength=len(vocabulary)) / n
+    chi = (p - q) ** 2 / (share * (1 - share) + 1e-6) * (toxic.sum() * (1 - toxic).sum() / n)
+    worth = idf * np.minimum(1, (chi + 0.05) / SURE) ** 1.5
+    weight = size * np.where(toxic > 0.5, rate.get(1, 0) / max(toxic.sum(), 1e-9), rate.get(0, 0) / max((1 - toxic).sum(), 1e-9))
+    scorer = Scorer(vocabulary, worth, (doc, term, unit_rows(doc, term, tf, worth, n), n), toxic, weight, float(rate.get(1, 0) / max(1, sum(rate.values()))), np.array([1.0, 0, 0, 0, 0]))
+    best, which = scorer.ready().index.search(*scorer.example, NEIGHBOURS + 1)
     own = which == np.arange(n)[:, None]
     own[~own.any(1), -1] = True
     drop = np.argsort(own, axis=1, kind="stable")[:, :-1]
     best, which = np.take_along_axis(best, drop, 1), np.take_along_axis(which, drop, 1)
     has = which[:, 0] >= 0
-    lone = weight[~has]
-    scorer.prior = float((lone * label[~has]).sum() / lone.sum()) if len(lone) else float(rate.get(1, 0) / max(1, sum(rate.values())))
     if has.any():
-        scorer.curve = _logistic(scorer.evidence(best[has], which[has]), label[has], weight[has] / weight[has].mean())
+        scorer.curve = _logistic(scorer.evidence(best[has], which[has]), toxic[has], weight[has] / weight[has].mean())
     scorer.index = None
     return scorer
 
@@ -300,11 +277,8 @@ def _score(scorer: Scorer | None):
             n = batch.num_rows
             score, near, cosine = np.zeros(n), np.full(n, -1), np.zeros(n)
             if scorer is not None:
-                scorer.ready()
-                doc, term, tf = scorer.vocabulary.counts(*buffers(batch.column(1)))
-                best, which = scorer.index.search(doc, term, unit_rows(doc, term, tf, scorer.idf, n), n, NEIGHBOURS)
-                score, near, cosine = scorer.probability(best, which), which[:, 0], best[:, 0].astype(np.float64)
-            score = np.clip(score, 0, 1)
+                best, which = scorer.nearest(batch.column(1))
+                score, near, cosine = np.clip(scorer.probability(best, which), 0, 1), which[:, 0], best[:, 0].astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near), pa.array(cosine)],
                 names=["doc_id", "held_out", "score", "predicted", "nearest", "cosine"],
@@ -333,11 +307,8 @@ def without_toxic(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             if scorer is None or not batch.num_rows:
                 yield batch
                 continue
-            scorer.ready()
-            doc, term, tf = scorer.vocabulary.counts(*buffers(batch.column(at)))
-            best, which = scorer.index.search(doc, term, unit_rows(doc, term, tf, scorer.idf, batch.num_rows), batch.num_rows, NEIGHBOURS)
-            kept = batch.filter(pa.array(scorer.probability(best, which) < 0.5))
-            del batch, doc, term, tf, best, which
+            kept = batch.filter(pa.array(scorer.probability(*scorer.nearest(batch.column(at))) < 0.5))
+            del batch
             yield kept
             del kept
         tidy()
