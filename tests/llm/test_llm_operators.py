@@ -70,8 +70,6 @@ def test_near_duplicates(docs):
 
 def test_near_duplicates_of_a_large_group(spark):
     """A group of near copies that all differ, and documents that share a passage without being near: components stay exact."""
-    import random
-
     from fixtures import words
 
     rng = random.Random(8)
@@ -118,6 +116,39 @@ def test_repeated_substrings(docs):
     assert any(r.n_removed for r in found)
 
 
+def test_refined_buckets_equal_brute_force():
+    rng = random.Random(1)
+    for t in range(120):
+        alphabet = b"ab" if t % 2 else b"abcdefgh"
+        pool = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(50, 140))) for _ in range(4)]
+        made = []
+        for _ in range(rng.randrange(1, 12)):
+            x = rng.choice(pool)
+            lo = rng.randrange(len(x) - 49)
+            y = x[lo : rng.randrange(lo + 50, len(x) + 1)] * rng.choice((1, 1, 2))
+            made.append((b"a" * rng.randrange(50, 90) if rng.random() < 0.2 else y, rng.randrange(5)))
+        least = {}
+        for y, o in made:
+            for k in range(len(y) - 49):
+                least[y[k : k + 50]] = min(least.get(y[k : k + 50], 9), o)
+        want = [len(y) - k >= 50 and least[y[k : k + 50]] < o for y, o in made for k in range(len(y))]
+        got = repeats.repeated_windows(np.frombuffer(b"".join(y for y, _ in made), np.uint8), np.array([len(y) for y, _ in made]), np.array([o for _, o in made]))
+        assert got.tolist() == want
+
+
+def test_runs_of_equal_hash_and_unequal_bytes_stand_alone(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BYTE_CODE", np.zeros(256, np.uint64))  # strings of one length collide
+    texts = ["x" * 60 + "y" * 60, "x" * 60 + "z" * 60, "x" * 60 + "y" * 60]
+    s = repeats.Segment(pa.table({"doc_id": pa.array([1, 2, 3]), "text": pa.array(texts)}))
+    s.strings(np.ones(len(s.start), bool))
+    for run, of in zip(s.run, s.of):
+        head = s.first[of]
+        n = s.count[run] + repeats.LENGTH - 1
+        assert s.count[head] == s.count[run] and (s.data[s.start[run] : s.start[run] + n] == s.data[s.start[head] : s.start[head] + n]).all()
+
+
 def test_repeated_paragraphs(docs):
     found = paragraphs.repeated_paragraphs(docs).collect()
     assert len(found) == docs.count()
@@ -135,8 +166,6 @@ def test_repeated_paragraphs(docs):
 
 def test_repeated_paragraphs_of_short_sentences(spark):
     """A 50-word passage of sentences of 4 to 7 words, pasted mid-line, and short lines that other documents have too."""
-    import random
-
     from fixtures import words
 
     rng = random.Random(12)
@@ -377,17 +406,61 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.fit(empty, labels) is None and toxicity.score_toxicity(docs, None).first().score == 0
 
 
+def test_toxicity_of_held_out_rows_and_rare_words(spark):
+    """Learned from one part, measured on the other; a toxic word of few examples counts too, and equal texts vote by their share."""
+    rng = random.Random(17)
+    plain = [f"w{k}" for k in range(400)]
+    insults = ["scum", "moron", "trash", "loser", "rareinsult"]
+    made, marks = [], []
+    for k in range(1500):
+        text = [rng.choice(plain) for _ in range(rng.randrange(5, 120))]
+        if toxic := k % 5 == 1 or k % 25 == 0:
+            for _ in range(2):
+                text.insert(rng.randrange(len(text)), rng.choice(insults[:4]) if rng.random() < 0.97 else insults[4])
+        made.append((k, " ".join(text)))
+        marks.append((k, 1, int(toxic)))
+    made += [(2000 + k, "both ways") for k in range(10)] + [(3000, ""), (3001, None), (3002, "rareinsult")]
+    marks += [(2000 + k, 1, int(k < 9)) for k in range(10)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    truth = {k: t for k, _, t in marks if k < 1500}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert {k for k in truth if found[k].held_out} == set(held) and len(held) > 200
+    right = sum(found[k].predicted == truth[k] for k in held)
+    hit = [found[k].predicted for k in held if truth[k]]
+    assert right >= 0.98 * len(held) and sum(hit) >= 0.95 * len(hit)
+    assert found[3002].predicted == 1 and found[3000].score == found[3001].score < 0.5
+    again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs.repartition(7), labels.repartition(3))).collect()}
+    assert all(abs(again[k] - found[k].score) < 1e-9 for k in again)  # conflicting labels of equal texts included
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
-    n, terms = 700, 90
-    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.08)
+    n, terms = 700, 300
+    often = rng.random(terms) ** 6 * 0.5
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < often)
     dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-9)
     doc, term = np.nonzero(dense)
     index = toxicity.BlockMaxIndex(doc, term, dense[doc, term], n, terms)
+    assert 0 < index.postings.shape[1] < terms  # both kinds of postings
     best, which = index.search(doc, term, dense[doc, term], n, 10)
     want = -np.sort(-(dense @ dense.T), axis=1)[:, :10]
     assert np.abs(best - want).max() < 1e-5
     assert np.abs(np.where(which >= 0, (dense @ dense.T)[np.arange(n)[:, None], which], 0) - best).max() < 1e-5
+    few = toxicity.BlockMaxIndex(doc[doc < 5], term[doc < 5], dense[doc, term][doc < 5], 5, terms)
+    best, which = few.search(doc, term, dense[doc, term], n, 10)
+    assert np.abs(best[:, :5] + np.sort(-(dense @ dense[:5].T), axis=1)).max() < 1e-5 and (which[:, 5:] == -1).all()
+
+
+def test_labelled_samples_are_bounded_and_whole(spark):
+    """Copies and a hot key neither exceed the bound nor push out a class."""
+    from threadloom.llm.shared import stratified
+
+    made = [(7, "hot", "the same text")] * 3000 + [(k, ("a", "b")[k % 2], f"text {k % 700}") for k in range(4000)] + [(1, None, "x"), (2, "a", None)]
+    got = stratified(spark.createDataFrame(made, "doc_id long, lang string, text string"), "lang", "text", 100).collect()
+    assert Counter(r.lang for r in got) == {"hot": 1, "a": 100, "b": 100} and len({(r.lang, r.text) for r in got}) == 201
+    assert stratified(spark.createDataFrame([], "doc_id long, lang string, text string"), "lang", "text", 5).count() == 0
 
 
 def test_decontamination(spark, docs, empty):

@@ -1,14 +1,16 @@
 """Substring deduplication on a sampled suffix array, by bucket-pointer refinement.
 
-A byte goes if a 50-byte string over it also starts in a document of a smaller doc_id. Suffixes are first put into q-gram
-buckets (q = 16) of their window's least 16-gram hash; a bucket that no second document shares is final at once,
-which settles most of a corpus. Suffixes of shared buckets are refined: the identifier of 32 bytes is made from the
-identifiers at offsets 0 and 16, that of 50 bytes from the 32-byte identifiers at offsets 0 and 18, each
-update reused by the next, and a sort on the last groups equal strings. Identifiers are 64-bit fingerprints.
+A byte goes if a 50-byte string over it also starts in a document of a smaller doc_id. Windows meet where their least
+16-gram hash does; a hash that no second document has settles its windows at once, which is most of a corpus. The
+rest are sorted: suffixes fall into buckets by their first 8 bytes, and each knows its bucket by a pointer. Buckets of
+several are refined by sorting on (own pointer, pointer of the suffix at a later offset), which splits them by 16, 32 and
+last 50 bytes; a round reuses the pointers that the round before updated, and a bucket of one is never sorted again. Bytes
+are compared, not fingerprints: two windows share their last bucket only if all 50 bytes are equal.
 
 Work is exchanged between *segments* (documents that one task read, a table bucketed by segment, so texts never
-move again) and *parts* (ranges of bucket hashes). A segment sends each distinct string once, with its least
-doc_id, so a passage in a third of all documents costs a part one entry a segment, and no group is collected whole.
+move again) and *parts* (ranges of window hashes, as many as the counted bytes ask for). A segment sends each distinct
+string once, with its least doc_id, so a passage in a third of all documents costs a part one entry a segment, and no
+group is collected whole.
 
 Null and empty texts have 0 bytes; texts below 50 bytes lose nothing. Repeated rows of one doc_id don't remove each
 other. A null doc_id counts as greater than all others. Other columns are ignored.
@@ -33,7 +35,12 @@ Q = 16
 SPAN = LENGTH - Q + 1
 LOW = U64((1 << 48) - 1)
 LAST_ID = (1 << 63) - 1
+#: Bytes that the first sort looks at, and the rounds after it: offset of the other pointer, bytes that are equal then.
+FIRST = 8
+ROUNDS = ((8, 16), (16, 32), (18, 50))
 SEGMENTS_PER_TASK = 16
+#: Bytes of text in a bucket of segments, which one task reads, segment by segment.
+BUCKET_BYTES = 1 << 26
 #: Parts are sorted one at a time in a task's memory; more of them are smaller.
 PARTS_PER_BUCKET = 6
 
@@ -49,13 +56,44 @@ def grams(data: np.ndarray) -> np.ndarray:
     return mix((s[Q:] - s[:-Q]) * inverse[: n - Q + 1])
 
 
-def refined(data: np.ndarray) -> np.ndarray:
-    """Identifiers of all 50-byte strings, from those of 16 and 32 bytes at later offsets."""
-    a = grams(data)
-    if len(a) < SPAN:
-        return np.zeros(0, U64)
-    b = mix(a[:-16] * LANE[0] + a[16:] * LANE[1])
-    return mix(b[:-18] * LANE[2] + b[18:] * LANE[3])
+def repeated_windows(text: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A mark on the start of every window of ``LENGTH`` bytes that also starts in a string of a lesser owner.
+
+    ``text`` holds strings of the given sizes one after another; no window crosses them.
+    """
+    n = len(text)
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(n)
+    marks = np.zeros(n, bool)
+    raw = np.concatenate([text, np.zeros(FIRST, np.uint8)])
+    pointer = np.zeros(n, np.int64)
+    at = np.flatnonzero(left >= FIRST)
+    key = np.ndarray((n,), ">u8", raw, strides=(1,))[at].astype(U64)
+    for offset, depth in ((0, FIRST), *ROUNDS):
+        if offset:
+            at = at[left[at] >= depth]
+            key = (pointer[at].astype(U64) << U64(32)) | pointer[at + offset].astype(U64)
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        if not len(at):
+            return marks
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(edge, len(key)))
+        if offset:  # within the range of the old bucket, so that pointers of different buckets never meet
+            old = pointer[at[edge]]
+            first = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            base = np.repeat(edge[first], np.diff(np.append(first, len(edge))))
+            pointer[at] = np.repeat(old + edge - base, count)
+        else:
+            pointer[at] = np.repeat(edge, count)
+        several = np.repeat(count > 1, count)
+        at = at[several]
+        count = count[count > 1]
+    if len(at):
+        string = np.searchsorted(ends, at, "right")
+        least = np.minimum.reduceat(owner[string], np.cumsum(count) - count)
+        marks[at] = np.repeat(least, count) < owner[string]
+    return marks
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -124,15 +162,34 @@ class Segment:
             s = np.zeros(n + 1, U64)
             np.cumsum(BYTE_CODE[data] * p[:n], out=s[1:])
             content[lo:hi] = mix((s[base + size] - s[base]) * inverse[base] + size.astype(U64) * LANE[5])
-        order = np.lexsort((content, self.least[self.run]))
-        c, b = content[order], self.least[self.run][order]
-        new = np.concatenate([[True], (c[1:] != c[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.first = self.run[order[new]]
+        while True:
+            order = np.lexsort((content, self.least[self.run]))
+            c, b = content[order], self.least[self.run][order]
+            new = np.concatenate([[True], (c[1:] != c[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)
+            self.of = np.empty(len(order), np.int64)
+            self.of[order] = np.cumsum(new) - 1
+            self.first = self.run[order[new]]
+            if not len(false := self._differing()):
+                break
+            content[false] = mix(false.astype(U64) * LANE[6] + LANE[7])  # equal hashes of unequal strings: each stands alone
         self.least_id = np.full(len(self.first), LAST_ID)
         np.minimum.at(self.least_id, self.of, self.ids[self.doc[self.run]])
 
+    def _differing(self) -> np.ndarray:
+        """Runs (positions in ``run``) whose bytes are not those of the string that stands for them."""
+        head = self.first[self.of]
+        other = np.flatnonzero(head != self.run)
+        bad = [other[self.count[head[other]] != self.count[self.run[other]]]]
+        other = other[self.count[head[other]] == self.count[self.run[other]]]
+        for lo, hi in _groups(self.count[self.run[other]] + LENGTH - 1):
+            pick = other[lo:hi]
+            size = self.count[self.run[pick]] + LENGTH - 1
+            base = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(base, size)
+            unequal = self.data[np.repeat(self.start[self.run[pick]], size) + step] != self.data[np.repeat(self.start[head[pick]], size) + step]
+            bad.append(pick[np.logical_or.reduceat(unequal, base)])
+        return np.concatenate(bad)
+
 
 def _groups(sizes: np.ndarray, most: int = 1 << 18):
     """Ranges of entries of about ``most`` bytes."""
@@ -226,32 +283,22 @@ def _send_strings(parts: int):
 
 def _mark_strings(key, table):
     """Of one part: for each segment, which of its windows start in a document smaller than the least it has itself."""
-    ids, owners, sizes, tool = [], [], [], zstandard.ZstdDecompressor()
+    texts, counts, owners, tool = [], [], [], zstandard.ZstdDecompressor()
     for blob in table["blob"].to_pylist():
         raw = tool.decompress(blob)
         n = int.from_bytes(raw[:4], "little")
-        count = np.frombuffer(raw, "<i4", n, 4).astype(np.int64)
-        least = np.frombuffer(raw, "<i8", n, 4 + 4 * n)
-        text = np.frombuffer(raw, np.uint8, offset=4 + 12 * n)
-        size = count + LENGTH - 1
-        base = np.cumsum(size) - size
-        for lo, hi in _groups(size):
-            part = refined(text[base[lo] : base[hi - 1] + size[hi - 1]])
-            c = count[lo:hi]
-            ids.append(part[np.repeat(base[lo:hi] - base[lo] - np.cumsum(c) + c, c) + np.arange(c.sum())])
-        owners.append(np.repeat(least, count))
-        sizes.append(int(count.sum()))
-    value, owner = np.concatenate(ids), np.concatenate(owners)
-    del ids, owners
-    order = np.argsort(value)
-    value, sorted_owner = value[order], owner[order]
-    del owner
-    at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    least = np.repeat(np.minimum.reduceat(sorted_owner, at), np.diff(np.append(at, len(value))))
-    flag = np.empty(len(value), bool)
-    flag[order] = least < sorted_owner
-    ends = np.cumsum(sizes)
-    return _mail([(seg, key[0].as_py(), "windows", np.packbits(flag[e - n : e]).tobytes()) for seg, n, e in zip(table["seg"].to_pylist(), sizes, ends)])
+        counts.append(np.frombuffer(raw, "<i4", n, 4).astype(np.int64))
+        owners.append(np.frombuffer(raw, "<i8", n, 4 + 4 * n))
+        texts.append(np.frombuffer(raw, np.uint8, offset=4 + 12 * n))
+    size = np.concatenate(counts) + LENGTH - 1
+    base = np.cumsum(size) - size
+    marks = repeated_windows(np.concatenate(texts), size, np.concatenate(owners))
+    rows, at = [], 0
+    for seg, count in zip(table["seg"].to_pylist(), counts):
+        start = base[at : at + len(count)]
+        at += len(count)
+        rows.append((seg, key[0].as_py(), "windows", np.packbits(marks[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())]).tobytes()))
+    return _mail(rows)
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -300,26 +347,26 @@ def _report(parts: int):
     return run
 
 
-def segmented(docs: DataFrame, buckets: int) -> DataFrame:
-    """``seg, doc_id, text`` as a table in the shared folder, bucketed by segment: read by segment, it needs no shuffle."""
+def segmented(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``seg, doc_id, text`` as a table in the shared folder, bucketed by segment, and the number of buckets: read by segment, it needs no shuffle."""
     spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     seg = F.spark_partition_id().cast("long") * SEGMENTS_PER_TASK + F.pmod(F.xxhash64("text"), F.lit(SEGMENTS_PER_TASK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(seg.alias("seg"), "doc_id", "text")
     name = f"segments_{uuid.uuid4().hex}"
     rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "seg").sortBy("seg").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), buckets
 
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, buckets = segmented(docs)
     parts = PARTS_PER_BUCKET * buckets
-    texts = segmented(docs, buckets)
-    marked = texts.groupBy("seg").applyInArrow(_send_buckets(parts), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL)
-    marked = stage(marked, "buckets")
+    by_part = lambda mail: mail.repartition(parts, "part").groupBy("part")
+    marked = stage(by_part(texts.groupBy("seg").applyInArrow(_send_buckets(parts), _MAIL_SQL)).applyInArrow(_mark_buckets, _MAIL_SQL), "buckets")
     sent = texts.groupBy("seg").cogroup(marked.groupBy("seg")).applyInArrow(_send_strings(parts), _MAIL_SQL)
-    windows = stage(sent.repartition(buckets, "part").groupBy("part").applyInArrow(_mark_strings, _MAIL_SQL), "windows")
+    windows = stage(by_part(sent).applyInArrow(_mark_strings, _MAIL_SQL), "windows")
     return texts.groupBy("seg").cogroup(marked.union(windows).groupBy("seg")).applyInArrow(_report(parts), OUT)
 
 
