@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import small, stage
+from .shared import sieved, stage
 from .textkit import LANE, U64, mix, seg_starts, signed
 
 BITS = 4
@@ -154,20 +154,27 @@ def linked_components(classes: DataFrame, verify: Callable[[DataFrame], DataFram
     return components(edges.union(verify(second)))
 
 
+#: Members that one copy of a head's text serves.
+MEMBERS = 1024
+
+
 def sets_match(pairs: DataFrame, texts: DataFrame, keys: Callable, banding: Banding, repeats: bool = False) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets, made by ``keys`` from ``texts(id, text)``, link exactly.
 
-    Only texts of some pair are moved; their ids are broadcast when counted few enough. With ``repeats`` an id may
-    have many rows, of which one is taken after that selection.
+    Only texts that a bounded sieve of the ids lets through are moved. The text of a head ``a`` meets its members in
+    place: it is sent once for every ``MEMBERS`` of them, so the pairs of a hot head spread over tasks. With ``repeats`` an
+    id may have many rows, of which one is taken after that selection.
     """
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    rows = ids.count()
-    used = texts.join(small(ids, rows), "id", "left_semi")
+    used = sieved(texts, ["id"], ids, ["id"])
     used = used.dropDuplicates(["id"]) if repeats else used
-    both = (
-        pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("copies"))
+    members = (
+        pairs.join(heads, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
+        .join(used.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     )
+    sent = used.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(heads, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = members.join(sent, ["a", "copy"]).select("a", "b", "ta", "tb")
     num, den = U64(banding.num), U64(banding.den)
 
     def check(batches):
