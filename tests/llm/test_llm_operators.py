@@ -475,11 +475,70 @@ def test_decontamination(spark, docs, empty):
     want = {0, 1, 2, 3, 4}
     found = decontaminate.decontaminate(d, b).collect()
     assert {r.doc_id for r in found if r.contaminated} == want and len(found) == len(made)
-    blocks = decontaminate.overlaps(d, b, block_tokens=20)
-    assert {r.doc_id for r in blocks.collect()} == want
     assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {m[0] for m in made} - want
     assert decontaminate.decontaminate(docs, b).count() == docs.count()
     assert not decontaminate.decontaminate(d, b.limit(0)).filter("contaminated").collect()
+    assert decontaminate.decontaminate(empty, b).count() == 0
+
+
+def leak(text, item):
+    """Equal tokens of the largest overlap over all diagonals with an agreeing mask, pair by pair; 0 if it is too small."""
+    n, most = len(item), 0
+    masks = decontaminate.MASKS if n >= 5 else ["1" * n]
+    for d in range(-n + 1, len(text)):
+        same = [text[i] == item[i - d] for i in range(max(0, d), min(len(text), d + n))]
+        if not any(all(same[k + j] for j, bit in enumerate(m) if bit == "1") for m in masks for k in range(len(same) - len(m) + 1)):
+            continue
+        score = least = top = 0
+        start = begin = end = 0
+        for k, x in enumerate(same):
+            score += 1 if x else -2
+            if score - least > top:
+                top, begin, end = score - least, start, k + 1
+            if score < least:
+                least, start = score, k + 1
+        equal = sum(same[begin:end])
+        if equal >= (12 if n > 12 else max(1, -(-8 * n // 10))):
+            most = max(most, equal)
+    return most
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(23)
+    items = []
+    for k in range(14):
+        n = rng.choice((1, 2, 4, 5, 6, 8, 12, 13, 30, 60))
+        items.append([rng.choice("abcdefghijklmnopqrstuvwxyz") * (1 + k % 3) for _ in range(n)] if k % 4 else [rng.choice("xy") for _ in range(n)])
+    texts = []
+    for k in range(60):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 40))]
+        if k % 3:
+            part = list(rng.choice(items))
+            lo = rng.randrange(len(part))
+            part = part[lo : lo + rng.randrange(1, 40)]
+            for _ in range(rng.randrange(3)):
+                part[rng.randrange(len(part))] = "other"
+            text[len(text) // 2 : len(text) // 2] = part
+        texts.append(text if k % 10 else ["x"] * 30 + ["y", "x"] * 9)
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(texts[1]))], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.decontaminate(d, b).collect()}
+    hits = 0
+    for k, t in enumerate(texts):
+        every = {i: e for i, x in enumerate(items) if (e := leak(t, x))}
+        hits += bool(every)
+        want = (len(every), max(every.values(), default=0), min((i for i, e in every.items() if e == max(every.values())), default=None))
+        assert (found[k].n_items, found[k].equal_tokens, found[k].item_id) == want, (k, every)
+    assert hits > 20 and found[None].n_items == found[1].n_items
+
+
+def test_decontamination_of_repeated_tokens():
+    began = time.time()
+    word = np.full(20_000, 7, np.uint64)
+    assert decontaminate.overlap(word, word[:500])[0] == 500
+    pair = np.tile(np.array([7, 8], np.uint64), 5_000)
+    assert decontaminate.overlap(pair, pair[:1000])[0] == 1000
+    assert time.time() - began < 30
 
 
 def test_empty_tables(empty):

@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced seeds.
 
 Test items and training texts are token sequences (runs of letters and digits, A-Z lowered). Each mask hashes the tokens at
-its ones and ignores those at its zeros, so a substitution under a zero keeps the seed. Seeds that agree
-put an item on a diagonal of a document; the overlap around it is then verified token by token, matches scoring +1 and
-substitutions -2. An overlap counts with ``LEAST_TOKENS`` equal tokens, or ``LEAST_SHARE`` of a shorter item.
-Items of fewer tokens than a mask spans are sought whole.
-
-The benchmark is a stated query set that meets all documents in blocks of about ``BLOCK_TOKENS`` tokens: a block's seeds
-fit a task's memory whatever the benchmark's size, and more blocks mean more passes, never fewer items. Null or empty
+its ones and ignores those at its zeros, so a substitution under a zero keeps the seed. Test hashes and training
+hashes are joined on the seed; of the training side only hashes that a bit table of the test side lets through become rows.
+The table is bounded (``SIEVE_BITS``): with a very large benchmark it lets more rows through, and the join stays exact.
+A text and an item that share a seed meet once, and on each diagonal that a seed supports the overlap is verified token
+by token, matches scoring +1 and substitutions -2. It counts with ``LEAST_TOKENS`` equal tokens, or
+``LEAST_SHARE`` of a shorter item. Items of fewer tokens than a mask spans are sought whole.
+
+Equal texts are searched once. Diagonals of repeated tokens are marked by runs, not pair by pair. Null or empty
 texts and items match nothing; repeated rows are judged alike, and a null doc_id is no obstacle.
 """
 
@@ -20,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, stage
-from .textkit import LANE, U64, Slice, buffers, mix, slices
+from .shared import BROADCAST_ROWS, sieved, small, stage
+from .textkit import LANE, U64, Slice, buffers, mix, signed, slices
 
 MASKS = ("11111", "110111", "1101011", "10110011", "11001011")
+SHORTEST = min(map(len, MASKS))
 LEAST_TOKENS = 12
 LEAST_SHARE = 0.8
-BLOCK_TOKENS = 1_000_000
-_BITS = 20
+#: Bits of the table of test seeds that documents are held against.
+SIEVE_BITS = 26
+#: Items that are verified beside one copy of a text.
+ITEMS = 256
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 _FOLD = np.where(_TOKEN, np.arange(256), 32).astype(np.uint8)
@@ -51,115 +55,179 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-class SeedTable:
-    """Seeds of one block of the benchmark, by mask, with a bit table in front."""
-
-    def __init__(self, ids: list, texts: list):
-        data, offsets = buffers(pa.array(texts, pa.string()))
-        self.ids = ids
-        self.hashes, self.first, _ = tokens(data, offsets, 0, len(ids))
-        self.size = np.diff(self.first)
-        item = np.repeat(np.arange(len(ids)), self.size)
-        left = self.first[1:][item] - np.arange(len(self.hashes)) if len(ids) else np.zeros(0, int)
-        shortest = min(map(len, MASKS))
-        masks = [(m, None) for m in MASKS] + [("1" * int(n), int(n)) for n in np.unique(self.size) if 0 < n < shortest]
-        self.parts = []
-        for mask, only in masks:
-            h = seeds(self.hashes, mask)
-            ok = left[: len(h)] >= len(mask)
-            if only:
-                ok &= self.size[item[: len(h)]] == only
-            at = np.flatnonzero(ok)
-            at = at[np.argsort(h[at], kind="stable")]
-            if len(at):
-                table = np.zeros(1 << _BITS, bool)
-                table[h[at] >> U64(64 - _BITS)] = True
-                self.parts.append((mask, h[at], at, item[at], table))
-
-    def hits(self, hashes: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, diagonal) with an agreeing seed; diagonals are token offsets."""
-        found = []
-        for mask, keys, at, item, table in self.parts:
-            h = seeds(hashes, mask)
-            look = np.flatnonzero(table[h >> U64(64 - _BITS)])
-            look = look[look + len(mask) <= ends[doc[look]]]
-            lo, hi = np.searchsorted(keys, h[look], "left"), np.searchsorted(keys, h[look], "right")
-            n = hi - lo
-            if n.sum():
-                src = np.repeat(look, n)
-                dst = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                found.append(np.stack([doc[src], item[dst], src - (at[dst] - self.first[item[dst]])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def overlap(self, hashes: np.ndarray, lo: int, hi: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Equal tokens and bounds of the best verified overlap on a diagonal; None if it is too small."""
-        a, n = self.first[item], int(self.size[item])
-        s, e = max(lo, diagonal), min(hi, diagonal + n)
-        same = hashes[s:e] == self.hashes[a + s - diagonal : a + e - diagonal]
-        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        floor = np.minimum.accumulate(total)
-        end = int(np.argmax(total - floor))
-        start = int(np.argmax(total[: end + 1] == floor[end]))
-        equal = int(same[start:end].sum())
-        need = LEAST_TOKENS if n > LEAST_TOKENS else max(1, math.ceil(LEAST_SHARE * n))
-        return (equal, s + start, s + end) if equal >= need else None
+def _inside(hashes: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Starts of ``width`` tokens that end in their own text; ``ends`` has the end of the text of each token."""
+    return np.flatnonzero(np.arange(max(0, len(hashes) - width + 1)) + width <= ends[: max(0, len(hashes) - width + 1)])
 
 
-FOUND = "doc_id long, h long, item_id long, equal int, first_char int, end_char int"
+def _item_seeds(batches):
+    """``seed, size`` and the item's key: of a short item its only seed."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        for lo, hi in slices(offsets):
+            hashes, first, s = tokens(data, offsets, lo, hi)
+            size = np.diff(first)
+            ends = first[1:][s.doc] if len(hashes) else first[:0]
+            seed, item = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for mask in (*MASKS, *("1" * k for k in range(1, SHORTEST))):
+                at = _inside(hashes, ends, len(mask))
+                if len(mask) < SHORTEST:
+                    at = at[size[s.doc[at]] == len(mask)]
+                seed.append(seeds(hashes, mask)[at])
+                item.append(s.doc[at])
+            seed, item = np.concatenate(seed), np.concatenate(item)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), batch.column(0).take(pa.array(item + lo)), pa.array(size[item].astype(np.int32))], names=["seed", "item", "size"])
 
 
-def _finder(block):
-    """Overlaps of every document with one block."""
+def _spots(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return seed >> U64(64 - bits), (seed >> U64(8)) & U64((1 << bits) - 1)
+
+
+def _bit_table(test: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a table with two bits set for each seed; merged in the cluster, so at most 2 ** bits / 64 rows come here."""
+    spots = test.select(F.explode(F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 8).bitwiseAND(F.lit((1 << bits) - 1)))).alias("spot"))
+    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).toArrow()
+    table = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.view(np.uint8)
+
+
+def _document_seeds(table, bits: int, shorter: list[int]):
+    """``h, n, seed`` of every text's seeds that the table knows, without repeats in a slice."""
 
     def run(batches):
-        table = SeedTable(*block.value)
+        known = table.value
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            rows = []
+            data, offsets = buffers(batch.column(0))
             for lo, hi in slices(offsets):
                 hashes, first, s = tokens(data, offsets, lo, hi)
                 if not len(hashes):
                     continue
-                for doc, item, diagonal in table.hits(hashes, s.doc, first[1:]).tolist():
-                    if (r := table.overlap(hashes, int(first[doc]), int(first[doc + 1]), item, diagonal)) is not None:
-                        base = s.bounds[doc]
-                        rows.append((lo + doc, table.ids[item], r[0], int(s.starts[r[1]] - base), int(s.ends[r[2] - 1] - base)))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(2).take(at), *(pa.array([r[1 + k] for r in rows], t) for k, t in enumerate(kinds))],
-                names=["doc_id", "h", "item_id", "equal", "first_char", "end_char"],
-            )
+                ends, found = first[1:][s.doc], []
+                for mask in (*MASKS, *("1" * k for k in shorter)):
+                    h = seeds(hashes, mask)
+                    a, b = _spots(h, bits)
+                    look = np.flatnonzero((known[a >> U64(3)] >> (a & U64(7)).astype(np.uint8)) & 1)
+                    look = look[(known[b[look] >> U64(3)] >> (b[look] & U64(7)).astype(np.uint8)) & 1 > 0]
+                    look = look[look + len(mask) <= ends[look]]
+                    found.append(np.stack([s.doc[look].astype(U64), h[look]], 1))
+                found = np.unique(np.concatenate(found), axis=0)
+                row = pa.array(found[:, 0].astype(np.int64) + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(signed(found[:, 1]))], names=["h", "n", "seed"])
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``doc_id, h, item_id, equal, first_char, end_char`` (bytes) of every verified overlap; ``h`` hashes the text. Staged."""
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of consecutive numbers."""
+    edge = np.flatnonzero(np.diff(at) != 1)
+    return at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]
+
+
+def diagonals(text: np.ndarray, item: np.ndarray, masks: list[str]) -> np.ndarray:
+    """Offsets of the item in the text at which some seed agrees, in order.
+
+    Positions of one seed are taken by runs: a run of a in the text and one of b in the item support a + b - 1 offsets in a row.
+    """
+    change = np.zeros(len(text) + len(item) + 1, np.int64)
+    for mask in masks:
+        x, y = seeds(text, mask), seeds(item, mask)
+        common = np.intersect1d(x, y)
+        if not len(common):
+            continue
+        ox, oy = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+        sx, sy = x[ox], y[oy]
+        for lo, hi, p, q in zip(np.searchsorted(sx, common), np.searchsorted(sx, common, "right"), np.searchsorted(sy, common), np.searchsorted(sy, common, "right")):
+            a0, a1 = _runs(ox[lo:hi])
+            b0, b1 = _runs(oy[p:q])
+            for k in range(0, len(a0), max(1, (1 << 20) // len(b0))):
+                some = slice(k, k + max(1, (1 << 20) // len(b0)))
+                np.add.at(change, (a0[some, None] - b1[None] + len(item)).ravel(), 1)
+                np.add.at(change, (a1[some, None] - b0[None] + len(item) + 1).ravel(), -1)
+    return np.flatnonzero(np.cumsum(change) > 0) - len(item)
+
+
+def overlap(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+    """Equal tokens, first and end token of the largest verified overlap over all seeded diagonals (ties: the first); None if all are too small."""
+    n = len(item)
+    masks = list(MASKS) if n >= SHORTEST else ["1" * n]
+    need = LEAST_TOKENS if n > LEAST_TOKENS else max(1, math.ceil(LEAST_SHARE * n))
+    best = None
+    for diagonal in diagonals(text, item, masks).tolist():
+        s, e = max(0, diagonal), min(len(text), diagonal + n)
+        if e - s < need or best is not None and e - s <= best[0]:
+            continue
+        same = text[s:e] == item[s - diagonal : e - diagonal]
+        total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+        floor = np.minimum.accumulate(total)
+        end = int(np.argmax(total - floor))
+        start = int(np.argmax(total[: end + 1] == floor[end]))
+        equal = int(same[start:end].sum())
+        if equal >= need and (best is None or equal > best[0]):
+            best = (equal, s + start, s + end)
+    return best
+
+
+FOUND = "h long, n long, item_id long, equal int, first_char int, end_char int"
+
+
+def _verify(batches):
+    """The overlap of each text (column 2) with each of its candidates (column 3, structs of id and text)."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(2))
+        rows = []
+        flat = batch.column(3).flatten()
+        ids, (item_data, item_offsets) = flat.field("item_id").to_pylist(), buffers(flat.field("text"))
+        items, item_first, _ = tokens(item_data, item_offsets, 0, len(ids))
+        edge = np.cumsum([0, *(len(x) for x in batch.column(3))])
+        for lo, hi in slices(offsets):
+            hashes, first, s = tokens(data, offsets, lo, hi)
+            for doc in range(hi - lo):
+                text = hashes[first[doc] : first[doc + 1]]
+                for k in range(edge[lo + doc], edge[lo + doc + 1]):
+                    if (r := overlap(text, items[item_first[k] : item_first[k + 1]])) is not None:
+                        base = s.bounds[doc]
+                        rows.append((lo + doc, ids[k], r[0], int(s.starts[first[doc] + r[1]] - base), int(s.ends[first[doc] + r[2] - 1] - base)))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), *(pa.array([r[1 + k] for r in rows], t) for k, t in enumerate(kinds))],
+            names=["h", "n", "item_id", "equal", "first_char", "end_char"],
+        )
+
+
+def _text_key() -> list:
+    """Hash and length of a text: rows of equal texts share them."""
+    return [F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``h, n, item_id, equal, first_char, end_char`` (bytes): the largest verified overlap of every text, by hash and length, with every item. Staged."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and text <> ''")
-    total = items.agg(F.sum(F.size(F.split("text", "[^\\p{L}\\p{N}]+")))).first()[0] or 0
-    blocks = max(1, -(-total // block_tokens))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    found = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = sc.broadcast(([r[0] for r in part], [r[1] for r in part]))
-        one = stage(rows.mapInArrow(_finder(block), FOUND), "overlaps")
-        found = one if found is None else found.union(one)
-    return found
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and text <> ''").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    test = stage(items.select("item", "text").mapInArrow(_item_seeds, "seed long, item long, size int").distinct(), "seeds")
+    count = test.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("size") < SHORTEST, F.col("size"))).alias("short")).first()
+    bits = min(SIEVE_BITS, max(16, int(32 * (count["n"] + 1)).bit_length()))
+    table = sc.broadcast(_bit_table(test, bits))
+    rows = docs.filter("text is not null and text <> ''").select("text", *_text_key())
+    train = rows.mapInArrow(_document_seeds(table, bits, sorted(count["short"])), "h long, n long, seed long").distinct()
+    pairs = stage(train.join(small(test.select("seed", "item"), count["n"]), "seed").select("h", "n", "item").distinct(), "candidates")
+    wanted = pairs.groupBy("h", "n").agg(F.ceil(F.count(F.lit(1)) / ITEMS).cast("int").alias("chunks"))
+    beside = pairs.join(wanted, ["h", "n"]).withColumn("chunk", F.pmod("item", "chunks")).join(items, "item").groupBy("h", "n", "chunk").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    texts = sieved(rows, ["h", "n"], wanted, ["h", "n"]).dropDuplicates(["h", "n"])
+    return stage(beside.join(texts, ["h", "n"]).select("h", "n", "text", "items").mapInArrow(_verify, FOUND), "overlaps")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: whether any item leaks into it, how many do, and the largest overlap (ties: least item)."""
-    best = overlaps(docs, benchmark).groupBy("doc_id", "h").agg(
+    best = overlaps(docs, benchmark).groupBy("h", "n").agg(
         F.countDistinct("item_id").alias("n_items"), F.min(F.struct(-F.col("equal"), "item_id", "first_char", "end_char")).alias("best")
     )
     best = stage(best, "leaks")
-    best = small(best, best.count()).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "n_items", "best")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    return rows.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").select(
-        "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"),
+    best = small(best, best.count())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_key())
+    return rows.join(best, ["h", "n"], "left").select(
+        "doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"),
         F.coalesce(-F.col("best.col1"), F.lit(0)).alias("equal_tokens"), F.col("best.first_char").alias("first_byte"), F.col("best.end_char").alias("end_byte"),
     )
 
@@ -169,6 +237,15 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, into which no item of the benchmark leaks."""
-    leaks = stage(overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("h").alias("_leak_hash")).distinct(), "leaks")
-    return docs.join(small(leaks, leaks.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_hash")), "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all their columns, into which no item of the benchmark leaks. Only rows that the leaks' sieve lets through are compared with them, and moved where leaks are many."""
+    leaks = stage(overlaps(docs, benchmark).select(F.col("h").alias("_leak_hash"), F.col("n").alias("_leak_size")).distinct(), "leaks")
+    if leaks.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(leaks), _same_text(), "left_anti").select(*docs.columns)
+    h, size = _text_key()
+    clean, other = (sieved(docs, [h, size], leaks, ["_leak_hash", "_leak_size"], inside) for inside in (False, True))
+    return clean.union(other.join(leaks, _same_text(), "left_anti").select(*docs.columns))
+
+
+def _same_text():
+    h, size = _text_key()
+    return (h == F.col("_leak_hash")) & (size == F.col("_leak_size"))
