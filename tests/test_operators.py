@@ -107,6 +107,41 @@ def test_kmeans_tree(spark):
         topics.kmeans_tree(spark.createDataFrame([(1, [1.0])], "id long, v array<double>"))
 
 
+def test_kmeans_tree_gives_every_cluster_starts(spark):
+    """A small cluster beside a huge one, and a sample far below the rows: no cluster goes without centres."""
+    pts = [(k, [float(k % 3), 0.5]) for k in range(3000)] + [(9000 + k, [100.0 + k % 3, 50.0]) for k in range(300)]
+    tree = topics.kmeans_tree(spark.createDataFrame(pts, "id long, v array<double>"), 2, 2, 3, sample=20)
+    ids = {r.topic_id: r for r in tree.collect()}
+    assert sorted(r.members for r in ids.values() if r.level == 1) == [300, 3000]
+    for r in ids.values():
+        below = [c.members for c in ids.values() if c.parent_ids == [r.topic_id]]
+        assert r.level == 3 or sum(below) == r.members
+    twins = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(10)] + [(99, None)], "id long, v array<double>")
+    assert [(r.topic_id, r.members) for r in topics.kmeans_tree(twins, 3, 2, 2).filter("level = 1").collect()] == [("t:0", 10)]
+
+
+def test_keywords_fall_back_to_any_word(spark):
+    m = spark.createDataFrame([("t:0", 1, "42 the 7"), ("t:0", 2, "42 9"), ("t:1", 3, None)], "topic_id string, doc_id long, text string")
+    got = topics.keywords(m.filter("doc_id <> 1"))
+    assert [r.term for r in got.orderBy("rank").collect()] == ["42", "9"]
+    got = topics.keywords(m.unionByName(spark.createDataFrame([("t:0", 4, "words words")], m.schema)))
+    assert [(r.topic_id, r.term) for r in got.collect()] == [("t:0", "words")]
+
+
+def test_sections_of_equal_ids_and_marks(spark):
+    docs = spark.createDataFrame([(1, "a\nb\n\nc"), (1, "d\x01\x02e\n1) f"), (2, None), (3, "")], "doc_id long, text string")
+    assert rows(chunking.sections(docs), "doc_id", "section", "text") == [(1, 0, "a\nb"), (1, 0, "d\x01\x02e"), (1, 1, "1) f"), (1, 1, "c")]
+    assert chunking.structure_aware_chunks(docs, 5, 1).count() == 4
+    with pytest.raises(ValueError):
+        chunking.structure_aware_chunks(docs, 0, 0)
+
+
+def test_node_upsert_keeps_the_last(spark):
+    old = spark.createDataFrame([("a", "topic"), ("b", "topic")], "id string, kind string")
+    new = spark.createDataFrame([("b", "chunk", 1), ("b", "keyword", 2), ("c", "chunk", 1)], "id string, kind string, at int")
+    assert rows(graph.add_nodes(old, new, "at"), "id", "kind") == [("a", "topic"), ("b", "keyword"), ("c", "chunk")]
+
+
 def test_blend(spark):
     seq = [(0, p, t) for p, t in enumerate("abcc")] + [(1, p, t) for p, t in enumerate("abd")]
     b = markov.blend(*markov.fit(spark.createDataFrame(seq, "doc_id int, pos int, topic_id string")), 0.5).filter("i = 'a' and j = 'b'")
@@ -163,6 +198,31 @@ def test_walks(spark, small):
     assert all(r.path == [] for r in navigation.walk(q, table, greedy, 0).collect())
 
 
+def test_joined_walks_equal_walks_in_tasks(spark, small, monkeypatch):
+    edges = topics.knn(small).select("src", "dst", F.lit("topic-topic").alias("kind"), "weight")
+    allowed = navigation.filtered_moves(small, navigation.relations(small, edges))
+    chain = spark.createDataFrame([("t:0", "t:0.0", "t:1", 0.9), ("t:0.0", "t:0.1", "t:1", 1.0), ("t:1", "t:0.1", "t:0", 0.4), ("t:0.1", "t:0", "t:1", 1.0)], "i string, j string, k string, p double")
+    made = [(n, intent, start, v, prior) for n, (intent, start, v, prior) in enumerate(
+        (i, t, v, p) for i in ("deepen", "broaden", "compare", "apply", "clarify", "neutral") for t in ("t:0", "t:0.1", "t:1", "gone") for v, p in (([1.0, 0.2], [("t:1", 0.5)]), (None, None)))]
+    q = spark.createDataFrame(made, "query_id long, intent string, start string, vector array<double>, prior array<struct<topic_id: string, p: double>>")
+    for s in (Settings(navigation_greedy=True), Settings(), Settings(transition_policy_mix_eta=0.5), Settings(exploration_factor=0.5, navigation_temperature=0.3)):
+        want = rows(navigation.walk(q, navigation.move_table(small, allowed, chain), s, 5), "query_id", "path")
+        assert rows(navigation.walk_joined(q, small, allowed, s, 5, chain), "query_id", "path") == want
+    monkeypatch.setattr(navigation, "MOVES_LIMIT", 3)
+    assert rows(navigation.walks(q, small, allowed, Settings(exploration_factor=0.5, navigation_temperature=0.3), 5, chain), "query_id", "path") == want
+    with pytest.raises(ValueError):
+        navigation.walks(q, small, allowed, Settings(), 5, draw=lambda *a: 0.5)
+
+
+def test_a_policy_and_a_draw_of_ones_own(spark, small):
+    edges = topics.knn(small).select("src", "dst", F.lit("topic-topic").alias("kind"), "weight")
+    table = navigation.move_table(small, navigation.filtered_moves(small, navigation.relations(small, edges)))
+    q = spark.createDataFrame([(1, "neutral", "t:0", [1.0, 0.0], None)], "query_id long, intent string, start string, vector array<double>, prior array<struct<topic_id: string, p: double>>")
+    last = lambda table, s, intent, path, toward, prior: (k := table.moves[intent, path[-1]][0], k.astype(float))
+    assert navigation.walk(q, table, Settings(navigation_greedy=True), 2, policy=last).first().path == ["t:0", "t:1"]
+    assert len(navigation.walk(q, table, Settings(), 3, draw=lambda seed, query, step, topic: 0.5).first().path) == 3
+
+
 def test_diversity_and_scores(spark):
     s = spark.createDataFrame([(0, f"c{k}", float(k)) for k in range(1, 7)], "query_id long, chunk_id string, score double")
     c = spark.createDataFrame([(f"c{k}", "doc1" if k <= 3 else "doc2") for k in range(1, 7)], "chunk_id string, doc_id string")
@@ -181,6 +241,23 @@ def test_vector_table(spark, tmp_path):
     assert [r.id for r in table.query(q, 5, "tag = 'x'").collect()] == [1]
 
 
+def test_vector_table_checks_and_repeats(spark, tmp_path):
+    table = vectors.VectorTable(spark, f"file://{tmp_path}/v")
+    with pytest.raises(RuntimeError):
+        table.query(spark.createDataFrame([(9, [0.0])], "query_id long, q array<double>"), 1)
+    kind = "chunk_id long, v array<double>, at int"
+    table.upsert(spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 7)], kind), order="at")
+    table.upsert(spark.createDataFrame([(2, [1.0, 1.0], 1), (2, [1.0, 1.0], 1)], kind))
+    table.upsert(spark.createDataFrame([], kind))
+    assert rows(table.read(), "chunk_id", "v") == [(1, [0.0, 1.0]), (2, [1.0, 1.0])]
+    for bad in ([(None, [1.0, 0.0], 1)], [(3, None, 1)], [(3, [1.0], 1)], [(3, [1.0, 2.0], 1), (4, [1.0], 1)]):
+        with pytest.raises(ValueError):
+            table.upsert(spark.createDataFrame(bad, kind))
+    assert len(table._generations()) == 2
+    with pytest.raises(ValueError):
+        vectors.VectorTable(spark, "")
+
+
 CORPUS = ["Cats purr softly. Cats sleep all day.\n\nDogs bark loudly. Dogs run in parks.", "Rockets fly to orbit. Fuel burns fast.\n\nPlanets turn around stars. Moons turn around planets.", "Bread needs flour. Ovens bake bread.\n\nSoup needs salt. Pots boil soup."]
 
 
@@ -195,6 +272,10 @@ def test_client_end_to_end(spark, tmp_path):
     assert found and found[0]["score"] >= found[-1]["score"] and found[0]["chunks"][0]["text"]
     info = client.explain(include_embeddings=False)
     assert info["intent"] == "deepen" and len(info["path"]) <= 4 and "embedding" not in info["chunks_along_path"][0]
+    assert math.isclose(sum(info["prior"].values()), 1) and info["paths"] == [{"nodes": info["path"], "steps": len(info["path"])}]
+    first = info["path_steps"][0]
+    assert first["chunks"] and {"weight", "snippet", "chunk_id"} <= set(first["chunks"][0]) and "embedding" in client.explain()["path_steps"][0]["chunks"][0]
+    assert client.keywords(client.model.leaves().first().topic_id, 2) and client.model.parents("t:0.0") in ([], ["t:0"]) and client.model.coarse_centroid(0)
     client.save(str(tmp_path / "ix"))
     again = TopicGraph.load(spark, str(tmp_path / "ix"))
     assert again.query("tell me more about cats", top_k=3) == found and again.settings == client.settings
@@ -202,6 +283,40 @@ def test_client_end_to_end(spark, tmp_path):
         load_index(spark, str(tmp_path / "nowhere"))
 
 
+def test_client_without_a_model_starts_evenly(spark):
+    client = TopicGraph(spark, Settings(navigation_greedy=True, max_steps=3)).build_index(CORPUS, n_coarse=3, n_fine=2)
+    client.attach(vectors.NoProvider())
+    found = client.query("soup")
+    info = client.explain()
+    assert found and len(set(info["prior"].values())) == 1 and info["path"][0] == "t:0"
+
+
+def test_client_with_stored_chunks_and_a_given_model(spark, tmp_path):
+    from threadloom.operators.model import GivenModel, TopicModel
+
+    table = vectors.VectorTable(spark, str(tmp_path / "v"))
+    t = spark.createDataFrame([("t:0", 1, [], [1.0] * 16), ("t:0.0", 2, ["t:0"], [1.0] * 16), ("t:0.1", 2, ["t:0"], [-1.0] * 16)], "topic_id string, level int, parent_ids array<string>, centroid array<double>")
+    client = TopicGraph(spark, Settings(navigation_greedy=True, max_steps=3), vectors.StoredProvider(vectors.HashingProvider(), table), GivenModel(t)).build_index(CORPUS)
+    assert table.read().count() == client.tables["chunks"].count() == 6
+    assert client.query("bread and ovens", top_k=2) and isinstance(client.model, TopicModel)
+    scores, _ = client.query_df(spark.createDataFrame([(0, "Bread needs flour. Ovens bake bread.", "apply")], "query_id long, text string, intent string"))
+    best = scores.orderBy(F.col("score").desc()).first()
+    assert best.chunk_id == "2:0"
+    with pytest.raises(NotImplementedError):
+        vectors.HashingProvider().query_chunks(None, 1)
+
+
+def test_staged_tables_go(spark):
+    from threadloom.sources import staging
+
+    df = staging.stage(spark.range(3), "gone")
+    assert df.count() == 3
+    fs, at = staging.file_system(spark, staging.shared_dir(spark) + "/gone-*")
+    assert len(fs.globStatus(at)) == 1
+    staging.release(spark)
+    assert not fs.globStatus(at)
+
+
 def test_streamed_counts(spark, tmp_path):
     from threadloom.streaming.counts import count_transitions, transitions
 

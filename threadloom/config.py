@@ -10,7 +10,7 @@ _BOUNDS = {
     "navigation_delta": (0, None), "navigation_backtrack_penalty": (0, None), "navigation_novelty_bonus": (0, None), "navigation_prior_weight": (0, None),
     "neighbor_top_k": (1, None), "neighbor_min_cosine": (-1, 1), "clarify_similarity_threshold": (0, 1), "hierarchy_max_depth": (1, None),
     "min_cluster_size": (1, None), "transition_policy_mix_eta": (0, 1), "dag_tau": (0, 1), "topic_chunk_top_m": (1, None), "topic_chunk_min_prob": (0, 1),
-    "topic_chunk_ancestor_decay": (0, 1), "rerank_weight_topic": (0, 1), "rerank_weight_cosine": (0, 1), "rerank_weight_bm25": (0, 1),
+    "topic_chunk_ancestor_decay": (0, 1), "n_coarse": (1, None), "n_fine": (1, None), "additive_alpha": (0, None), "exploration_factor": (0, 1), "rerank_weight_topic": (0, 1), "rerank_weight_cosine": (0, 1), "rerank_weight_bm25": (0, 1),
 }
 
 
@@ -41,6 +41,10 @@ class Settings:
     rerank_weight_topic: float = 0.6
     rerank_weight_cosine: float = 0.4
     rerank_weight_bm25: float = 0.0
+    n_coarse: int = 5
+    n_fine: int = 3
+    additive_alpha: float = 0.0
+    exploration_factor: float = 0.0
     seed: int = 42
 
     def __post_init__(self):
@@ -67,5 +71,9 @@ class Settings:
             neighbor_top_k=6, neighbor_min_cosine=0.35, clarify_similarity_threshold=0.8, transition_policy_mix_eta=1.0, dag_tau=None,
         )
 
+    def with_(self, **changed) -> Settings:
+        """A copy with some values changed, validated again."""
+        return dataclasses.replace(self, **changed)
+
     def to_dict(self) -> dict:
         return dataclasses.asdict(self)

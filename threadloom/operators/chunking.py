@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -67,22 +67,33 @@ def paragraph_sentence_chunks(docs: DataFrame, max_tokens: int = 200) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, position int, text string, structural_group long")
 
 
+#: Opens a section in a text under way; a mark that the text itself holds is escaped.
+_MARK, _ESCAPED, _CUT = "\x01", "\x01\x03", "\x01\x02"
+
+
+def section_texts(text: Column) -> Column:
+    """Sections of one text: a heading opens one, a blank line closes one. Expressions within the row only, so equal ids never mix."""
+    bare = F.trim
+    heading = lambda line: line.rlike(r"^\s*#+\s+.+") | line.rlike(r"^\s*\d+[.)]\s*\S") | ((F.length(bare(line)) <= 50) & bare(line).rlike(r"^[A-Z][A-Z0-9\s]{1,50}$"))
+    lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(_ESCAPED)), "\n")
+    marked = F.transform(lines, lambda line: F.when(bare(line) == "", F.lit(_CUT)).when(heading(line), F.concat(F.lit(_CUT), line)).otherwise(line))
+    parts = F.split(F.array_join(marked, "\n"), _CUT)
+    whole = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "^\n+|\n+$", "")), lambda p: p != "")
+    return F.transform(whole, lambda p: F.replace(p, F.lit(_ESCAPED), F.lit(_MARK)))
+
+
 def sections(docs: DataFrame) -> DataFrame:
-    """``doc_id, section, text``: a heading opens a section, a blank line closes one."""
-    line = F.col("line")
-    bare = F.trim(line)
-    heading = line.rlike(r"^\s*#+\s+.+") | line.rlike(r"^\s*\d+[.)]\s*\S") | ((F.length(bare) <= 50) & bare.rlike(r"^[A-Z][A-Z0-9\s]{1,50}$"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("b", (heading | (bare == "")).cast("int")).withColumn("s", F.sum("b").over(order))
-    kept = cut.filter(bare != "").groupBy("doc_id", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return kept.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("s")) - 1).select("doc_id", "section", "text")
+    """``doc_id, section, text`` of every section. Nothing is shuffled; a null or blank text has none."""
+    return docs.select("doc_id", F.posexplode(section_texts(F.col("text"))).alias("section", "text"))
 
 
 def structure_aware_chunks(docs: DataFrame, window_size: int = 200, overlap: int = 50) -> DataFrame:
-    """Token windows inside each section; positions run over the document and are unique."""
-    parts = sections(docs).withColumn("t", tokens(F.col("text"))).filter(F.size("t") > 0)
+    """Token windows inside each section; positions run over the document and are unique. Nothing is shuffled."""
+    if window_size <= 0 or overlap < 0:
+        raise ValueError("window_size must be above 0 and overlap must not be negative")
     step = max(1, window_size - overlap)
-    last = F.ceil(F.greatest(F.size("t") - window_size, F.lit(0)) / step).cast("int")
-    rows = parts.select("doc_id", "section", "t", F.explode(F.sequence(F.lit(0), last)).alias("w"))
-    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "w")) - 1
-    return rows.select("doc_id", position.alias("position"), F.array_join(F.slice("t", F.col("w") * step + 1, window_size), " ").alias("text"), (F.col("doc_id") * 10000 + F.col("section")).cast("long").alias("structural_group"))
+    last = lambda t: F.ceil(F.greatest(F.size(t) - window_size, F.lit(0)) / step).cast("int")
+    windows = lambda part, k: F.when(F.size(tokens(part)) > 0, F.transform(F.sequence(F.lit(0), last(tokens(part))), lambda w: F.struct(k.alias("section"), F.array_join(F.slice(tokens(part), w * step + 1, window_size), " ").alias("text"))))
+    every = F.flatten(F.filter(F.transform(section_texts(F.col("text")), windows), lambda x: x.isNotNull()))
+    rows = docs.select("doc_id", F.posexplode(every).alias("position", "w"))
+    return rows.select("doc_id", "position", F.col("w.text").alias("text"), (F.col("doc_id") * 10000 + F.col("w.section")).cast("long").alias("structural_group"))

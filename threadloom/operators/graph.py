@@ -6,9 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """The union, where a new row replaces the old one of its id."""
-    return nodes.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+def add_nodes(nodes: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The union, where a new row replaces the old one of its id. Of new rows with one id the last by ``order`` stays, then by the other columns."""
+    by = [F.col(c).desc() for c in ([order] if order else []) + [c for c in new.columns if c not in ("id", order)]]
+    last = new.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy(*by or [F.lit(1)]))).filter("_nth = 1").drop("_nth", *([order] if order else []))
+    return nodes.join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def neighbors(edges: DataFrame, kind: str | None = None) -> DataFrame:
+    """``src, dst, weight`` of outgoing edges, of one kind or summed over all kinds of a pair."""
+    rows = edges.filter(F.col("kind") == kind) if kind else edges
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def edge_kinds(edges: DataFrame) -> DataFrame:
+    """``src, dst, kinds``: the kinds that join a pair, in order."""
+    return edges.groupBy("src", "dst").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def add_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -104,6 +117,15 @@ def nodes_and_edges(topics: DataFrame, chunks: DataFrame, edges: DataFrame) -> D
     return t.union(c).union(e)
 
 
+def to_records(topics: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``record, key, kind, fields``: a whole graph as rows, with the fields of each kind as JSON (null ones left out)."""
+    given = lambda df, names: F.to_json(F.struct(*[c for c in names if c in df.columns]))
+    t = topics.select(F.lit("node").alias("record"), F.col("topic_id").alias("key"), F.lit("topic").alias("kind"), given(topics, ("label", "level", "parent_ids", "keywords")).alias("fields"))
+    c = chunks.select(F.lit("node"), F.col("chunk_id").cast("string"), F.lit("chunk"), given(chunks, ("doc_id", "position", "structural_group", "text")))
+    e = edges.select(F.lit("edge"), F.concat_ws("|", "src", "dst"), "kind", F.to_json(F.struct("src", "dst", "weight")))
+    return t.union(c).union(e)
+
+
 def from_records(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without id or kind, and edges without endpoints, go; an endpoint nobody lists becomes a topic node."""
     nodes = nodes.filter("id is not null and kind is not null")

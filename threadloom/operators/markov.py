@@ -48,8 +48,15 @@ def blend(trans1: DataFrame, trans2: DataFrame, lam: float = 0.7, alpha: float =
     return both.withColumn("raw", raw).withColumn("p", F.col("raw") / F.sum("raw").over(w)).filter("p > 0").select("i", "j", "k", "p")
 
 
-def sample_inverse(dist: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
-    """For each row of ``draws(<keys>, u)`` the first k, in order of ids, whose cumulative probability reaches u."""
+def sample_inverse(dist: DataFrame, draws: DataFrame, keys: list[str], exploration: float = 0.0) -> DataFrame:
+    """For each row of ``draws(<keys>, u)`` the first k, in order of ids, whose cumulative probability reaches u.
+
+    With ``exploration`` that share of the mass is spread evenly over the context's keys, as a uniform draw that often would.
+    """
+    if not 0 <= exploration <= 1:
+        raise ValueError("exploration must lie in [0, 1]")
+    if exploration:
+        dist = dist.withColumn("p", F.col("p") * (1 - exploration) + exploration / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     cum = F.sum("p").over(Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     top = F.max("k").over(Window.partitionBy(*keys))
     table = dist.withColumn("cum", F.round(cum, 9)).withColumn("top", top)

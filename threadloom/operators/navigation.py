@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +15,7 @@ from ..config import Settings
 from ..functions.vectors import unit
 from . import graph
 
-#: Rows of the move table up to which it is sent to every task; beyond it, queries are joined with their moves step by step.
+#: Moves (and Markov transitions) up to which they are sent to every task; beyond it, ``walk_joined`` joins queries with their moves step by step.
 MOVES_LIMIT = 2_000_000
 
 
@@ -115,11 +117,11 @@ class MoveTable:
 
 
 def move_table(topics: DataFrame, allowed: DataFrame, markov: DataFrame | None = None) -> MoveTable:
-    """Collected for the tasks; a topic graph with more than ``MOVES_LIMIT`` moves is refused, as walks would need a partitioned graph."""
+    """Collected for the tasks. ValueError beyond ``MOVES_LIMIT``: ``walks`` then takes the joined way."""
     found = allowed.select("intent", "i", "k", "r").limit(MOVES_LIMIT + 1).collect()
     links = markov.select("i", "j", "k", "p").limit(MOVES_LIMIT + 1).collect() if markov is not None else []
     if max(len(found), len(links)) > MOVES_LIMIT:
-        raise ValueError(f"walks take {MOVES_LIMIT} moves of the topic graph at most: coarsen the hierarchy")
+        raise ValueError(f"more than {MOVES_LIMIT} moves: use walk_joined")
     rows = topics.select("topic_id", "centroid").orderBy("topic_id").collect()
     names = [r["topic_id"] for r in rows]
     dim = max((len(r["centroid"] or ()) for r in rows), default=0)
@@ -151,18 +153,22 @@ def scores(table: MoveTable, s: Settings, intent: str, path: list[int], toward:
     return k, value
 
 
-def _uniform(seed: int, query, step: int, topic: str) -> float:
-    import hashlib
+def uniform_draw(seed: int, query, step: int, topic: str) -> float:
+    """A number in (0, 1) from the first 48 bits of a hash: the same under any partitioning, and in SQL."""
+    return (int(hashlib.md5(f"{seed}|{query}|{step}|{topic}".encode()).hexdigest()[:12], 16) + 0.5) / 2.0**48
 
-    h = int.from_bytes(hashlib.blake2b(f"{seed}|{query}|{step}|{topic}".encode(), digest_size=8).digest(), "little")
-    return (h + 0.5) / 2.0**64
 
+Policy = Callable[["MoveTable", Settings, str, list, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Draw = Callable[[int, object, int, str], float]
 
-def walk_one(table: MoveTable, s: Settings, query, intent: str, start: int, toward: np.ndarray, prior: np.ndarray, steps: int) -> list[int]:
-    """One path. Greedy takes the best of (rounded score, id); else a draw by the Gumbel trick, from a hash of (seed, query, step, topic)."""
+
+def walk_one(table: MoveTable, s: Settings, query, intent: str, start: int, toward: np.ndarray, prior: np.ndarray, steps: int, policy: Policy = scores, draw: Draw = uniform_draw) -> list[int]:
+    """One path. Greedy takes the best of (rounded score, id); else a draw by the Gumbel trick from ``draw(seed, query, step, topic)``.
+
+    With an exploration factor, a step whose draw under the name "" falls below it takes any candidate alike."""
     path = [start] if steps > 0 else []
     while 0 < len(path) < steps:
-        k, value = scores(table, s, intent, path, toward, prior)
+        k, value = policy(table, s, intent, path, toward, prior)
         if not len(k):
             break
         logit = value / max(s.navigation_temperature, 1e-9)
@@ -177,20 +183,25 @@ def walk_one(table: MoveTable, s: Settings, query, intent: str, start: int, towa
         if s.navigation_greedy:
             best = int(k[np.argmax(np.round(value, 9))])
         else:
-            noise = [-np.log(-np.log(_uniform(s.seed, query, len(path), table.topics[t]))) for t in k]
-            best = int(k[np.argmax(logit + noise)])
+            noise = [-np.log(-np.log(draw(s.seed, query, len(path), table.topics[t]))) for t in k]
+            if s.exploration_factor and draw(s.seed, query, len(path), "") < s.exploration_factor:
+                logit = np.zeros(len(k))
+            best = int(k[np.argmax(np.round(logit + noise, 9))])
         path.append(best)
     return path
 
 
-def walk(queries: DataFrame, table: MoveTable, settings: Settings, steps: int) -> DataFrame:
+def walk(queries: DataFrame, table: MoveTable, settings: Settings, steps: int, policy: Policy = scores, draw: Draw = uniform_draw) -> DataFrame:
     """``query_id, intent, path``. ``queries(query_id, intent, start, vector, prior)`` with ``prior array<struct<topic_id, p>>``; vector and prior may be null.
 
-    A step depends on the whole path so far, so walks run on Arrow batches, one query after another, with the graph's moves at hand.
+    A step depends on the whole path so far, so walks run on Arrow batches, one query after another, with the graph's moves
+    at hand, sent once to each executor. ``policy`` may replace the scoring of candidates, ``draw`` the random numbers.
     """
-    at = {t: k for k, t in enumerate(table.topics)}
+    shared = queries.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
+        table = shared.value
+        at = {t: k for k, t in enumerate(table.topics)}
         for batch in batches:
             paths = []
             for q, intent, start, vector, prior in zip(*(batch.column(c).to_pylist() for c in range(5))):
@@ -203,7 +214,7 @@ def walk(queries: DataFrame, table: MoveTable, settings: Settings, steps: int) -
                 for d in prior or ():
                     if d["topic_id"] in at:
                         p[at[d["topic_id"]]] = d["p"]
-                found = walk_one(table, settings, q, intent, at[start], table.unit @ v / (n if n else 1), p, steps)
+                found = walk_one(table, settings, q, intent, at[start], table.unit @ v / (n if n else 1), p, steps, policy, draw)
                 paths.append([table.topics[t] for t in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["query_id", "intent", "path"])
 
@@ -211,6 +222,72 @@ def walk(queries: DataFrame, table: MoveTable, settings: Settings, steps: int) -
     return queries.select("query_id", "intent", "start", "vector", "prior").mapInArrow(run, f"query_id {kind}, intent string, path array<string>")
 
 
+def walk_joined(queries: DataFrame, topics: DataFrame, allowed: DataFrame, settings: Settings, steps: int, markov: DataFrame | None = None) -> DataFrame:
+    """``query_id, intent, path`` as ``walk`` gives them, for a graph of any size: each step joins the queries with the moves of their topic.
+
+    A step is staged, so lineage stays short. Candidates of a query are pre-aggregated to the best one; a hot topic's
+    moves repeat for each query that is there, and adaptive execution splits them.
+    """
+    from ..functions.vectors import cosine
+    from ..sources.staging import stage
+
+    s = settings
+    centre = topics.select(F.col("topic_id").alias("k"), F.col("centroid").alias("ck"))
+    here = topics.select(F.col("topic_id").alias("i"), F.col("centroid").alias("ci"))
+    prior = queries.select("query_id", F.explode("prior").alias("d")).select("query_id", F.col("d.topic_id").alias("k"), F.col("d.p").alias("prior"))
+    near = allowed.select("intent", "i", "k", "r").join(centre, "k").join(here, "i").select("intent", "i", "k", "r", "ck", F.coalesce(cosine(F.col("ci"), F.col("ck")), F.lit(0.0)).alias("close"))
+    asked = queries.join(topics.select(F.col("topic_id").alias("start")), "start", "left_semi").select("query_id", "intent", "vector", F.array("start").alias("path"))
+    done = queries.join(topics.select(F.col("topic_id").alias("start")), "start", "left_anti").select("query_id", "intent", F.array().cast("array<string>").alias("path"))
+    if steps <= 0:
+        return queries.select("query_id", "intent", F.array().cast("array<string>").alias("path"))
+    live = stage(asked, "walks")
+    for step in range(1, steps):
+        now = live.withColumn("i", F.element_at("path", -1))
+        seen = F.size(F.filter("path", lambda x: x == F.col("k")))
+        value = (
+            s.navigation_alpha * F.coalesce(cosine(F.col("ck"), F.col("vector")), F.lit(0.0)) + s.navigation_beta * F.col("close") + s.navigation_gamma * F.col("r")
+            + s.navigation_prior_weight * F.coalesce("prior", F.lit(0.0)) + F.when(seen == 0, s.navigation_novelty_bonus).otherwise(0.0) - s.navigation_delta * seen * seen
+        )
+        if step > 1:
+            value = value - F.when(F.element_at("path", -2) == F.col("k"), s.navigation_backtrack_penalty).otherwise(0.0)
+        found = now.join(near, ["intent", "i"]).join(prior, ["query_id", "k"], "left").withColumn("value", value)
+        found = found.select("query_id", "k", "value", (F.col("value") / max(s.navigation_temperature, 1e-9)).alias("logit"))
+        if s.transition_policy_mix_eta < 1 and step >= 3 and markov is not None:
+            each = Window.partitionBy("query_id")
+            soft = found.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(each)))
+            soft = soft.select("query_id", "k", (s.transition_policy_mix_eta * F.col("e") / F.sum("e").over(each)).alias("a"))
+            pairs = now.join(soft.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.element_at("path", -2).alias("h"), F.col("i").alias("j"))
+            chain = pairs.join(markov.select(F.col("i").alias("h"), "j", "k", ((1 - s.transition_policy_mix_eta) * F.col("p")).alias("b")), ["h", "j"]).join(centre.select("k"), "k", "left_semi").select("query_id", "k", "b")
+            mixed = soft.join(chain, ["query_id", "k"], "full_outer").select("query_id", "k", (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("m"))
+            mixed = mixed.withColumn("value", F.col("m") / F.sum("m").over(each))
+            found = mixed.select("query_id", "k", "value", F.ln(F.greatest("value", F.lit(1e-300))).alias("logit"))
+        if s.navigation_greedy:
+            goal = F.round("value", 9)
+        else:
+            u = lambda topic: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(s.seed)), F.col("query_id").cast("string"), F.lit(str(step)), topic)), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+            logit = F.when(u(F.lit("")) < s.exploration_factor, 0.0).otherwise(F.col("logit")) if s.exploration_factor else F.col("logit")
+            goal = F.round(logit - F.ln(-F.ln(u(F.col("k")))), 9)
+        best = found.groupBy("query_id").agg(F.min(F.struct((-goal).alias("goal"), "k"))["k"].alias("k"))
+        moved = live.join(best, "query_id", "left")
+        staged = stage(moved.withColumn("path", F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat("path", F.array("k")))), "walks")
+        done = done.union(staged.filter("k is null").select("query_id", "intent", "path"))
+        live = staged.filter("k is not null").select("query_id", "intent", "vector", "path")
+        if live.isEmpty():
+            break
+    return done.union(live.select("query_id", "intent", "path"))
+
+
+def walks(queries: DataFrame, topics: DataFrame, allowed: DataFrame, settings: Settings, steps: int, markov: DataFrame | None = None, policy: Policy = scores, draw: Draw = uniform_draw) -> DataFrame:
+    """``walk`` where the moves fit a task, else ``walk_joined``: the same paths either way. A policy or draw of one's own needs the former."""
+    try:
+        table = move_table(topics, allowed, markov)
+    except ValueError:
+        if policy is not scores or draw is not uniform_draw:
+            raise
+        return walk_joined(queries, topics, allowed, settings, steps, markov)
+    return walk(queries, table, settings, steps, policy, draw)
+
+
 def first_scores(queries: DataFrame, table: MoveTable, settings: Settings) -> DataFrame:
     """``query_id, k, score, p`` of the first step of each query: policy scores and their max-shifted softmax."""
     at = {t: k for k, t in enumerate(table.topics)}

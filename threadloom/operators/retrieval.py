@@ -26,15 +26,15 @@ def project(scores: DataFrame, topic_chunk: DataFrame) -> DataFrame:
 def rerank(scores: DataFrame, cosine: DataFrame | None = None, lexical: DataFrame | None = None, weights: tuple[float, float, float] = (0.6, 0.4, 0.0), mapped: bool = True) -> DataFrame:
     """``query_id, chunk_id, score`` from topic scores over their maximum, cosines ((c + 1) / 2 if ``mapped``, else clamped to [0, 1]) and lexical scores over their maximum."""
     wt, wc, wl = (w / sum(weights) for w in weights) if sum(weights) > 0 else (1.0, 0.0, 0.0)
-    w = Window.partitionBy("query_id")
-    out = scores.withColumn("top", F.max("score").over(w)).withColumn("s", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0) * wt)
+    top = lambda df, c, name: df.groupBy("query_id").agg(F.max(c).alias(name))  # noqa: E731 - pre-aggregated, so a query's chunks are no one task's burden
+    out = scores.join(top(scores, "score", "top"), "query_id").withColumn("s", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0) * wt)
     if sum(weights) <= 0:
         return scores
     if cosine is not None and wc:
         near = cosine.select("query_id", "chunk_id", ((F.col("cosine") + 1) / 2 if mapped else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cosine")))).alias("c"))
         out = out.join(near, ["query_id", "chunk_id"], "left").withColumn("s", F.col("s") + F.coalesce("c", F.lit(0.0)) * wc)
     if lexical is not None and wl:
-        lex = lexical.withColumn("l", F.col("bm25") / F.max("bm25").over(w)).select("query_id", "chunk_id", "l")
+        lex = lexical.join(top(lexical, "bm25", "most"), "query_id").withColumn("l", F.col("bm25") / F.col("most")).select("query_id", "chunk_id", "l")
         out = out.join(lex, ["query_id", "chunk_id"], "left").withColumn("s", F.col("s") + F.coalesce("l", F.lit(0.0)) * wl)
     return out.select("query_id", "chunk_id", F.col("s").alias("score"))
 
@@ -64,6 +64,9 @@ def _rank(*by):
     return F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
 
 
+def snippet(text, size: int = 500):
+    """The first ``size`` characters, with dots where more follow."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 
 
 def select_topk(scores: DataFrame, top_k: int = 8) -> DataFrame:
@@ -108,6 +111,12 @@ def path_steps(walks: DataFrame, topics: DataFrame) -> DataFrame:
     return walks.select("query_id", F.posexplode("path").alias("step", "topic_id")).join(t, "topic_id", "left").select("query_id", "step", "topic_id", "level", "parent_id")
 
 
+def chunks_by_step(walks: DataFrame, topic_chunk: DataFrame) -> DataFrame:
+    """``query_id, step, topic_id, chunk_id, weight``: the chunks of each visited topic with the weight of their link (1 where it has none)."""
+    steps = walks.select("query_id", F.posexplode("path").alias("step", "topic_id"))
+    return steps.join(topic_chunk, "topic_id").select("query_id", "step", "topic_id", "chunk_id", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
 def chunks_along_path(walks: DataFrame, topic_chunk: DataFrame) -> DataFrame:
     """``query_id, chunk_id, step``: chunks of the visited topics, each at its first step."""
     steps = walks.select("query_id", F.posexplode("path").alias("step", "topic_id")).groupBy("query_id", "topic_id").agg(F.min("step").alias("step"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix, scores_to, top_rows, unit
+from ..functions.vectors import matrix, unit
 from . import graph
 
 
@@ -97,21 +97,46 @@ def rollup(prior: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def knn(topics: DataFrame, top_k: int = 20, min_cosine: float = 0.0, skip_lineage: bool = True) -> DataFrame:
-    """``src, dst, weight``: nearest other topics by centroid cosine; lineage pairs are left out before ranking if asked."""
-    names = topics.select("topic_id", "centroid")
-    n = topics.count()
-    near = top_rows(names, names, n, "string", "string").filter("query_id <> id").filter(F.col("cosine") >= min_cosine).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("cosine").alias("weight"))
-    if skip_lineage:
-        up = graph.ancestors(topics).select(F.col("topic_id").alias("a"), F.col("ancestor_id").alias("b"))
-        both = up.union(up.select("b", "a"))
-        near = near.join(both, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst"))
-    return near.withColumn("r", rank).filter(F.col("r") <= top_k).drop("r")
+    """``src, dst, weight``: nearest other topics by centroid cosine (ties: smaller id); lineage pairs are left out before ranking if asked.
+
+    Exact. Every topic meets the topics, which are few by construction, in one matrix product a batch, and only its own nearest leave it.
+    """
+    spark = topics.sparkSession
+    rows = topics.select("topic_id", "centroid").filter("centroid is not null").orderBy("topic_id").collect()
+    names = [r["topic_id"] for r in rows]
+    at = {t: k for k, t in enumerate(names)}
+    kin: list[list[int]] = [[] for _ in names]
+    for r in graph.ancestors(topics).select("topic_id", "ancestor_id").collect() if skip_lineage else ():
+        if r[0] in at and r[1] in at:
+            kin[at[r[0]]].append(at[r[1]])
+            kin[at[r[1]]].append(at[r[0]])
+    shared = spark.sparkContext.broadcast((names, unit(np.array([r["centroid"] for r in rows], np.float64).reshape(len(rows), -1)), kin))
+
+    def run(batches):
+        names, u, kin = shared.value
+        number = {t: k for k, t in enumerate(names)}
+        label = np.array(names, object)
+        for batch in batches:
+            src, dst, weight = [], [], []
+            for t in batch.column(0).to_pylist():
+                k = number[t]
+                c = np.round(u @ u[k], 9)
+                c[[k, *kin[k]]] = -9
+                best = np.flatnonzero(c >= max(min_cosine, -2))
+                if len(best) > top_k:
+                    best = best[c[best] >= np.partition(c[best], len(best) - top_k)[len(best) - top_k]]
+                best = best[np.lexsort((best, -c[best]))][:top_k]  # names are in order, so numbers break ties
+                src += [t] * len(best)
+                dst += label[best].tolist()
+                weight += c[best].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string()), pa.array(weight, pa.float64())], names=["src", "dst", "weight"])
+
+    return topics.filter("centroid is not null").select("topic_id").mapInArrow(run, "src string, dst string, weight double")
 
 
 def dag_candidates(topics: DataFrame, tau: float) -> DataFrame:
     """``child, parent, cosine`` pairs near enough for a further parent, lineage excluded."""
-    return knn(topics, topics.count(), tau).select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.col("weight").alias("cosine"))
+    return knn(topics, max(1, topics.count()), tau).select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.col("weight").alias("cosine"))
 
 
 def add_dag_parents(topics: DataFrame, tau: float | None) -> DataFrame:
@@ -158,82 +183,161 @@ def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
     return points.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, v array<double>, topic_id string, distance double")
 
 
+#: Rows of each cluster among which its starts are chosen, at least.
+STARTS = 64
+
+
 def kmeans_tree(points: DataFrame, n_coarse: int = 5, n_fine: int = 3, max_depth: int = 3, min_cluster_size: int = 2, rounds: int = 8, sample: int = 20_000) -> DataFrame:
     """``topic_id, level, parent_ids, centroid, members`` by splitting clusters level by level.
 
-    Starts are chosen by farthest-first on at most ``sample`` rows (smallest hashes), rounds run over all rows of
-    all clusters of a level at once: a row only meets the centres below its own cluster. Empty children vanish.
+    A cluster of n rows splits into min(k, n) parts, k being ``n_coarse`` at the root and ``n_fine`` below, unless it is at
+    ``max_depth``, smaller than ``min_cluster_size``, or that gives fewer than 2. Starts are chosen by farthest-first on the rows of
+    smallest hash, about ``sample`` over a level and at least ``STARTS`` of every cluster (all where it has fewer). Rounds run over all
+    rows of all clusters of a level at once: a row only meets the centres below its own cluster. Empty children vanish.
+    Settings below 1 count as 1. Null and zero-length vectors are left out.
     """
+    from ..sources.staging import stage
+
+    n_coarse, n_fine, max_depth, min_cluster_size = (max(1, int(x)) for x in (n_coarse, n_fine, max_depth, min_cluster_size))
     key = points.columns[0]
-    dim = len(points.first()[1])
+    points = points.filter(F.size("v") > 0)
     spark = points.sparkSession
-    state = points.select(key, "v").withColumn("at", F.lit("t:"))
-    out = None
-    for depth in range(1, max_depth + 1):
+    first = points.first()
+    out, dim = [], len(first[1]) if first is not None else 0
+    state = points.select(key, "v", F.lit("t:").alias("at"))
+    for depth in range(1, max_depth + 1 if first is not None else 1):
         k = n_coarse if depth == 1 else n_fine
         sizes = {r["at"]: r["count"] for r in state.groupBy("at").count().collect()}
-        split = {a: min(k, n) for a, n in sizes.items() if n >= max(min_cluster_size, 1) and min(k, n) >= 2}
+        split = {a: min(k, n) for a, n in sizes.items() if n >= min_cluster_size and min(k, n) >= 2}
         if not split:
             break
-        part = state.filter(F.col("at").isin(list(split)))
-        share = min(1.0, sample / max(1, sum(sizes[a] for a in split)))
-        picked = part.filter(F.pmod(F.xxhash64(key, F.lit("start")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(key).toArrow().to_pandas()
+        total = sum(sizes[a] for a in split)
+        # a share of hashes that gives each cluster what it needs, with room for chance; the smallest of these are taken
+        most = {a: max(min(n := sizes[a], max(STARTS, split[a])), n * sample // total) for a in split}
+        cut = spark.createDataFrame([(a, min(1.0, most[a] / sizes[a] + 4 * (most[a] ** 0.5 + 4) / sizes[a]), most[a]) for a in sorted(split)], "at string, share double, most long")
+        part = state.join(F.broadcast(cut), "at")
+        spread = F.pmod(F.xxhash64(key, F.lit("start")), F.lit(1 << 30))
+        near = part.withColumn("h", spread).filter(F.col("h") <= F.col("share") * (1 << 30))
+        picked = near.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("h", key))).filter("nth <= most").select(key, "v", "at").orderBy(key).toArrow().to_pandas()
         centers = {}
         for a, rows in picked.groupby("at", sort=True):
             m = np.stack([np.array(v) for v in rows["v"]])
-            chosen = [int(((m - m.mean(0)) ** 2).sum(1).argmin())]
-            d = ((m - m[chosen[0]]) ** 2).sum(1)
+            chosen = [int(np.round(((m - m.mean(0)) ** 2).sum(1), 9).argmin())]
+            d = np.round(((m - m[chosen[0]]) ** 2).sum(1), 9)
             while len(chosen) < min(split[a], len(m)) and d.max() > 0:
                 chosen.append(int(d.argmax()))
-                d = np.minimum(d, ((m - m[chosen[-1]]) ** 2).sum(1))
+                d = np.minimum(d, np.round(((m - m[chosen[-1]]) ** 2).sum(1), 9))
             centers[a] = [(f"{a}.{j}" if a != "t:" else f"t:{j}", m[c].tolist()) for j, c in enumerate(chosen)]
-        for _ in range(rounds):
+        part = part.select(key, "v", "at")
+        for _ in range(max(1, rounds)):
             moved = _split_assign(part, centers, key)
             mean = {r["topic_id"]: r["centroid"] for r in centroids(moved, dim=dim).collect()}
             centers = {a: [(t, mean.get(t, v)) for t, v in items] for a, items in centers.items()}
-        state = _split_assign(part, centers, key).select(key, "v", F.col("topic_id").alias("at")).cache()
+        state = stage(_split_assign(part, centers, key).select(key, "v", F.col("topic_id").alias("at")), "clusters")
         level = centroids(state.withColumnRenamed("at", "topic_id"), dim=dim)
         parent = F.array() if depth == 1 else F.array(F.regexp_replace("topic_id", r"\.[0-9]+$", ""))
-        level = level.select("topic_id", F.lit(depth).alias("level"), parent.cast("array<string>").alias("parent_ids"), "centroid", "members")
-        rows = level.collect()
-        out = [*(out or []), *rows]
+        out += level.select("topic_id", F.lit(depth).alias("level"), parent.cast("array<string>").alias("parent_ids"), "centroid", "members").collect()
     if not out:
         raise ValueError("no topic hierarchy: the corpus is empty or no cluster could be split")
-    return spark.createDataFrame(out, "topic_id string, level int, parent_ids array<string>, centroid array<double>, members long")
+    return spark.createDataFrame(sorted(out, key=lambda r: r["topic_id"]), "topic_id string, level int, parent_ids array<string>, centroid array<double>, members long")
 
 
 def _split_assign(rows: DataFrame, centers: dict, key: str) -> DataFrame:
-    table = {a: ([t for t, _ in items], np.array([v for _, v in items], np.float64)) for a, items in centers.items()}
+    """``<id>, v, topic_id``: the nearest of the centres below the row's cluster, one matrix product for each cluster of a batch; a cluster without centres stays whole."""
+    shared = rows.sparkSession.sparkContext.broadcast({a: (np.array([t for t, _ in items], object), np.array([v for _, v in items], np.float64)) for a, items in centers.items()})
 
     def run(batches):
+        table = shared.value
         for batch in batches:
             m = matrix(batch.column(1))
-            at = batch.column(2).to_pylist()
-            new = []
-            for v, a in zip(m, at):
-                names, c = table[a]
-                new.append(names[int(np.round(((c - v) ** 2).sum(1), 12).argmin())])
+            at = np.array(batch.column(2).to_pylist(), object)
+            new = at.copy()
+            for a in set(at.tolist()):
+                if a in table:
+                    names, c = table[a]
+                    pick = np.flatnonzero(at == a)
+                    d = (m[pick] ** 2).sum(1)[:, None] - 2 * m[pick] @ c.T + (c * c).sum(1)[None]
+                    new[pick] = names[np.round(d, 9).argmin(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=[key, "v", "topic_id"])
 
     return rows.select(key, "v", "at").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, v array<double>, topic_id string")
 
 
+def keyword_members(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """``topic_id, <id>``: the rows that tell a topic's keywords. Of a topic with a parent these are all rows (not the parent's
+    alone) that lie nearest to it among its siblings, ties to the first in order; of a root its nearest min(50, max(1, rows / topics)).
+    """
+    key = rows.columns[0]
+    found = topics.select("topic_id", "parent_ids", "centroid").orderBy("topic_id").collect()
+    of: dict[str, list] = {}
+    roots = []
+    for r in found:
+        if r["parent_ids"]:
+            of.setdefault(r["parent_ids"][0], []).append((r["topic_id"], r["centroid"]))
+        else:
+            roots.append((r["topic_id"], r["centroid"]))
+    shared = rows.sparkSession.sparkContext.broadcast([(np.array([t for t, _ in x], object), np.array([c for _, c in x], np.float64)) for x in of.values()])
+    kind = rows.schema[key].dataType.simpleString()
+
+    def nearest(batches):
+        for batch in batches:
+            m = matrix(batch.column(1))
+            for names, c in shared.value if len(m) else ():
+                d = (m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None]
+                yield pa.RecordBatch.from_arrays([pa.array(names[np.round(d, 9).argmin(1)], pa.string()), batch.column(0)], names=["topic_id", key])
+
+    below = rows.select(key, "v").mapInArrow(nearest, f"topic_id string, {key} {kind}")
+    if not roots:
+        return below
+    k = min(50, max(1, rows.count() // max(1, len(found))))
+    centre = rows.sparkSession.sparkContext.broadcast((np.array([t for t, _ in roots], object), np.array([c for _, c in roots], np.float64)))
+
+    def best(batches):
+        names, c = centre.value
+        for batch in batches:
+            m = matrix(batch.column(1))
+            if not len(m):
+                continue
+            d = np.round((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None], 9)
+            for j, t in enumerate(names):
+                edge = np.partition(d[:, j], min(k, len(m)) - 1)[min(k, len(m)) - 1]
+                pick = np.flatnonzero(d[:, j] <= edge)
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(pick), pa.string()), batch.column(0).take(pa.array(pick)), pa.array(d[pick, j])], names=["topic_id", key, "d"])
+
+    near = rows.select(key, "v").mapInArrow(best, f"topic_id string, {key} {kind}, d double")
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy("d", key))
+    return below.union(near.withColumn("r", rank).filter(F.col("r") <= k).select("topic_id", key))
+
+
 STOP = "a about after all also am an and any are as at be because been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on or our out she so some such than that the their them then there these they this to up us was we were what when which who will with would you your"
 
 
+#: Distinct terms up to which document frequencies are broadcast.
+TERMS = 500_000
+
+
 def keywords(members: DataFrame, top_k: int = 10, pattern: str = "[a-zA-Z]{2,}", stop: str = STOP) -> DataFrame:
     """``topic_id, term, score, rank`` from ``members(topic_id, doc_id, text)``: the best summed TF-IDF.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over distinct documents, rows of unit length; terms of score 0 don't occur.
+    idf = ln((1 + n) / (1 + df)) + 1 over distinct documents, rows of unit length; terms of score 0 don't occur. Where the
+    pattern finds no term at all, words of any kind count, stop words too. Texts move once, by document: counts, weights and
+    norms of a document are made in place.
     """
     docs = members.select("doc_id", "text").dropDuplicates(["doc_id"])
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop.split()))
-    tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.count()
-    raw = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weight = raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+    def counted(pattern: str, stop: list[str]) -> DataFrame:
+        words = docs.repartition("doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop) if stop else F.lit(True))
+        return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    tf = counted(pattern, stop.split())
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if not (terms := df.count()):
+        tf = counted(r"(?U)\w+", [])
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = df.count()
+    raw = tf.join(F.broadcast(df) if terms <= TERMS else df, "term").withColumn("w", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1))
+    weight = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
     score = weight.join(members.select("topic_id", "doc_id").distinct(), "doc_id").groupBy("topic_id", "term").agg(F.round(F.sum("w"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.col("score").desc(), "term"))
     return score.withColumn("rank", rank).filter(F.col("rank") <= top_k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ..functions import text as tx
 from ..functions.vectors import cosine, top_rows
 from ..operators import chunking, graph, markov, navigation, retrieval, topics
 from ..schema import topic_depth, topic_id, topic_path
+from ..operators.model import described
 from ..sources import store, vectors
-from .given import GREEDY, Given
+from ..sources.staging import shared_dir
+from .given import GREEDY, STEPS, Given
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,10 +75,11 @@ st AS (SELECT query_id, intent, CASE WHEN intent='deepen' THEN split_part(leaf,'
 qc AS (SELECT query_id, topic_id, list_cosine_similarity(qs.v, topics.c) AS cs FROM qs, topics),
 pcc AS (SELECT a.topic_id AS i, b.topic_id AS k, list_cosine_similarity(a.c,b.c) AS cs FROM topics a, topics b)"""
 SCORE = "0.5*qc.cs+0.3*pcc.cs+0.5*a.r+0.2*coalesce(pp.p,0)"
+STEP = f"{SCORE} + CASE WHEN list_contains(w.path, a.k) THEN 0 ELSE 0.3 END - 0.5*power(len(list_filter(w.path, lambda x: x=a.k)),2) - CASE WHEN len(w.path)>1 AND w.path[-2]=a.k THEN 5.0 ELSE 0 END"
+GUMBEL = " - ln(-ln((('0x'||substr(md5('42|'||w.query_id||'|'||w.n||'|'||a.k),1,12))::BIGINT+0.5)/281474976710656.0))"
 WALK = QS + f""",
 w AS (SELECT query_id, intent, 1 AS n, [start] AS path FROM st UNION ALL
- SELECT query_id, intent, n+1, list_append(path, k) FROM (SELECT w.query_id, w.intent, w.n, w.path, a.k, row_number() OVER (PARTITION BY w.query_id ORDER BY round({SCORE}
-  + CASE WHEN list_contains(w.path, a.k) THEN 0 ELSE 0.3 END - 0.5*power(len(list_filter(w.path, lambda x: x=a.k)),2) - CASE WHEN len(w.path)>1 AND w.path[-2]=a.k THEN 5.0 ELSE 0 END, 9) DESC, a.k) AS rn
+ SELECT query_id, intent, n+1, list_append(path, k) FROM (SELECT w.query_id, w.intent, w.n, w.path, a.k, row_number() OVER (PARTITION BY w.query_id ORDER BY round({STEP}, 9) DESC, a.k) AS rn
   FROM w JOIN allowed a ON a.intent=w.intent AND a.i=w.path[-1] JOIN qc ON qc.query_id=w.query_id AND qc.topic_id=a.k JOIN pcc ON pcc.i=a.i AND pcc.k=a.k LEFT JOIN pp ON pp.query_id=w.query_id AND pp.topic_id=a.k
   WHERE w.n<5) WHERE rn=1),
 walks AS (SELECT query_id, intent, path FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC)=1),
@@ -219,6 +224,55 @@ def topic_id_parse(g):
     return made.select("topic_id", topic_path(F.col("topic_id")).cast("array<bigint>").alias("path"), topic_depth(F.col("topic_id")).cast("long").alias("depth"))
 
 
+def _tree_sql(k: tuple[int, ...] = (3, 2), rounds: int = 2) -> str:
+    """Farthest-first starts and Lloyd rounds, level by level, as CTEs."""
+    d2 = lambda a, b: f"round(list_distance({a},{b})*list_distance({a},{b}),9)"
+    mean = lambda of, by: f"(SELECT {by}, list(a ORDER BY i) AS c, max(n) AS n FROM (SELECT {by}, i, avg(v[i]) AS a, count(*) AS n FROM {of}, range(1,65) r(i) GROUP BY {by}, i) GROUP BY {by})"
+    ctes, out = ["s0 AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, 't:' AS grp FROM embeddings)"], []
+    for depth, parts in enumerate(k):
+        p, s = f"l{depth}", f"s{depth}"
+        ctes.append(f"{p}q0 AS MATERIALIZED (SELECT grp, v FROM (SELECT s.*, row_number() OVER (PARTITION BY s.grp ORDER BY {d2('s.v', 'm.c')}, vec_id) AS rn FROM {s} s JOIN {mean(s, 'grp')} m ON m.grp=s.grp) WHERE rn=1)")
+        ctes.append(f"{p}d0 AS MATERIALIZED (SELECT s.*, {d2('s.v', 'q.v')} AS d FROM {s} s JOIN {p}q0 q USING (grp))")
+        for j in range(1, parts):
+            ctes.append(f"{p}q{j} AS MATERIALIZED (SELECT grp, v FROM {p}d{j - 1} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d DESC, vec_id)=1)")
+            ctes.append(f"{p}d{j} AS MATERIALIZED (SELECT s.vec_id, s.v, s.grp, least(s.d, {d2('s.v', 'q.v')}) AS d FROM {p}d{j - 1} s JOIN {p}q{j} q USING (grp))")
+        name = lambda j: f"grp||'{'' if depth == 0 else '.'}{j}'"
+        ctes.append(f"{p}c0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT grp, {name(j)} AS t, v AS c FROM {p}q{j}' for j in range(parts))})")
+        for r in range(rounds + 1):
+            ctes.append(f"{p}a{r} AS MATERIALIZED (SELECT s.vec_id, s.v, s.grp, c.t FROM {s} s JOIN {p}c{r} c USING (grp) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {d2('s.v', 'c.c')}, t)=1)")
+            ctes.append(f"{p}c{r + 1} AS MATERIALIZED (SELECT t[1:len(t)-{1 if depth == 0 else 2}] AS grp, t, c, n FROM {mean(f'{p}a{r}', 't')})")
+        ctes.append(f"s{depth + 1} AS MATERIALIZED (SELECT vec_id, v, t AS grp FROM {p}a{rounds})")
+        out.append(f"SELECT t AS topic_id, {depth + 1}::BIGINT AS level, {'NULL' if depth == 0 else 'grp'}::VARCHAR AS parent_id, n AS members, i::BIGINT-1 AS dim, round(c[i],6) AS value FROM {p}c{rounds + 1}, range(1,65) r(i)")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(out)}"
+
+
+@query(_tree_sql())
+def kmeans_tree(g):
+    t = topics.kmeans_tree(g.vectors().select("vec_id", "v"), 3, 2, 2, 2, rounds=2)
+    return t.select("topic_id", F.col("level").cast("long").alias("level"), F.get("parent_ids", F.lit(0)).alias("parent_id"), "members", F.posexplode("centroid").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long")).withColumn("value", r6("value"))
+
+
+_MEMBERS = """mb AS (SELECT t.topic_id, t.parent_id, lf.vec_id, round(list_distance(lf.v, t.c)*list_distance(lf.v, t.c), 9) AS d FROM lf, topics t),
+km AS (SELECT topic_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, parent_id ORDER BY d, topic_id) AS rn FROM mb WHERE parent_id IS NOT NULL) WHERE rn=1
+ UNION ALL SELECT topic_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY d, vec_id) AS rn FROM mb WHERE parent_id IS NULL) WHERE rn<=least(50, greatest(1, (SELECT count(*) FROM lf)//(SELECT count(*) FROM topics))))"""
+
+
+@query(f"WITH {EMB}, {_MEMBERS} SELECT topic_id, vec_id FROM km")
+def keyword_members(g):
+    return topics.keyword_members(g.vectors().select("vec_id", "v"), g.settled())
+
+
+@query(f"WITH {EMB}, {_MEMBERS}, tx AS (SELECT vec_id, 'label'||chr((97+label)::INT)||' common' AS text FROM lf JOIN emb USING (vec_id, v)), tw AS (SELECT vec_id, unnest(regexp_extract_all(text,'[a-zA-Z]{{2,}}')) AS term FROM tx), dn AS (SELECT DISTINCT vec_id FROM km), dq AS (SELECT tw.vec_id, term FROM tw JOIN dn USING (vec_id)), dt AS (SELECT term, count(*) AS df FROM dq GROUP BY term), rw AS (SELECT vec_id, term, ln((1.0+(SELECT count(*) FROM dn))/(1.0+df))+1 AS w FROM dq JOIN dt USING (term)), nw AS (SELECT vec_id, term, w/sqrt(sum(w*w) OVER (PARTITION BY vec_id)) AS w FROM rw), sc AS (SELECT topic_id, term, round(sum(w),6) AS score FROM nw JOIN km USING (vec_id) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank FROM sc) SELECT topic_id, 'Topic '||topic_id AS label, array_to_string(list(term ORDER BY rank),' ') AS keywords FROM rk WHERE rank<=10 GROUP BY topic_id")
+def topic_descriptions(g):
+    word = F.concat(F.lit("label"), F.chr(F.col("label") + 97), F.lit(" common"))
+    return described(g.settled(), g.vectors().select(F.col("vec_id").alias("chunk_id"), "v", word.alias("text"))).select("topic_id", "label", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query(f"WITH {EMB} SELECT topic_id, i::BIGINT-1 AS dim, round(c[i],6) AS value, members FROM topics, range(1,65) r(i)")
+def topic_centroids(g):
+    return g.topics().select("topic_id", "members", F.posexplode("centroid").alias("dim", "value")).select("topic_id", F.col("dim").cast("long").alias("dim"), r6("value").alias("value"), "members")
+
+
 # ---- graph ----------------------------------------------------------------------------------------------------------
 @query(f"WITH {EDG} SELECT src, dst, weight FROM ed")
 def edge_accumulate(g):
@@ -294,6 +348,63 @@ def graph_nodes_edges_union(g):
     return graph.nodes_and_edges(geo, g.chunks(), graph.subtopic_edges(geo))
 
 
+def _kinded(g: Given) -> DataFrame:
+    e = g.weighted()
+    return graph.add_edges(e.withColumn("kind", F.when(F.col("weight") >= 25, "chunk-chunk").otherwise("chunk-chunk-structural")))
+
+
+_KIND = EDG + ",\nek AS (SELECT src, dst, CASE WHEN weight>=25 THEN 'chunk-chunk' ELSE 'chunk-chunk-structural' END AS kind, sum(weight) AS weight FROM we GROUP BY ALL)"
+
+
+@query(f"WITH {_KIND} SELECT src, dst, sum(weight) AS weight FROM ek GROUP BY ALL")
+def graph_neighbors(g):
+    return graph.neighbors(_kinded(g))
+
+
+@query(f"WITH {_KIND} SELECT src, dst, weight FROM ek WHERE kind='chunk-chunk'")
+def graph_neighbors_of_kind(g):
+    return graph.neighbors(_kinded(g), "chunk-chunk")
+
+
+@query(f"WITH {_KIND} SELECT src, dst, array_to_string(list_sort(list(DISTINCT kind)),' ') AS kinds FROM ek GROUP BY ALL")
+def graph_edge_kinds(g):
+    return graph.edge_kinds(_kinded(g)).withColumn("kinds", F.array_join("kinds", " "))
+
+
+@query("SELECT 'c:'||c_custkey AS id, 'chunk' AS kind, c_nationkey::BIGINT AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'c:'||o_custkey, 'topic', arg_max(o_orderkey%1000, o_orderkey) FROM orders GROUP BY o_custkey")
+def graph_add_nodes(g):
+    old = g.table("customer").select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.lit("chunk").alias("kind"), F.col("c_nationkey").cast("long").alias("n"))
+    new = g.table("orders").select(F.concat(F.lit("c:"), "o_custkey").alias("id"), F.lit("topic").alias("kind"), (F.col("o_orderkey") % 1000).cast("long").alias("n"), F.col("o_orderkey").alias("at"))
+    return graph.add_nodes(old, new, "at")
+
+
+@query(f"WITH {EMB} {STR}, {GEO} SELECT 'node' AS record, topic_id AS key, 'topic' AS kind, to_json({{'level': level, 'parent_ids': CASE WHEN parent_id IS NULL THEN []::VARCHAR[] ELSE [parent_id] END}})::VARCHAR AS fields FROM geo UNION ALL SELECT 'node', chunk_id::VARCHAR, 'chunk', to_json({{'doc_id': doc_id, 'position': position, 'structural_group': g}})::VARCHAR FROM ch UNION ALL SELECT 'edge', parent_id||'|'||topic_id, 'topic-subtopic', to_json({{'src': parent_id, 'dst': topic_id, 'weight': 1.0::DOUBLE}})::VARCHAR FROM geo WHERE parent_id IS NOT NULL")
+def graph_to_records(g):
+    geo = g.geography()
+    return graph.to_records(geo, g.chunks(), graph.subtopic_edges(geo))
+
+
+@query("SELECT 'n:'||n_nationkey AS id, 'chunk' AS kind FROM nation WHERE n_nationkey%3<>0 UNION ALL SELECT 'n:'||n_nationkey, 'topic' FROM nation WHERE n_nationkey%3=0 UNION ALL SELECT 'r:'||r_regionkey, 'topic' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def graph_from_records(g):
+    n = g.table("nation")
+    nodes = n.select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 != 0, "chunk").alias("kind"))
+    edges = n.select(F.concat(F.lit("r:"), "n_regionkey").alias("src"), F.concat(F.lit("n:"), "n_nationkey").alias("dst"))
+    return graph.from_records(nodes, edges)[0]
+
+
+@query(f"WITH {LINKS} {MOVES} {STR}, nx AS (SELECT chunk_id, lead(chunk_id) OVER o AS n, g, lead(g) OVER o AS h FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY position)) SELECT parent_id AS src, topic_id AS dst, 'topic-subtopic' AS kind, 1.0::DOUBLE AS weight FROM par UNION ALL SELECT topic_id, vec_id::VARCHAR, 'topic-chunk', round(weight,6) FROM tc UNION ALL SELECT chunk_id::VARCHAR, n::VARCHAR, 'chunk-chunk-structural', 1.0 FROM nx WHERE g=h UNION ALL SELECT n::VARCHAR, chunk_id::VARCHAR, 'chunk-chunk-structural', 1.0 FROM nx WHERE g=h UNION ALL SELECT src, dst, 'topic-topic', round(weight,6) FROM knn")
+def index_edges(g):
+    """All edges of an index, as building one writes them, saved and loaded again."""
+    t, c = g.settled(), g.chunks()
+    links = g.topic_chunk(t).select(F.col("topic_id").alias("src"), F.col("chunk_id").cast("string").alias("dst"), F.lit("topic-chunk").alias("kind"), r6("weight").alias("weight"))
+    near = g.knn(t).withColumn("weight", r6("weight"))
+    struct = graph.structural_edges(c.withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    every = graph.subtopic_edges(t).unionByName(links).unionByName(struct).unionByName(near)
+    path = f"{shared_dir(g.spark)}/index-{uuid.uuid4().hex}"
+    store.save_index(path, {"edges": every, "topics": t}, GREEDY)
+    return store.load_index(g.spark, path)[0]["edges"].select("src", "dst", "kind", "weight")
+
+
 # ---- transitions ----------------------------------------------------------------------------------------------------
 @query(f"WITH {T12} SELECT j, k, cnt FROM t1")
 def markov_first_order(g):
@@ -327,6 +438,13 @@ def markov_sample_inverse_cdf(g):
     return markov.sample_inverse(b, draws, ["i", "j"])
 
 
+@query(f"WITH {BLEND}, ex AS (SELECT i, j, k, p*0.7+0.3/count(*) OVER (PARTITION BY i, j) AS p FROM bl), dr AS (SELECT i, j, n, n/20.0 AS u FROM (SELECT DISTINCT i, j FROM bl), range(0,20) r(n)), cm AS (SELECT i, j, k, round(sum(p) OVER (PARTITION BY i, j ORDER BY k),9) AS cum, max(k) OVER (PARTITION BY i, j) AS top FROM ex) SELECT dr.i, dr.j, dr.u::DOUBLE AS u, coalesce(min(CASE WHEN cum>=u THEN k END), max(top)) AS k FROM dr JOIN cm ON cm.i=dr.i AND cm.j=dr.j GROUP BY dr.i, dr.j, dr.u")
+def markov_sample_exploring(g):
+    b = markov.blend(*markov.fit(g.sequences()), 0.7)
+    draws = b.select("i", "j").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19)))).select("i", "j", (F.col("n") / 20.0).cast("double").alias("u"))
+    return markov.sample_inverse(b, draws, ["i", "j"], 0.3)
+
+
 @query(f"WITH {COUNTS} SELECT grp, key, round((c+0.5)/sum(c+0.5) OVER (PARTITION BY grp),6)::DOUBLE AS p FROM cn")
 def smoothing_additive(g):
     return markov.additive_smoothing(g.type_counts(), 0.5).withColumn("p", r6("p"))
@@ -382,10 +500,10 @@ def intent_classify(g):
     return g.table("documents").select("doc_id", tx.intent_of(F.concat_ws(" ", "text", phrase)).alias("intent"))
 
 
-@query("""WITH kw AS (SELECT lang AS topic_id, term, count(*) AS c FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text),'\\s+'), lambda x: x<>'')) AS term FROM documents) WHERE length(term)=4 GROUP BY ALL),
+@query("""WITH kw AS (SELECT lang AS topic_id, term, count(*) AS c FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(text),'\\s+'), lambda x: x<>'')) AS term FROM documents) GROUP BY ALL),
 q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text),'\\s+'), lambda x: x<>'')) AS term FROM benchmark), h AS (SELECT query_id, topic_id, sum(c) AS c FROM q JOIN kw USING (term) GROUP BY ALL) SELECT query_id, topic_id, round(c/sum(c) OVER (PARTITION BY query_id),6)::DOUBLE AS p FROM h""")
 def keyword_prior(g):
-    words = g.table("documents").select(F.col("lang").alias("topic_id"), F.explode(tx.tokens(F.lower("text"))).alias("term")).filter(F.length("term") == 4)
+    words = g.table("documents").select(F.col("lang").alias("topic_id"), F.explode(tx.tokens(F.lower("text"))).alias("term"))
     return navigation.keyword_prior(g.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), words).withColumn("p", r6("p"))
 
 
@@ -450,28 +568,52 @@ def walk_greedy(g):
     return g.walks(g.settled()).select("query_id", "intent", F.array_join("path", ">").alias("path"))
 
 
-@query(f"WITH {BLEND}, po AS (SELECT grp, key AS k, p FROM (WITH {COUNTS} SELECT * FROM sh)), ma AS (SELECT u.grp, bl.k, bl.p FROM (SELECT DISTINCT grp FROM po) u JOIN bl ON bl.i='click' AND bl.j='view'), f AS (SELECT grp, k, 0.6*coalesce(po.p,0)+0.4*coalesce(ma.p,0) AS x FROM po FULL JOIN ma USING (grp, k)) SELECT grp, k, round(x/sum(x) OVER (PARTITION BY grp),6) AS p FROM f WHERE x>0")
+@query(f"WITH {BLEND}, po AS (SELECT grp, key AS k, p FROM (WITH {COUNTS} SELECT * FROM sh)), lt AS (SELECT doc_id AS grp, max(CASE WHEN back=2 THEN topic_id END) AS i, max(CASE WHEN back=1 THEN topic_id END) AS j FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) AS back FROM seq) GROUP BY doc_id), ma AS (SELECT lt.grp, bl.k, bl.p FROM lt JOIN bl USING (i, j)), f AS (SELECT grp, k, 0.6*coalesce(po.p,0)+0.4*coalesce(ma.p,0) AS x FROM po FULL JOIN ma USING (grp, k)) SELECT grp, k, round(x/sum(x) OVER (PARTITION BY grp),6) AS p FROM f WHERE x>0")
 def blend_policy_markov(g):
     policy = g.type_shares().withColumnRenamed("key", "k")
-    pair = markov.blend(*markov.fit(g.sequences()), 0.7).filter("i = 'click' and j = 'view'").select("k", "p")
-    chain = policy.select("grp").distinct().withColumn("x", F.lit(1)).join(F.broadcast(pair.withColumn("x", F.lit(1))), "x").select("grp", "k", "p")
+    seq = g.sequences()
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = seq.select(F.col("doc_id").alias("grp"), "pos", F.lag("topic_id").over(order).alias("i"), F.col("topic_id").alias("j"))
+    last = pairs.groupBy("grp").agg(F.max_by(F.struct("i", "j"), "pos").alias("x")).select("grp", "x.i", "x.j")
+    chain = last.join(markov.blend(*markov.fit(seq), 0.7), ["i", "j"]).select("grp", "k", "p")
     return navigation.blend_distributions(policy, chain, 0.6).withColumn("p", r6("p"))
 
 
-@query()
+@query(f"{FULL} SELECT query_id, intent, array_to_string(path,'>') AS path FROM walks")
+def walk_by_joins(g):
+    t = g.settled()
+    return navigation.walk_joined(g.ready(t), t, g.allowed(t), GREEDY, STEPS).select("query_id", "intent", F.array_join("path", ">").alias("path"))
+
+
+_CHAIN = f""",
+bst AS (SELECT vec_id AS chunk_id, topic_id FROM dist QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, topic_id)=1),
+tsq AS (SELECT doc_id, position AS pos, topic_id, g AS grp FROM bst JOIN ch USING (chunk_id) QUALIFY count(*) OVER (PARTITION BY doc_id)>=2),
+ts3 AS (SELECT topic_id AS a, lead(topic_id) OVER o AS b, lead(topic_id,2) OVER o AS c, grp AS ga, lead(grp) OVER o AS gb, lead(grp,2) OVER o AS gc FROM tsq WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+t1 AS (SELECT a AS j, b AS k, sum(CASE WHEN ga<>gb THEN 0.3 ELSE 1.0 END)::DOUBLE AS cnt FROM ts3 WHERE b IS NOT NULL GROUP BY a, b),
+t2 AS (SELECT a AS i, b AS j, c AS k, sum(CASE WHEN gb<>gc THEN 0.3 ELSE 1.0 END)::DOUBLE AS cnt FROM ts3 WHERE c IS NOT NULL GROUP BY a, b, c){BLEND[len(T12):]},
+cd AS (SELECT intent, '' AS a, i, k, r, 1 AS pol, 0.0::DOUBLE AS pm FROM allowed UNION ALL
+ SELECT x.intent, x.a, x.i, x.k, coalesce(al.r,0), (al.k IS NOT NULL)::INT, coalesce(bl.p,0) FROM (SELECT intent, tp.topic_id AS a, i, k FROM allowed, topics tp UNION SELECT its.intent, bl.i, bl.j, bl.k FROM bl, its) x
+ LEFT JOIN allowed al ON al.intent=x.intent AND al.i=x.i AND al.k=x.k LEFT JOIN bl ON bl.i=x.a AND bl.j=x.i AND bl.k=x.k WHERE (x.intent, x.i) IN (SELECT (intent, i) FROM allowed))"""
+_BLENDED = f""",
+wb AS (SELECT query_id, intent, 1 AS n, [start] AS path FROM st UNION ALL SELECT query_id, intent, n+1, list_append(path, k) FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN n<3 THEN sc ELSE mix/tot END, 9) DESC, k) AS rn FROM (
+ SELECT *, sum(mix) OVER (PARTITION BY query_id) AS tot FROM (
+ SELECT *, 0.6*coalesce(e/sum(e) OVER (PARTITION BY query_id),0)+0.4*pm AS mix FROM (
+ SELECT *, CASE WHEN pol=1 THEN exp(sc-max(CASE WHEN pol=1 THEN sc END) OVER (PARTITION BY query_id)) END AS e FROM (
+ SELECT w.query_id, w.intent, w.n, w.path, a.k, a.pol, a.pm, {STEP} AS sc FROM wb w JOIN cd a ON a.intent=w.intent AND a.i=w.path[-1] AND a.a=CASE WHEN w.n>=3 THEN w.path[-2] ELSE '' END
+  JOIN qc ON qc.query_id=w.query_id AND qc.topic_id=a.k JOIN pcc ON pcc.i=a.i AND pcc.k=a.k LEFT JOIN pp ON pp.query_id=w.query_id AND pp.topic_id=a.k WHERE w.n<5))))) WHERE rn=1)"""
+
+
+@query(f"WITH RECURSIVE {DIST} {MOVES} {QS} {STR} {_CHAIN} {_BLENDED} SELECT query_id, intent, array_to_string(path,'>') AS path FROM wb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC)=1")
 def walk_blended(g):
-    import dataclasses
-
     t = g.settled()
     chain = markov.blend(*markov.fit(g.topic_sequence(t), 0.3), 0.7)
-    return g.walks(t, dataclasses.replace(GREEDY, transition_policy_mix_eta=0.6), chain).select("query_id", "intent", F.array_join("path", ">").alias("path"))
+    return g.walks(t, GREEDY.with_(transition_policy_mix_eta=0.6), chain).select("query_id", "intent", F.array_join("path", ">").alias("path"))
 
 
-@query()
+@query(f"{FULL.replace(STEP, STEP + GUMBEL)} SELECT query_id, intent, array_to_string(path,'>') AS path FROM walks")
 def walk_sampled(g):
-    import dataclasses
-
-    return g.walks(g.settled(), dataclasses.replace(GREEDY, navigation_greedy=False)).select("query_id", "intent", F.array_join("path", ">").alias("path"))
+    return g.walks(g.settled(), GREEDY.with_(navigation_greedy=False)).select("query_id", "intent", F.array_join("path", ">").alias("path"))
 
 
 # ---- scoring and selection ------------------------------------------------------------------------------------------
@@ -570,6 +712,24 @@ def flagship(g):
     return found.join(walks, "query_id").select("query_id", "intent", F.array_join("path", ">").alias("path"), F.col("rank").cast("long").alias("rank"), "chunk_id", r6("score").alias("score"))
 
 
+@query(f"{FULL} SELECT query_id, step, node AS topic_id, vec_id AS chunk_id, round(weight,6) AS weight FROM steps JOIN tc ON tc.topic_id=node")
+def explain_chunks_by_step(g):
+    t = g.settled()
+    return retrieval.chunks_by_step(g.walks(t), g.topic_chunk(t)).select("query_id", F.col("step").cast("long").alias("step"), "topic_id", "chunk_id", r6("weight").alias("weight"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text)>500 THEN left(text,500)||'...' ELSE text END AS snippet FROM documents")
+def text_snippets(g):
+    return g.table("documents").select("doc_id", retrieval.snippet(F.col("text")).alias("snippet"))
+
+
+@query(f"WITH {DIST} {QS} SELECT qs.query_id, intent, round(sqrt(list_dot_product(v,v)),6) AS norm, topic_id, round(p,6) AS p FROM qs JOIN leafp ON leafp.query_id=qs.query_id")
+def query_state(g):
+    """The semantic state of each query: its vector (here its length) and its prior."""
+    q = g.queries().select("query_id", "intent", r6(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
+    return q.join(g.prior(g.settled()), "query_id").withColumn("p", r6("p"))
+
+
 # ---- vectors and storage --------------------------------------------------------------------------------------------
 _NN = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id%100=0), s AS (SELECT query_id, e.vec_id AS id, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]),9) AS cosine FROM q, embeddings e {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM s) "
 
