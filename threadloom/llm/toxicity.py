@@ -36,7 +36,7 @@ NEIGHBOURS = 32
 BLOCK = 128
 FREQUENT = 1024
 #: Queries that are searched at a time.
-QUERIES = 256
+QUERIES = 128
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _NOT_SPACE = np.where(_WORD, np.arange(256), 32).astype(np.uint8)
@@ -59,16 +59,14 @@ def counted(doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key[at] >> U64(32)).astype(np.int64), (key[at] & _LOW).astype(np.int64), np.diff(np.append(at, len(key)))
 
 
-def frequencies(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term number and frequency of known terms over all documents of a batch; ``vocabulary`` has sorted hashes."""
-    parts = []
-    for lo, hi in slices(offsets) if len(vocabulary) else ():
-        doc, h = terms(data, offsets, lo, hi)
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        good = vocabulary[at] == h
-        doc, number, tf = counted(doc[good], at[good])
-        parts.append((doc + lo, number, tf))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+def frequencies(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (from ``lo``), term number and frequency of known terms; ``vocabulary`` has sorted hashes."""
+    doc, h = terms(data, offsets, lo, hi)
+    if not len(h) or not len(vocabulary):
+        return (np.zeros(0, np.int64),) * 3
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    good = vocabulary[at] == h
+    return counted(doc[good], at[good])
 
 
 def unit_rows(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, worth: np.ndarray, n: int) -> np.ndarray:
@@ -126,7 +124,7 @@ class BlockMaxIndex:
         often = self.dense[term] >= 0
         query = np.zeros((n, len(self.bound)), np.float32)
         query[row[often], self.dense[term[often]]] = weight[often]
-        row, term, weight = row[~often], term[~often], weight[~often]
+        row, term, weight = row[~often], term[~often], weight[~often].astype(np.float32)
         size = self.first[term + 1] - self.first[term]
         at = _spread(self.first[term], size)
         cosine = np.bincount(np.repeat(row * width, size) + self.place[at], np.repeat(weight, size) * self.weight[at], n * width).astype(np.float32).reshape(n, self.blocks, BLOCK)
@@ -177,8 +175,12 @@ class Scorer:
 
     def nearest(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the nearest examples of every text."""
-        doc, term, tf = frequencies(self.vocabulary, *buffers(texts))
-        return self.ready().index.search(doc, term, unit_rows(doc, term, tf, self.worth, len(texts)), len(texts), NEIGHBOURS)
+        data, offsets = buffers(texts)
+        best, which = np.zeros((len(texts), NEIGHBOURS), np.float32), np.full((len(texts), NEIGHBOURS), -1)
+        for lo, hi in slices(offsets):
+            doc, term, tf = frequencies(self.vocabulary, data, offsets, lo, hi)
+            best[lo:hi], which[lo:hi] = self.ready().index.search(doc, term, unit_rows(doc, term, tf, self.worth, hi - lo), hi - lo, NEIGHBOURS)
+        return best, which
 
     def probability(self, best: np.ndarray, which: np.ndarray) -> np.ndarray:
         z = self.evidence(best, which) @ self.curve
@@ -223,8 +225,9 @@ def _document_counts(vocabulary: np.ndarray):
     def run(batches):
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            _, term, _ = frequencies(vocabulary, *buffers(batch.column(0)))
-            total += np.bincount(term, minlength=len(total))
+            data, offsets = buffers(batch.column(0))
+            for lo, hi in slices(offsets):
+                np.add.at(total, frequencies(vocabulary, data, offsets, lo, hi)[1], 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "df"])
 
     return run
@@ -245,9 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
     keys, n1, size = (listed[c].to_numpy().astype(np.float64 if c != "key" else np.int64) for c in ("key", "n1", "n"))
     found = texts.mapInArrow(_occurrences, "key long, term long, tf long").toArrow()
     vocabulary, term = np.unique(np.ascontiguousarray(found["term"].to_numpy()).view(U64), return_inverse=True)
-    doc = np.searchsorted(keys, found["key"].to_numpy())
-    order = np.lexsort((term, doc))
-    doc, term, tf = doc[order], term[order], found["tf"].to_numpy()[order]
+    doc = np.searchsorted(keys, found["key"].to_numpy()).astype(np.int32)
+    order = np.argsort((doc.astype(np.int64) << 32) | term)
+    doc, term, tf = doc[order], term[order].astype(np.int32), found["tf"].to_numpy()[order]
+    del found, order
     df = np.zeros(len(vocabulary))
     counts = docs.select("text").mapInArrow(_document_counts(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
@@ -258,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
     chi = (p - q) ** 2 / (share * (1 - share) + 1e-6) * (toxic.sum() * (1 - toxic).sum() / n)
     worth = idf * np.minimum(1, (chi + 0.05) / SURE) ** 1.5
     weight = size * np.where(toxic > 0.5, rate.get(1, 0) / max(toxic.sum(), 1e-9), rate.get(0, 0) / max((1 - toxic).sum(), 1e-9))
-    scorer = Scorer(vocabulary, worth, (doc, term, unit_rows(doc, term, tf, worth, n), n), toxic, weight, float(rate.get(1, 0) / max(1, sum(rate.values()))), np.array([1.0, 0, 0, 0, 0]))
+    scorer = Scorer(vocabulary, worth, (doc, term, unit_rows(doc, term, tf, worth, n).astype(np.float32), n), toxic, weight, float(rate.get(1, 0) / max(1, sum(rate.values()))), np.array([1.0, 0, 0, 0, 0]))
     best, which = scorer.ready().index.search(*scorer.example, NEIGHBOURS + 1)
     own = which == np.arange(n)[:, None]
     own[~own.any(1), -1] = True
@@ -268,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Score
     if has.any():
         scorer.curve = _logistic(scorer.evidence(best[has], which[has]), toxic[has], weight[has] / weight[has].mean())
     scorer.index = None
+    tidy()
     return scorer
 
 
@@ -283,6 +288,8 @@ def _score(scorer: Scorer | None):
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near), pa.array(cosine)],
                 names=["doc_id", "held_out", "score", "predicted", "nearest", "cosine"],
             )
+            del batch
+        tidy()
 
     return run
 
