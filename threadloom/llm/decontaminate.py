@@ -124,40 +124,67 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]
 
 
-def diagonals(text: np.ndarray, item: np.ndarray, masks: list[str]) -> np.ndarray:
+class Tokens:
+    """Token hashes of a text or item, and its seeds in order, made once for each mask that is asked for."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self._seeds: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def seeds(self, mask: str) -> tuple[np.ndarray, np.ndarray]:
+        if mask not in self._seeds:
+            h = seeds(self.hashes, mask)
+            order = np.argsort(h, kind="stable")
+            self._seeds[mask] = h[order], order
+        return self._seeds[mask]
+
+
+def diagonals(text: Tokens, item: Tokens, masks: list[str]) -> np.ndarray:
     """Offsets of the item in the text at which some seed agrees, in order.
 
-    Positions of one seed are taken by runs: a run of a in the text and one of b in the item support a + b - 1 offsets in a row.
+    Where seeds repeat, their positions are taken by runs: one of a in the text and one of b in the item support a + b - 1
+    offsets in a row.
     """
-    change = np.zeros(len(text) + len(item) + 1, np.int64)
+    n, m = len(text.hashes), len(item.hashes)
+    found, change = [], None
     for mask in masks:
-        x, y = seeds(text, mask), seeds(item, mask)
-        common = np.intersect1d(x, y)
-        if not len(common):
+        (sx, ox), (sy, oy) = text.seeds(mask), item.seeds(mask)
+        lo, hi = np.searchsorted(sx, sy), np.searchsorted(sx, sy, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            continue
+        size = (hi - lo)[hit]
+        if size.sum() <= n + m:
+            at = np.repeat(lo[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found.append(ox[at] - np.repeat(oy[hit], size))
             continue
-        ox, oy = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
-        sx, sy = x[ox], y[oy]
-        for lo, hi, p, q in zip(np.searchsorted(sx, common), np.searchsorted(sx, common, "right"), np.searchsorted(sy, common), np.searchsorted(sy, common, "right")):
-            a0, a1 = _runs(ox[lo:hi])
-            b0, b1 = _runs(oy[p:q])
-            for k in range(0, len(a0), max(1, (1 << 20) // len(b0))):
-                some = slice(k, k + max(1, (1 << 20) // len(b0)))
-                np.add.at(change, (a0[some, None] - b1[None] + len(item)).ravel(), 1)
-                np.add.at(change, (a1[some, None] - b0[None] + len(item) + 1).ravel(), -1)
-    return np.flatnonzero(np.cumsum(change) > 0) - len(item)
-
-
-def overlap(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+        change = np.zeros(n + m + 2, np.int64) if change is None else change
+        for value in np.unique(sy[hit]):
+            a0, a1 = _runs(ox[np.searchsorted(sx, value) : np.searchsorted(sx, value, "right")])
+            b0, b1 = _runs(oy[np.searchsorted(sy, value) : np.searchsorted(sy, value, "right")])
+            step = max(1, (1 << 20) // len(b0))
+            for k in range(0, len(a0), step):
+                np.add.at(change, (a0[k : k + step, None] - b1[None] + m).ravel(), 1)
+                np.add.at(change, (a1[k : k + step, None] - b0[None] + m + 1).ravel(), -1)
+    if change is not None:
+        found.append(np.flatnonzero(np.cumsum(change) > 0) - m)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def overlap(text: Tokens, item: Tokens) -> tuple[int, int, int] | None:
     """Equal tokens, first and end token of the largest verified overlap over all seeded diagonals (ties: the first); None if all are too small."""
-    n = len(item)
+    a, b = text.hashes, item.hashes
+    n = len(b)
     masks = list(MASKS) if n >= SHORTEST else ["1" * n]
     need = LEAST_TOKENS if n > LEAST_TOKENS else max(1, math.ceil(LEAST_SHARE * n))
     best = None
     for diagonal in diagonals(text, item, masks).tolist():
-        s, e = max(0, diagonal), min(len(text), diagonal + n)
+        s, e = max(0, diagonal), min(len(a), diagonal + n)
         if e - s < need or best is not None and e - s <= best[0]:
             continue
-        same = text[s:e] == item[s - diagonal : e - diagonal]
+        same = a[s:e] == b[s - diagonal : e - diagonal]
+        if np.count_nonzero(same) < (need if best is None else best[0] + 1):
+            continue
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
         floor = np.minimum.accumulate(total)
         end = int(np.argmax(total - floor))
@@ -180,12 +207,14 @@ def _verify(batches):
         ids, (item_data, item_offsets) = flat.field("item_id").to_pylist(), buffers(flat.field("text"))
         items, item_first, _ = tokens(item_data, item_offsets, 0, len(ids))
         edge = np.cumsum([0, *(len(x) for x in batch.column(3))])
+        made: dict[bytes, Tokens] = {}  # items come again and again
+        item_of = lambda k: made.setdefault((h := items[item_first[k] : item_first[k + 1]]).tobytes(), Tokens(h))
         for lo, hi in slices(offsets):
             hashes, first, s = tokens(data, offsets, lo, hi)
             for doc in range(hi - lo):
-                text = hashes[first[doc] : first[doc + 1]]
+                text = Tokens(hashes[first[doc] : first[doc + 1]])
                 for k in range(edge[lo + doc], edge[lo + doc + 1]):
-                    if (r := overlap(text, items[item_first[k] : item_first[k + 1]])) is not None:
+                    if (r := overlap(text, item_of(k))) is not None:
                         base = s.bounds[doc]
                         rows.append((lo + doc, ids[k], r[0], int(s.starts[first[doc] + r[1]] - base), int(s.ends[first[doc] + r[2] - 1] - base)))
         at = pa.array([r[0] for r in rows], pa.int64())
@@ -207,7 +236,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and text <> ''").distinct().withColumn("item", F.xxhash64("item_id", "text"))
     test = stage(items.select("item", "text").mapInArrow(_item_seeds, "seed long, item long, size int").distinct(), "seeds")
     count = test.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("size") < SHORTEST, F.col("size"))).alias("short")).first()
-    bits = min(SIEVE_BITS, max(16, int(32 * (count["n"] + 1)).bit_length()))
+    bits = min(SIEVE_BITS, max(16, int(128 * (count["n"] + 1)).bit_length()))
     table = sc.broadcast(_bit_table(test, bits))
     rows = docs.filter("text is not null and text <> ''").select("text", *_text_key())
     train = rows.mapInArrow(_document_seeds(table, bits, sorted(count["short"])), "h long, n long, seed long").distinct()
