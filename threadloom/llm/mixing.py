@@ -3,10 +3,9 @@
 A source's target over its size is a multiplicity m <= 3. Every document is taken floor(m) times, and
 once more if the cube method picks it: inclusion probabilities, all equal to the fraction of m, move in the null
 space of two constraints (tokens, documents) of the source, three documents at a time, until each is 0 or 1. Blocks of
-about ``BLOCK`` documents of one source run in parallel; the two or fewer that a block leaves open meet in
-the next round, so a source of any size ends with one block. There ``RESERVE`` documents keep their probabilities
-until the others are settled, and the landing takes the subset of what is open that comes nearest to the
-expected tokens and documents, by enumeration.
+about ``BLOCK`` documents of one source run in parallel. ``RESERVE`` documents of a block keep their probabilities; they and the two
+or fewer others that it leaves open meet in the next round, so a source of any size ends with one block. There the
+landing takes the subset of what is open that comes nearest to the expected tokens and documents, by enumeration.
 
 A null text has size 0; a null source is a source, listed last. Repeated rows are documents of their own. Draws
 hash the source, block and seed, so reruns agree. Without any word every target is 0.
@@ -81,12 +80,23 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return table.select("source", "source_size", "docs", F.least(F.col("weight") * level, cap).alias("target"))
 
 
-def flight(pi: np.ndarray, size: np.ndarray, draw, landing: bool) -> None:
-    """Moves ``pi`` in place. Sizes are constraint one, the count is constraint two; at most two stay open, none after a ``landing``."""
+def _reserve(queue: list[int]) -> list[int]:
+    """``RESERVE`` of the documents, which come by falling size: at places that double, so that each is about half as long as the one before and their subsets come near any total."""
+    if not queue:
+        return []
+    places = {int(round(x)) - 1 for x in np.geomspace(1, len(queue), RESERVE)}
+    for k in range(0, len(queue), -(-len(queue) // RESERVE)):
+        if len(places) < RESERVE:
+            places.add(k)
+    return [queue[k] for k in sorted(places)]
+
+
+def flight(pi: np.ndarray, size: np.ndarray, draw, landing: bool, reserve: bool = False) -> None:
+    """Moves ``pi`` in place. Sizes are constraint one, the count is constraint two; at most two stay open, beside those in ``reserve``, and none after a ``landing``."""
     queue = [int(k) for k in np.flatnonzero((pi > EPS) & (pi < 1 - EPS))]
     p, s = pi.tolist(), size.astype(float).tolist()
     hold: list[int] = []
-    kept = queue[:: -(-len(queue) // RESERVE)] if landing and queue else []
+    kept = _reserve(queue) if landing or reserve else []
     queue = [k for k in queue if k not in kept]
 
     def move(units: list[int], u: list[float]) -> list[int]:
@@ -136,7 +146,7 @@ def _round(landing: bool, number: int):
         salt = int.from_bytes(__import__("hashlib").sha256(f"{SEED}|{number}|{source!r}|{block}".encode()).digest()[:8], "little")
         rng = np.random.default_rng(salt)
         pi = t["pi"].to_numpy().copy()
-        flight(pi, t["size"].to_numpy(), iter(rng.random, 2.0).__next__, landing)
+        flight(pi, t["size"].to_numpy(), iter(rng.random, 2.0).__next__, landing, reserve=True)
         return t.set_column(5, "pi", pa.array(pi))
 
     return run
