@@ -26,6 +26,8 @@ CELLS = 24
 GROWTH = 4
 _KEY = LANE[50]
 CHUNK = 1 << 19
+#: Bytes of text in a range of documents, on average.
+RANGE_BYTES = 1 << 26
 
 
 def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +180,12 @@ def _pairs(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``, against its edited text and the next document.
 
-    Ranges of doc_id are bounded by quantiles of that column, and texts move once. The first row of a range is
+    Ranges of doc_id, as many as the counted bytes ask for, are bounded by quantiles of that column, and texts move once. The first row of a range is
     also sent to the range before it; their ids, one a range, are all that the driver sees.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     least = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("k"))
     known = ids.filter(F.col("k") > least)

@@ -182,6 +182,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
             .withColumn("conf", F.col("f") / F.col("all")).filter((F.col("f") >= LEAST_KNOWN) & (F.col("conf") >= LEAST_CONFIDENCE))
         )
         strong = stage(strong.select("kind", "pat", "conf"), "patterns")
+        strong = small(strong, strong.count())  # few patterns meet many occurrences, so a hot one isn't one task's burden
         new = (
             graph.filter(~F.col("seed")).join(strong, ["kind", "pat"]).groupBy("kind", "inst")
             .agg(F.sum(F.ln(1 - F.least("conf", F.lit(0.999)))).alias("doubt")).filter(F.col("doubt") <= F.ln(F.lit(DOUBT)))
@@ -191,7 +192,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
             break
         accepted, known = n, stage(seeds.union(new.select("kind", "inst")).distinct(), "known")
     loose = occ.filter(~F.col("seed")).select("h", "n", "kind", "s", "e", "inst", F.explode("pats").alias("pat"))
-    spans = loose.join(strong, ["kind", "pat"]).join(new, ["kind", "inst"])
+    spans = loose.join(strong, ["kind", "pat"]).join(small(new, n), ["kind", "inst"])
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return spans.groupBy("h", "n", "s", "e").agg(F.min_by("kind", F.struct("doubt", order)).alias("kind")).select("h", "n", "kind", "s", "e")
 
