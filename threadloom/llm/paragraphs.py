@@ -209,7 +209,7 @@ def _apply(key, table, gone):
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, n_paragraphs, n_removed, n_bytes_removed, kept_sha256, removed`` for every row; ``removed`` lists byte spans."""
-    texts, buckets = segmented(docs)
+    texts, buckets, _ = segmented(docs)
     marked = stage(texts.groupBy("seg").applyInArrow(_send(buckets), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL), "bands")
     shared = stage(texts.groupBy("seg").cogroup(marked.groupBy("seg")).applyInArrow(_collect_shared(buckets), SHARED), "shared")
     classes = stage(shared.filter("n > 0").select("id", "n", "bands", *PLANES).dropDuplicates(["id"]), "classes")
