@@ -180,6 +180,42 @@ def test_repeated_paragraphs_of_short_sentences(spark):
     assert [gone[k] for k in (10, 11, 12, 20, 21, 22)] == ["", "All rights reserved.", "All rights reserved.", "", "two  words", ""]
 
 
+def test_removed_paragraphs_equal_brute_force(spark):
+    """Near and exact copies of paragraphs among texts that share none: every link that all pairs show is found."""
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    pool = [f"w{k}" for k in range(900)]
+    base = [[rng.choice(pool) for _ in range(rng.randrange(9, 50))] for _ in range(60)]
+    made = []
+    for k in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            line = list(rng.choice(base)) if rng.random() < 0.6 else [rng.choice(pool) for _ in range(rng.randrange(9, 40))]
+            for _ in range(rng.choice((0, 0, 1, 2))):
+                line[rng.randrange(len(line))] = rng.choice(pool)
+            lines.append(" ".join(line))
+        made.append((k, "\n".join(lines)))
+    p = paragraphs.Paragraphs(pa.table({"doc_id": pa.array([k for k, _ in made]), "text": pa.array([t for _, t in made])}))
+    sets = [frozenset(part[part >> np.uint64(52) == d].tolist()) for part in p.keys for d in np.unique(part >> np.uint64(52))]
+    sets = [frozenset(x & ((1 << 52) - 1) for x in s) for s in sets]
+    u = Union(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 70 * len(sets[i] | sets[j]):
+                u.join(i, j)
+    owner = {}
+    for i, at in enumerate(p.long):
+        owner[u.find(i)] = min(owner.get(u.find(i), 1 << 60), int(p.row[at]))
+    want = {(int(p.row[at]), int(p.start[at] - p.bounds[p.row[at]])) for i, at in enumerate(p.long) if owner[u.find(i)] < p.row[at]}
+    long = {(int(p.row[at]), int(p.start[at] - p.bounds[p.row[at]])) for at in p.long}
+    got = set()
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        got |= {(r.doc_id, int(x.split(":")[0])) for x in r.removed.split(",") if x}
+    assert len(want) > 100 and len(want - got) <= 0.01 * len(want) and not (got & long) - want
+
+
 def test_fingerprints(docs):
     found = fingerprints.fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     text = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
@@ -238,6 +274,19 @@ def test_mixing(docs):
     assert Counter(map(tuple, again)) == Counter(map(tuple, found))
 
 
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(41)
+    made = [(k, "w " * min(3000, int(rng.paretovariate(1.1) * 8)), ("a", "b", "c", "d", None)[min(4, int(rng.expovariate(0.8)))]) for k in range(4000)]
+    made += [(5000, "w " * 40, "b")] * 300  # repeated rows are documents of their own
+    found = mixing.mix_sources(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    source = {k: s for k, _, s in made}
+    taken, target = Counter(), {}
+    for r in found:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(found) == len(made) and all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 60 for s in target), (taken, target)
+
+
 def test_flight_keeps_totals_and_probabilities():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 500, 400)
@@ -258,6 +307,24 @@ def test_personal_data(docs, spark):
     assert len(pii.personal_data(docs).collect()) == docs.count()
 
 
+def test_base_personal_data_equals_the_stated_patterns():
+    rng = random.Random(9)
+    made = ["a@b.c", "4111 1111 1111 1111", "55000000-00000004", "1.2.3.4", "+49 30 1234567", "x.y", "@", ".", "-", " ", "1", "12", "255", "256", "4111", "1111", "+1", "(", ")", "é", "\n", "+", "555", "a", "_"]
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda t: "".join(c for c in t if c in "0123456789")
+    hit = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(made) for _ in range(rng.randrange(1, 16)))
+        want = {"email": [m.span() for m in email.finditer(text)], "ip": [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))],
+                "card": [m.span() for m in card.finditer(text) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))], "phone": [m.span() for m in phone.finditer(text) if 8 <= len(digits(m[0])) <= 15]}
+        assert pii.base_spans(text) == want, text
+        hit.update({k: len(v) for k, v in want.items()})
+    assert min(hit[k] for k in pii.KINDS) > 20
+
+
 def test_context_discovers_unseen_identifiers(spark):
     """Numbers that miss the base form are found where their contexts are those of known ones, and nowhere else."""
     made = [(k, f"please call our office on +1 (559) 555-{1000 + k} today for help") for k in range(12)]
@@ -372,6 +439,21 @@ def test_base_secrets_equal_the_stated_patterns():
     assert min(hit[k] for k in secrets.KINDS) > 20
 
 
+def test_language_of_held_out_rows(spark):
+    """Learned from one part, measured on the other, which the sample never holds."""
+    rng = random.Random(3)
+    stems = {"en": "the of and to in is that ing ation er".split(), "de": "der die und ich sch ein keit ung ver st".split(), "fr": "le la et de eux ique ment tion que es".split()}
+    made = [(k, lang := ("en", "de", "fr")[k % 3], " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(8, 60)))) for k in range(900)]
+    d = spark.createDataFrame([(k, t, lang) for k, lang, t in made], "doc_id long, text string, lang string")
+    seen = language_id.fit(d.filter("crc32(cast(doc_id as string)) % 4 = 2"))
+    assert seen is None
+    found = {r.doc_id: r for r in language_id.identify(d, language_id.fit(d, per_language=150)).collect()}
+    held = [(k, lang) for k, lang, _ in made if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {k for k in found if found[k].held_out} == {k for k, _ in held} and len(held) > 150
+    assert sum(found[k].lang_pred == lang for k, lang in held) >= 0.97 * len(held)
+    assert language_id.identify(d.limit(0), None).count() == 0
+
+
 def test_language(spark, docs, empty):
     net = language_id.fit(docs, per_language=50)
     found = language_id.identify(docs, net).collect()
@@ -535,9 +617,9 @@ def test_decontamination_equals_brute_force(spark):
 def test_decontamination_of_repeated_tokens():
     began = time.time()
     word = np.full(20_000, 7, np.uint64)
-    assert decontaminate.overlap(word, word[:500])[0] == 500
+    assert decontaminate.overlap(decontaminate.Tokens(word), decontaminate.Tokens(word[:500]))[0] == 500
     pair = np.tile(np.array([7, 8], np.uint64), 5_000)
-    assert decontaminate.overlap(pair, pair[:1000])[0] == 1000
+    assert decontaminate.overlap(decontaminate.Tokens(pair), decontaminate.Tokens(pair[:1000]))[0] == 1000
     assert time.time() - began < 30
 
 
@@ -557,15 +639,29 @@ def test_pipeline(spark, tmp_path):
 
     made = rows()
     passage = made[51][1]
-    path = save(spark, str(tmp_path / "d"), made, [(k, 1, 0) for k in range(40)], [(1, passage)])
+    rng = random.Random(77)
+    for k in range(60):  # labelled rows, a third of them toxic, and two more nobody labelled
+        text = " ".join(f"plain{rng.randrange(300)}" for _ in range(30))
+        made.append((1000 + k, f"{text} rotten scum {text[:20]}" if k % 3 == 0 else text, "en", "a", 1) + made[0][5:])
+    made += [(2000, "a mail to rotten scum there", "en", "a", 1) + made[0][5:], (2001, "please write to jane@example.com about it", "en", "b", 1) + made[0][5:]]
+    path = save(spark, str(tmp_path / "d"), made, [(k, 1, 0) for k in range(40)] + [(1000 + k, 1, int(k % 3 == 0)) for k in range(60)], [(1, passage)])
     docs = spark.read.parquet(f"{path}/documents.parquet")
     columns = docs.columns
     for name, f in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
         docs = stage(f(spark, docs, path), name)
+        after = {r.doc_id: r for r in docs.collect()}
+        assert set(after) <= set(before)
         if name != "mixing":
             assert docs.columns == columns
+        if name == "toxicity":
+            assert not {2000, *(1000 + k for k in range(0, 60, 3))} & set(after) and {1000 + k for k in range(60) if k % 3} <= set(after)
+        if name == "near_duplicates":
+            assert 0 in after and 47 not in after and 48 not in after and 2 in after
         if name == "decontamination":
-            assert 51 not in {r.doc_id for r in docs.collect()}
+            assert 51 in before and 51 not in after and 0 in after
+        if name == "personal_data":
+            assert set(after) == set(before) and after[2001].text == "please write to <EMAIL> about it" and after[2001].n_chars == len(after[2001].text)
     assert corpus_pipeline.run(spark, path).count() == docs.count() > 20
     empty = save(spark, str(tmp_path / "e"), [])
     assert corpus_pipeline.run(spark, empty).count() == 0
