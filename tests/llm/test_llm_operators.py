@@ -216,6 +216,55 @@ def test_removed_paragraphs_equal_brute_force(spark):
     assert len(want) > 100 and len(want - got) <= 0.01 * len(want) and not (got & long) - want
 
 
+def test_boilerplate_paragraphs_make_no_rows_of_pairs(spark, monkeypatch):
+    """Paragraphs that share half their words meet in the same buckets; what is staged stays in proportion to them, and those that link are found."""
+    from threadloom.llm import components, lsh
+
+    opening = "each copy of this notice was sent by the northern office under the old rules and names one case"
+    unique = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(600)]
+    rows = [(k, f"{opening} {unique[k]}.") for k in range(600)] + [(1000 + k, f"{opening} {unique[k]} again.") for k in range(0, 600, 50)]
+    docs, staged, old = spark.createDataFrame(rows, "doc_id long, text string"), [], lsh.stage
+
+    def counted(df, name):
+        out = old(df, name)
+        staged.append((out.count(), name))
+        return out
+
+    for module in (lsh, components, paragraphs):
+        monkeypatch.setattr(module, "stage", counted)
+    found = {r.doc_id: r for r in paragraphs.repeated_paragraphs(docs).collect()}
+    assert max(staged)[0] <= paragraphs.BANDING.bands * len(rows), staged
+    whole = {k for k in range(1, 600) if found[k].n_paragraphs == 2}  # cut after "was", which all share up to there, and in some after other words
+    assert len(found) == len(rows) and len(whole) > 400 and all(found[k].n_removed == 1 for k in whole)
+    copies = [k for k in found if k - 1000 in whole]
+    assert len(copies) > 6 and all(found[k].n_removed == 2 for k in copies)
+    monkeypatch.setattr(lsh, "CELL", 64)  # great buckets are compared block against block
+    assert {r.doc_id: r for r in paragraphs.repeated_paragraphs(docs).collect()} == found
+
+
+def test_joined_buckets_equal_brute_force():
+    from threadloom.llm import lsh
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        base = rng.integers(0, 40, (3, 14))
+        sets = []
+        for k in range(50):
+            words = base[rng.integers(0, 3)].copy()
+            other = rng.random(14) < rng.random() * 0.4
+            words[other] = rng.integers(0, 200, other.sum())
+            sets.append(np.unique(words[: rng.integers(3, 15)]))
+        cell = np.repeat([0, 1], [20, 30])
+        label, _ = lsh.prefix_components(cell, np.repeat(np.arange(50), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64), paragraphs.BANDING)
+        want = np.arange(50)
+        for a in range(50):
+            for b in range(a):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if cell[a] == cell[b] and 100 * len(x & y) >= 70 * len(x | y):
+                    want[want == max(want[a], want[b])] = min(want[a], want[b])
+        assert label.tolist() == want.tolist()
+
+
 def test_fingerprints(docs):
     found = fingerprints.fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     text = {r[0]: r[1] or "" for r in rows() if r[0] is not None}

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import sieved, stage
-from .textkit import LANE, U64, mix, seg_starts, signed
+from .textkit import LANE, U64, buffers, mix, seg_starts, signed, slices, tidy
 
 BITS = 4
 DOC_BITS = U64(12)
@@ -154,6 +155,160 @@ def linked_components(classes: DataFrame, verify: Callable[[DataFrame], DataFram
     return components(edges.union(verify(second)))
 
 
+#: Members of a bucket that meet in one task's memory; a greater bucket is compared block against block.
+CELL = 4096
+#: Shared members that pairs are made of, and words that are looked up, at a time.
+PAIRS = 1 << 19
+
+
+def _set_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least member of each component) after the links (a, b)."""
+    while (label[a] != label[b]).any():
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while ((up := label[label]) != label).any():
+            label = up
+    return label
+
+
+def prefix_components(cell: np.ndarray, member: np.ndarray, value: np.ndarray, banding: Banding) -> tuple[np.ndarray, int]:
+    """The least linked member of each of ``len(cell)`` members, each compared with those of its cell, and how many pairs were looked at.
+
+    ``member`` and ``value`` are the distinct elements of the sets; ``cell`` has numbers below 4096. Elements are ordered by
+    how few members of the cell have them. Sets that link share at least ``num`` / ``den`` of the larger one, so they share one of the
+    first elements of both, as many as may be missing and one more: what is common to a whole cell makes no pair.
+    Of the members with such an element all are compared with the first, and then only those of different components.
+    """
+    n = len(cell)
+    label = np.arange(n)
+    _, token, count = np.unique((cell[member].astype(U64) << U64(52)) | value, return_inverse=True, return_counts=True)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty(len(count), U64)
+    rank[order] = np.arange(len(count))
+    packed = (member.astype(U64) << U64(32)) | rank[token]
+    packed.sort()
+    member, term = (packed >> U64(32)).astype(np.int64), (packed & U64((1 << 32) - 1)).astype(np.int64)
+    first = np.searchsorted(member, np.arange(n + 1))
+    size = np.diff(first)
+    lead = (np.arange(len(member)) - first[member] < (size + (-banding.num * size) // banding.den + 1)[member]) & (count[order][term] > 1)
+    lists = (term[lead].astype(U64) << U64(32)) | member[lead].astype(U64)
+    lists.sort()
+    who, at = (lists & U64((1 << 32) - 1)).astype(np.int64), seg_starts(lists >> U64(32))
+    if not len(at):
+        return label, 0
+    length = np.diff(np.append(at, len(who)))
+    seen = 0
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label, seen
+        good = (label[x] != label[y]) & (np.minimum(size[x], size[y]) * banding.den >= np.maximum(size[x], size[y]) * banding.num)
+        pair = np.unique((x[good].astype(U64) << U64(32)) | y[good].astype(U64))
+        x, y = (pair >> U64(32)).astype(np.int64), (pair & U64((1 << 32) - 1)).astype(np.int64)
+        seen += len(x)
+        total = np.concatenate([[0], np.cumsum(size[x])])
+        lo = 0
+        while lo < len(x):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+            a, b = x[lo:hi], y[lo:hi]
+            of = np.repeat(np.arange(hi - lo), size[a])
+            key = (b.astype(U64) << U64(32))[of] | term[np.arange(len(of)) + np.repeat(first[a] - (total[lo:hi] - total[lo]), size[a])].astype(U64)
+            inter = np.bincount(of, packed[np.minimum(np.searchsorted(packed, key), len(packed) - 1)] == key, hi - lo).astype(np.int64)
+            same = (inter > 0) & (banding.den * inter >= banding.num * (size[a] + size[b] - inter))
+            label = _set_labels(label, a[same], b[same])
+            lo = hi
+
+    head = np.repeat(who[at], length)
+    link(head[head != who], who[head != who])
+    mixed = np.repeat(np.minimum.reduceat(label[who], at) != np.maximum.reduceat(label[who], at), length)
+    who, of = who[mixed], np.repeat(np.arange(len(at)), length)[mixed]
+    if not len(who):
+        return label, seen
+    order = np.lexsort((who, label[who], of))
+    who, of = who[order], of[order]
+    last = np.searchsorted(of, of, "right")
+    group = seg_starts((of.astype(U64) << U64(32)) | label[who].astype(U64))
+    other = np.repeat(np.append(group[1:], len(who)), np.diff(np.append(group, len(who))))  # where the next component begins
+    total, lo = np.concatenate([[0], np.cumsum(last - other)]), 0
+    while lo < len(who):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(lo, hi), (last - other)[lo:hi])
+        y = np.repeat(other[lo:hi] - (total[lo:hi] - total[lo]), (last - other)[lo:hi]) + np.arange(len(x))
+        link(np.minimum(who[x], who[y]), np.maximum(who[x], who[y]))
+        lo = hi
+    return label, seen
+
+
+def _edges(table: pa.Table) -> np.ndarray:
+    """Where each cell of rows sorted by cell begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in range(3):
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_cells(batches):
+    """Tables of whole cells, of ``CELL`` rows at most unless one cell has more, from rows that are sorted by cell."""
+
+    def cut(table: pa.Table, edge: np.ndarray):
+        lo = 0
+        while lo < len(edge) - 1:
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + CELL, "right")) - 1)
+            yield table.slice(edge[lo], edge[hi] - edge[lo]).combine_chunks()
+            lo = hi
+
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(pa.Table.from_batches([batch]))
+        if rest[0].slice(0, 1).select([0, 1, 2]).to_pylist() == rest[-1].slice(batch.num_rows - 1).select([0, 1, 2]).to_pylist():
+            continue  # still the same cell
+        table = pa.concat_tables(rest)
+        edge = _edges(table)
+        yield from cut(table, edge)
+        rest = [table.slice(edge[-1])]
+    if rest:
+        table = pa.concat_tables(rest)
+        yield from cut(table, np.append(_edges(table), table.num_rows))
+
+
+def linked_in_buckets(classes: DataFrame, texts: DataFrame, keys: Callable, banding: Banding) -> DataFrame:
+    """``id, component`` of all ``classes(id, bands)`` that link with any other, for short texts (``texts(id, text)``, an id may have many equal rows).
+
+    The texts of a bucket of several ids come together, and its members' full sets, made by ``keys``, are joined in place
+    (``prefix_components``), so no pair becomes a row; what leaves a bucket is one link for each member that has any. A
+    bucket of more than ``CELL`` members is compared block against block: no link is lost.
+    """
+    bucket = Window.partitionBy("band")
+    member = classes.select("id", F.explode("bands").alias("band"))
+    counted = member.select("band", "id", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"), F.count(F.lit(1)).over(bucket).alias("c"))
+    hits = stage(counted.filter("lo < hi").select("band", "id", F.ceil(F.col("c") / CELL).cast("int").alias("blocks")), "hits")
+    used = sieved(texts, ["id"], hits, ["id"]).dropDuplicates(["id"])
+    cells = (
+        hits.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
+        .join(used, "id").select("band", "lo", "hi", "id", "text")
+        .repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    )
+
+    def run(batches):
+        for table in _whole_cells(batches):
+            edge = _edges(table)
+            cell = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, table.num_rows)))
+            ids = table["id"].to_numpy()
+            data, offsets = buffers(table["text"].combine_chunks())
+            found = [(lo, keys(data, offsets, lo, hi)) for lo, hi in slices(offsets)]
+            member = np.concatenate([(k >> U64(52)).astype(np.int64) + lo for lo, k in found])
+            label, _ = prefix_components(cell, member, np.concatenate([k & VALUE for _, k in found]), banding)
+            some = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[some]]), pa.array(ids[some])], names=["a", "b"])
+        tidy()
+
+    return components(stage(cells.mapInArrow(run, "a long, b long").distinct(), "links"))
+
+
 #: Members that one copy of a head's text serves.
 MEMBERS = 1024
 
@@ -178,8 +333,6 @@ def sets_match(pairs: DataFrame, texts: DataFrame, keys: Callable, banding: Band
     num, den = U64(banding.num), U64(banding.den)
 
     def check(batches):
-        from .textkit import buffers, slices
-
         for batch in batches:
             da, oa = buffers(batch.column(2))
             db, ob = buffers(batch.column(3))
@@ -192,9 +345,9 @@ def sets_match(pairs: DataFrame, texts: DataFrame, keys: Callable, banding: Band
                 same = every[1:][every[1:] == every[:-1]]
                 inter = np.bincount((same >> U64(52)).astype(np.int64), minlength=hi - lo).astype(U64)
                 good[lo:hi] = (inter > 0) & (den * inter >= num * (size[0] + size[1] - inter))
-            yield batch.select([0, 1]).filter(__import__("pyarrow").array(good))
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     return both.mapInArrow(check, "a long, b long")
 
 
-__all__ = ["Banding", "distinct", "linked_components", "sets_match", "signatures", "signed"]
+__all__ = ["Banding", "distinct", "linked_components", "linked_in_buckets", "prefix_components", "sets_match", "signatures", "signed"]

@@ -8,7 +8,7 @@ with its neighbours: the ``WORDS`` words from its first on and those up to its l
 hash each, and a shared one takes all paragraphs that lie wholly in it. Lines and texts below ``WORDS`` words are exact keys
 as a whole. So every word lies in a candidate, and of a repeated passage of ``WORDS`` words that begins and ends with
 paragraphs every short paragraph is found. Band keys first travel packed, 6 bytes each, and only paragraphs with a key that another
-document shares become rows; colliding paragraphs are joined, verified by exact Jaccard, and grouped by connected
+document shares become rows; colliding paragraphs come together by bucket, are joined by exact Jaccard in place, and are grouped by connected
 components; exact keys only with their equals. Of a component, the document of least doc_id keeps its paragraphs, and all others lose them.
 
 Null and empty texts have no paragraph. Repeated rows of one doc_id are one document and don't remove each other. A null
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lsh import PLANES, Banding, band_keys, distinct, linked_components, minima, sets_match, signatures
+from .lsh import VALUE, Banding, band_keys, distinct, linked_in_buckets, minima
 from .near_dedup import shingle_keys
 from .repeats import _MAIL_SQL, LAST_ID, _mail, _mark_buckets, _ranges, _six, part_of, segmented
 from .shared import stage
@@ -83,7 +83,7 @@ class Paragraphs:
         parts = []
         for key in self.keys:
             at = seg_starts(key >> U64(52))
-            parts.append(band_keys(minima(key & U64((1 << 52) - 1), at, BANDING.rows * BANDING.bands), BANDING))
+            parts.append(band_keys(minima(key & VALUE, at, BANDING.rows * BANDING.bands), BANDING))
         return np.concatenate(parts) if parts else np.zeros((0, BANDING.bands), U64)
 
 
@@ -129,8 +129,8 @@ def _send(parts: int):
     return run
 
 
-SHARED = "seg long, doc_id long, text_hash binary, number int, last int, id long, n int, bands array<long>, " + ", ".join(f"{x} long" for x in PLANES) + ", text string"
-_NAMES = ["seg", "doc_id", "text_hash", "number", "last", "id", "n", "bands", *PLANES, "text"]
+SHARED = "seg long, doc_id long, text_hash binary, number int, last int, id long, bands array<long>, text string"
+_NAMES = ["seg", "doc_id", "text_hash", "number", "last", "id", "bands", "text"]
 
 
 def _hashes(p: Paragraphs, rows: np.ndarray) -> dict[int, bytes]:
@@ -139,7 +139,7 @@ def _hashes(p: Paragraphs, rows: np.ndarray) -> dict[int, bytes]:
 
 def _collect_shared(parts: int):
     def run(key, table, mail):
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * len(PLANES), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string()]
         p = Paragraphs(table) if table.num_rows else None
         if p is None or not len(p.row):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=_NAMES)
@@ -153,23 +153,15 @@ def _collect_shared(parts: int):
         equal = np.flatnonzero(shared[bands.size :])
         shared = shared[: bands.size].reshape(-1, BANDING.bands)
         pick = np.flatnonzero(shared.any(1))
-        size, first, planes, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros((0, len(PLANES)), U64)], 0
-        for k in p.keys:
-            _, sizes, hashes, _, plane = signatures(k, BANDING)
-            mine = pick[(pick >= at) & (pick < at + len(sizes))] - at
-            size.append(sizes[mine])
-            first.append(hashes[mine, 0])
-            planes.append(plane[mine])
-            at += len(sizes)
-        size, first, planes = np.concatenate(size), np.concatenate(first), np.concatenate(planes)
-        kept, long, none = shared[pick], p.long[pick], np.zeros(len(equal), np.int64)
+        first = np.concatenate([np.zeros(0, U64), *(np.add.reduceat(mix((k & VALUE) * LANE[40]), seg_starts(k >> U64(52))) for k in p.keys)])[pick]
+        kept, long = shared[pick], p.long[pick]
         head, tail = np.concatenate([long, p.first[equal]]), np.concatenate([long, p.last[equal]])
         digest = _hashes(p, p.row[head])
         texts = [p.data[a:b].tobytes().decode() for a, b in zip(p.start[long], p.end[long])] + [None] * len(equal)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate([kept.sum(1), none]))]).astype(np.int32)), pa.array(signed(bands[pick][kept])))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate([kept.sum(1), np.zeros(len(equal), np.int64)]))]).astype(np.int32)), pa.array(signed(bands[pick][kept])))
         cols = [
             np.full(len(head), key[0].as_py()), p.ids[p.row[head]], [digest[int(r)] for r in p.row[head]], p.number[head].astype(np.int32), p.number[tail].astype(np.int32),
-            signed(np.concatenate([first, p.exact[equal]])), np.concatenate([size, none]).astype(np.int32), lists, *(np.concatenate([signed(planes[:, k]), none]) for k in range(len(PLANES))), texts,
+            signed(np.concatenate([first, p.exact[equal]])), lists, texts,
         ]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], names=_NAMES)
 
@@ -185,8 +177,8 @@ def _apply(key, table, gone):
         return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
     p = Paragraphs(table)
     listed: dict[tuple, set] = {}
-    for r in gone.select(["doc_id", "text_hash", "number", "last"]).to_pylist():
-        listed.setdefault((r["doc_id"], r["text_hash"]), set()).update(range(r["number"], r["last"] + 1))
+    for i, h, first, last in zip(*(gone[c].to_pylist() for c in ("doc_id", "text_hash", "number", "last"))):
+        listed.setdefault((i, h), set()).update(range(first, last + 1))
     rows = []
     edge = np.searchsorted(p.row, np.arange(table.num_rows + 1))
     some = {i for i, _ in listed}
@@ -212,11 +204,14 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     texts, buckets, _ = segmented(docs)
     marked = stage(texts.groupBy("seg").applyInArrow(_send(buckets), _MAIL_SQL).repartition(buckets, "part").groupBy("part").applyInArrow(_mark_buckets, _MAIL_SQL), "bands")
     shared = stage(texts.groupBy("seg").cogroup(marked.groupBy("seg")).applyInArrow(_collect_shared(buckets), SHARED), "shared")
-    classes = stage(shared.filter("n > 0").select("id", "n", "bands", *PLANES).dropDuplicates(["id"]), "classes")
-    label = linked_components(classes, lambda pairs: sets_match(pairs, shared.filter("n > 0").select("id", "text"), _trigrams, BANDING, repeats=True), BANDING)
-    found = shared.select("seg", "doc_id", "text_hash", "number", "last", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    owner = found.groupBy("component").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("component", "owner")
-    gone = stage(found.join(owner, "component").filter("doc_id > owner").select("seg", "doc_id", "text_hash", "number", "last"), "gone")
+    near = shared.filter("text is not null")
+    classes = stage(near.select("id", "bands").dropDuplicates(["id"]), "classes")
+    label = linked_in_buckets(classes, near.select("id", "text"), _trigrams, BANDING)
+    spans = shared.groupBy("id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spans = stage(spans, "spans")
+    owner = spans.groupBy("component").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).filter("owner < last").select("component", "owner")
+    late = spans.join(owner, "component").select("id", "owner")
+    gone = stage(shared.join(late, "id").filter("doc_id > owner").select("seg", "doc_id", "text_hash", "number", "last"), "gone")
     return texts.groupBy("seg").cogroup(gone.groupBy("seg")).applyInArrow(_apply, OUT)
 
 
