@@ -3,36 +3,60 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns of ``documents``. The mix
 lists every document that is left with the words that are taken of it; rows with ``taken`` 0 are not in the mix.
+
+Each stage keeps its session's Arrow batches, which hold whole texts outside the heap of an executor, at ``BATCH_ROWS`` rows
+or what is set below that. The frames it returns run later, so the setting stays.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import decontaminate, mixing, near_dedup, pii, toxicity
 from threadloom.llm.shared import stage
 
+#: Rows that go to Python and come back at a time.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(function):
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+            spark.conf.set(setting, BATCH_ROWS)
+        return function(spark, docs, sf_dir)
+
+    return run
+
 
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer rejects go; it learns from the labels of the corpus at hand."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return near_dedup.without_near_duplicates(docs)
 
 
+@in_small_batches
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified overlap with any benchmark item go."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; no document goes."""
     return pii.without_personal_data(docs)
 
 
+@in_small_batches
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the weighted mix takes."""
     return mixing.mix_sources(docs)

@@ -682,6 +682,31 @@ def test_empty_tables(empty):
     assert secrets.secrets(empty).count() == 0
 
 
+def test_pipeline_stages_bound_their_batches(spark):
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    docs = spark.createDataFrame([(k, f"words of text {k}", "en", "web", 15) for k in range(5000)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        spark.conf.set(setting, 10_000)
+        corpus_pipeline.mix_to_weights(spark, docs, "")
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 5000 and max(found) <= 1024
+        spark.conf.set(setting, 100)
+        corpus_pipeline.mask_personal_data(spark, docs.limit(10), "")
+        assert spark.conf.get(setting) == "100"
+    finally:
+        spark.conf.set(setting, old)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from threadloom.llm.shared import stage
