@@ -120,6 +120,13 @@ def test_kmeans_tree_gives_every_cluster_starts(spark):
     assert [(r.topic_id, r.members) for r in topics.kmeans_tree(twins, 3, 2, 2).filter("level = 1").collect()] == [("t:0", 10)]
 
 
+def test_assign_ties_by_the_stated_digits(spark):
+    """Two centres at distances that differ in the eighth digit only: a tie at six digits, the nearer one at nine."""
+    c = spark.createDataFrame([("t:0.0", [1.00000002]), ("t:0.1", [-1.0])], "topic_id string, centroid array<double>")
+    v = spark.createDataFrame([(1, [0.0])], "id long, v array<double>")
+    assert [topics.assign(v, c, *d).first().topic_id for d in ((6,), ())] == ["t:0.0", "t:0.1"]
+
+
 def test_keywords_fall_back_to_any_word(spark):
     m = spark.createDataFrame([("t:0", 1, "42 the 7"), ("t:0", 2, "42 9"), ("t:1", 3, None)], "topic_id string, doc_id long, text string")
     got = topics.keywords(m.filter("doc_id <> 1"))

@@ -167,8 +167,8 @@ def lloyd_step(points: DataFrame, centers: DataFrame, dim: int = 64) -> DataFram
     return centroids(assign(points, centers).select("topic_id", "v"), dim=dim)
 
 
-def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """``<id>, v, topic_id, distance`` of the nearest centre. Centres are few by construction (k of them)."""
+def assign(points: DataFrame, centers: DataFrame, digits: int = 9) -> DataFrame:
+    """``<id>, v, topic_id, distance`` of the nearest centre; distances equal in ``digits`` are ties, which go to the smaller id. Centres are few by construction (k of them)."""
     items = leaf_items(centers)
     names, c = np.array([i for i, _ in items], object), np.array([v for _, v in items], np.float64)
     key = points.columns[0]
@@ -177,7 +177,7 @@ def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
         for batch in batches:
             m = matrix(batch.column(1))
             d = ((m[:, None, :] - c[None]) ** 2).sum(2) if len(m) else np.zeros((0, len(c)))
-            at = np.round(d, 9).argmin(1) if len(m) else np.zeros(0, int)
+            at = np.round(d, digits).argmin(1) if len(m) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[at], pa.string()), pa.array(d[np.arange(len(m)), at])], names=[key, "v", "topic_id", "distance"])
 
     return points.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, v array<double>, topic_id string, distance double")
