@@ -120,6 +120,14 @@ def test_kmeans_tree_gives_every_cluster_starts(spark):
     assert [(r.topic_id, r.members) for r in topics.kmeans_tree(twins, 3, 2, 2).filter("level = 1").collect()] == [("t:0", 10)]
 
 
+def test_kmeans_tree_starts_among_all_rows(spark):
+    """Far more rows than a sample of 20,000 had: the one row farthest out still starts a cluster, whatever its hash."""
+    near = spark.range(30_000).select("id", F.array(F.col("id") % 2 + 0.0, F.lit(0.0)).alias("v"))
+    for far in (30_001, 30_002, 30_003):
+        v = near.union(spark.createDataFrame([(far, [0.0, 50.0])], near.schema))
+        assert sorted(r.members for r in topics.kmeans_tree(v, 2, 1, 1, rounds=1).collect()) == [1, 30_000]
+
+
 def test_assign_ties_by_the_stated_digits(spark):
     """Two centres at distances that differ in the eighth digit only: a tie at six digits, the nearer one at nine."""
     c = spark.createDataFrame([("t:0.0", [1.00000002]), ("t:0.1", [-1.0])], "topic_id string, centroid array<double>")

@@ -183,18 +183,18 @@ def assign(points: DataFrame, centers: DataFrame, digits: int = 9) -> DataFrame:
     return points.mapInArrow(run, f"{key} {points.schema[key].dataType.simpleString()}, v array<double>, topic_id string, distance double")
 
 
-#: Rows of each cluster among which its starts are chosen, at least.
+#: Rows of each cluster among which its starts are chosen where a sample is asked for, at least.
 STARTS = 64
 
 
-def kmeans_tree(points: DataFrame, n_coarse: int = 5, n_fine: int = 3, max_depth: int = 3, min_cluster_size: int = 2, rounds: int = 8, sample: int = 20_000) -> DataFrame:
+def kmeans_tree(points: DataFrame, n_coarse: int = 5, n_fine: int = 3, max_depth: int = 3, min_cluster_size: int = 2, rounds: int = 8, sample: int | None = None) -> DataFrame:
     """``topic_id, level, parent_ids, centroid, members`` by splitting clusters level by level.
 
     A cluster of n rows splits into min(k, n) parts, k being ``n_coarse`` at the root and ``n_fine`` below, unless it is at
-    ``max_depth``, smaller than ``min_cluster_size``, or that gives fewer than 2. Starts are chosen by farthest-first on the rows of
-    smallest hash, about ``sample`` over a level and at least ``STARTS`` of every cluster (all where it has fewer). Rounds run over all
-    rows of all clusters of a level at once: a row only meets the centres below its own cluster. Empty children vanish.
-    Settings below 1 count as 1. Null and zero-length vectors are left out.
+    ``max_depth``, smaller than ``min_cluster_size``, or that gives fewer than 2. Starts are chosen by farthest-first on all rows, one
+    pass for each start; with ``sample`` on the rows of smallest hash, about that many over a level and at least ``STARTS`` of every
+    cluster (all where it has fewer). Rounds run over all rows of all clusters of a level at once: a row only meets the centres below
+    its own cluster. Children that are left empty vanish. Settings below 1 count as 1. Null and zero-length vectors are left out.
     """
     from ..sources.staging import stage
 
@@ -211,28 +211,22 @@ def kmeans_tree(points: DataFrame, n_coarse: int = 5, n_fine: int = 3, max_depth
         split = {a: min(k, n) for a, n in sizes.items() if n >= min_cluster_size and min(k, n) >= 2}
         if not split:
             break
-        total = sum(sizes[a] for a in split)
         # a share of hashes that gives each cluster what it needs, with room for chance; the smallest of these are taken
-        most = {a: max(min(n := sizes[a], max(STARTS, split[a])), n * sample // total) for a in split}
+        total = sum(sizes[a] for a in split)
+        most = {a: n if sample is None else max(min(n, max(STARTS, split[a])), n * sample // total) for a, n in sizes.items() if a in split}
         cut = spark.createDataFrame([(a, min(1.0, most[a] / sizes[a] + 4 * (most[a] ** 0.5 + 4) / sizes[a]), most[a]) for a in sorted(split)], "at string, share double, most long")
         part = state.join(F.broadcast(cut), "at")
-        spread = F.pmod(F.xxhash64(key, F.lit("start")), F.lit(1 << 30))
-        near = part.withColumn("h", spread).filter(F.col("h") <= F.col("share") * (1 << 30))
-        picked = near.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("h", key))).filter("nth <= most").select(key, "v", "at").orderBy(key).toArrow().to_pandas()
-        centers = {}
-        for a, rows in picked.groupby("at", sort=True):
-            m = np.stack([np.array(v) for v in rows["v"]])
-            chosen = [int(np.round(((m - m.mean(0)) ** 2).sum(1), 9).argmin())]
-            d = np.round(((m - m[chosen[0]]) ** 2).sum(1), 9)
-            while len(chosen) < min(split[a], len(m)) and d.max() > 0:
-                chosen.append(int(d.argmax()))
-                d = np.minimum(d, np.round(((m - m[chosen[-1]]) ** 2).sum(1), 9))
-            centers[a] = [(f"{a}.{j}" if a != "t:" else f"t:{j}", m[c].tolist()) for j, c in enumerate(chosen)]
+        among = part
+        if sample is not None:
+            spread = F.pmod(F.xxhash64(key, F.lit("start")), F.lit(1 << 30))
+            near = part.withColumn("h", spread).filter(F.col("h") <= F.col("share") * (1 << 30))
+            among = near.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("h", key))).filter("nth <= most")
+        centers = _starts(among.select(key, "v", "at"), split, dim)
         part = part.select(key, "v", "at")
         for _ in range(max(1, rounds)):
             moved = _split_assign(part, centers, key)
             mean = {r["topic_id"]: r["centroid"] for r in centroids(moved, dim=dim).collect()}
-            centers = {a: [(t, mean.get(t, v)) for t, v in items] for a, items in centers.items()}
+            centers = {a: [(t, mean[t]) for t, _ in items if t in mean] for a, items in centers.items()}
         state = stage(_split_assign(part, centers, key).select(key, "v", F.col("topic_id").alias("at")), "clusters")
         level = centroids(state.withColumnRenamed("at", "topic_id"), dim=dim)
         parent = F.array() if depth == 1 else F.array(F.regexp_replace("topic_id", r"\.[0-9]+$", ""))
@@ -242,6 +236,52 @@ def kmeans_tree(points: DataFrame, n_coarse: int = 5, n_fine: int = 3, max_depth
     return spark.createDataFrame(sorted(out, key=lambda r: r["topic_id"]), "topic_id string, level int, parent_ids array<string>, centroid array<double>, members long")
 
 
+def _starts(rows: DataFrame, split: dict[str, int], dim: int) -> dict[str, list[tuple[str, list[float]]]]:
+    """Centres of each cluster of ``rows(<id>, v, at)``: the row nearest to the mean, then again and again the row farthest from all so far, ties to the smaller id.
+
+    A pass sends one row for each task and cluster. A cluster whose rows all equal its centres takes no more.
+    """
+    key = rows.columns[0]
+    chosen = {r["topic_id"]: [r["centroid"]] for r in centroids(rows.withColumnRenamed("at", "topic_id"), dim=dim).collect()}
+    found: dict[str, list] = {a: [] for a in sorted(chosen)}
+    for nth in range(max(split.values())):
+        open_ = {a: np.array(c, np.float64) for a, c in chosen.items() if len(found[a]) == nth < split[a]}
+        if not open_:
+            break
+        shared = rows.sparkSession.sparkContext.broadcast(open_)
+
+        def run(batches, nth=nth, shared=shared):
+            best: dict = {}
+            for batch in batches:
+                m, ids, at = matrix(batch.column(1)), batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), object)
+                for a in set(at.tolist()) & set(shared.value):
+                    pick = np.flatnonzero(at == a)
+                    d = np.full(len(pick), np.inf)
+                    for c in shared.value[a]:
+                        d = np.minimum(d, np.round(((m[pick] - c) ** 2).sum(1), 9))
+                    d = d if nth == 0 else -d
+                    k = min(pick[d == d.min()], key=lambda i: ids[i])
+                    best[a] = min(best.get(a, (np.inf,)), (float(d.min()), ids[k], m[k].tolist()))
+            names = sorted(best)
+            cols = list(zip(*(best[a] for a in names))) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cols[0], pa.float64()), pa.array(cols[1], kind), pa.array(cols[2], pa.list_(pa.float64()))], names=["at", "d", key, "v"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(rows.schema[key].dataType)
+        best: dict = {}
+        for a, *row in rows.mapInArrow(run, f"at string, d double, {key} {rows.schema[key].dataType.simpleString()}, v array<double>").collect():
+            best[a] = min(best.get(a, (np.inf,)), tuple(row))
+        for a, (d, _, v) in best.items():
+            if nth == 0:
+                chosen[a] = []  # the mean was no centre
+            elif d == 0:
+                continue
+            found[a].append((f"{a}.{nth}" if a != "t:" else f"t:{nth}", v))
+            chosen[a].append(v)
+    return found
+
+
 def _split_assign(rows: DataFrame, centers: dict, key: str) -> DataFrame:
     """``<id>, v, topic_id``: the nearest of the centres below the row's cluster, one matrix product for each cluster of a batch; a cluster without centres stays whole."""
     shared = rows.sparkSession.sparkContext.broadcast({a: (np.array([t for t, _ in items], object), np.array([v for _, v in items], np.float64)) for a, items in centers.items()})
