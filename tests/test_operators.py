@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from threadloom.client import TopicGraph
 from threadloom.config import Settings
 from threadloom.functions.text import intent_of
-from threadloom.operators import chunking, graph, markov, navigation, retrieval, topics
+from threadloom.functions.vectors import cosine as vector_cosine
+from threadloom.operators import chunking, graph, markov, navigation, projection, retrieval, topics
+from threadloom.plans.registry import QUERIES
 from threadloom.schema import one_of
 from threadloom.sources import vectors
 from threadloom.sources.store import load_index
@@ -247,6 +249,46 @@ def test_diversity_and_scores(spark):
     assert rows(retrieval.path_scores(p), "node", "score") == [("a", 2.0), ("b", 1.0)]
 
 
+def _visited(spark):
+    """Queries of equal and of different visits, and 60 chunks of 12 documents whose links tie often."""
+    v = [(q, n, s) for q in range(9) for n, s in ((("a", 2.0), ("b", 1.0)), (("b", 3.0),), (("c", 1.0), ("a", 1.0), ("gone", 1.0)))[q % 3]]
+    links = [(t, c, float(1 + c * k % 4)) for c in range(60) for k, t in enumerate("abc") if (c + k) % 3]
+    return spark.createDataFrame(v, "query_id long, node string, score double"), spark.createDataFrame(links, "topic_id string, chunk_id long, weight double").repartition(5)
+
+
+def _near(df):
+    return sorted(tuple(round(x, 12) if isinstance(x, float) else tuple(x) if isinstance(x, list) else x for x in (r[c] for c in sorted(df.columns))) for r in df.collect())
+
+
+def test_projection_equals_the_joined_way(spark):
+    """Scores, mixes, first steps and selections made beside the chunks are those made of all pairs, whatever the batches."""
+    visits, links = _visited(spark)
+    vec = [(k, [math.sin(k + 1.0), math.cos(3.0 * k), 0.5]) for k in range(60)]
+    chunks = spark.createDataFrame([(k, k // 5 % 7, k % 5, k // 3, v) for k, v in vec], "chunk_id long, doc_id long, position int, structural_group long, v array<double>")
+    asked = spark.createDataFrame(vec[:9], "query_id long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        want = retrieval.project(visits, links).cache()
+        assert _near(projection.scores(visits, links)) == _near(want)
+        cosine = asked.crossJoin(chunks.select("chunk_id", "v")).select("query_id", "chunk_id", vector_cosine(F.col("v"), F.col("vector")).alias("cosine"))
+        for mapped in (True, False):
+            assert _near(projection.reranked(visits, links, chunks, asked, mapped=mapped)) == _near(retrieval.rerank(want, cosine, mapped=mapped))
+        for k in (3, 8):
+            assert _near(projection.topk(visits, links, k)) == _near(retrieval.select_topk(want, k))
+            assert _near(projection.diverse(visits, links, chunks, k)) == _near(retrieval.select_diverse(want, chunks, k))
+            assert _near(projection.windows(visits, links, chunks, k)) == _near(retrieval.select_windows(want, chunks, k))
+        walks = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, [])], "query_id long, path array<string>")
+        assert _near(projection.first_steps(walks, links)) == _near(retrieval.chunks_along_path(walks, links))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["explain_chunks_along_path"])
+def test_pairs_are_not_shuffled(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+
+
 def test_vector_table(spark, tmp_path):
     table = vectors.VectorTable(spark, str(tmp_path / "v"))
     table.upsert(spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y")], "chunk_id long, v array<double>, tag string"))

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 #: Vectors of a query set that a task holds at a time; larger sets are met in blocks.
 BLOCK = 4096
+#: Pairs that a task holds at a time, and pairs for which a stage gets a further task.
+ROWS, SPREAD = 1 << 17, 1 << 24
+
+
+def spread(pairs: int) -> int:
+    """Tasks for so many pairs."""
+    return min(10_000, max(1, -(-pairs // SPREAD)))
 
 
 def dot(a: Column, b: Column) -> Column:

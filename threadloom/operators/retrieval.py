@@ -94,12 +94,22 @@ def structural_neighbors(seeds: DataFrame, chunks: DataFrame, half_size: int = 2
 def select_windows(scores: DataFrame, chunks: DataFrame, top_k: int = 8, half_size: int = 2) -> DataFrame:
     """``query_id, rank, score, members``: the best max(3 top_k, 20) chunks widened to windows, equal windows once, scored by mean plus coherence."""
     seeds = select_topk(scores, max(3 * top_k, 20)).select("query_id", "chunk_id", "rank")
+    return ranked_windows(seeds, scores, chunks, top_k, half_size)
+
+
+def scored_windows(seeds: DataFrame, scores: DataFrame, chunks: DataFrame, half_size: int = 2) -> DataFrame:
+    """``query_id, chunk_id, rank, members, score``: the window of each of ``seeds(query_id, chunk_id, rank)``; ``scores`` hold at least those of the windows' chunks."""
     wide = structural_neighbors(seeds, chunks, half_size)
     own = wide.join(scores.select("query_id", F.col("chunk_id").alias("member_id"), "score"), ["query_id", "member_id"], "left")
-    windows = own.groupBy("query_id", "chunk_id", "rank").agg(
+    return own.groupBy("query_id", "chunk_id", "rank").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("m_doc").cast("string").alias("d"), F.col("m_pos").alias("p"), "member_id"))), lambda x: x["member_id"]).alias("members"),
         (F.avg(F.coalesce("score", F.lit(0.0))) + 0.1 * F.when(F.countDistinct("m_doc") > 1, 0.5).otherwise(1.0)).alias("score"),
     )
+
+
+def ranked_windows(seeds: DataFrame, scores: DataFrame, chunks: DataFrame, top_k: int = 8, half_size: int = 2) -> DataFrame:
+    """``query_id, rank, score, members`` of the best windows, equal ones once."""
+    windows = scored_windows(seeds, scores, chunks, half_size)
     once = windows.withColumn("key", F.array_sort("members")).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("rank"))).filter("n = 1")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("rank")))
     return once.select("query_id", order.alias("place"), F.col("score"), "members").filter(F.col("place") <= top_k).withColumnRenamed("place", "rank")
