@@ -283,7 +283,7 @@ def test_projection_equals_the_joined_way(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["explain_chunks_along_path", "rerank_hybrid", "rerank_backend"])
+@pytest.mark.parametrize("name", ["explain_chunks_along_path", "rerank_hybrid", "rerank_backend", "chunk_projection"])
 def test_pairs_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan

@@ -104,9 +104,9 @@ class Given:
         return visit_counts(self.walks(t))
 
     def scores(self, t: DataFrame) -> DataFrame:
-        from ..operators.retrieval import project
+        from ..operators.projection import scores
 
-        return project(self.visits(t), self.topic_chunk(t))
+        return scores(self.visits(t), self.topic_chunk(t))
 
     def query_cosines(self) -> DataFrame:
         """``query_id, chunk_id, cosine``: the stated query set against all chunks."""
