@@ -11,6 +11,7 @@ from threadloom.client import TopicGraph
 from threadloom.config import Settings
 from threadloom.functions.text import intent_of
 from threadloom.functions.vectors import cosine as vector_cosine
+from threadloom.functions.vectors import cosines
 from threadloom.operators import chunking, graph, markov, navigation, projection, retrieval, topics
 from threadloom.plans.registry import QUERIES
 from threadloom.schema import one_of
@@ -271,6 +272,7 @@ def test_projection_equals_the_joined_way(spark):
         want = retrieval.project(visits, links).cache()
         assert _near(projection.scores(visits, links)) == _near(want)
         cosine = asked.crossJoin(chunks.select("chunk_id", "v")).select("query_id", "chunk_id", vector_cosine(F.col("v"), F.col("vector")).alias("cosine"))
+        assert _near(cosines(chunks.select("chunk_id", "v"), asked)) == _near(cosine)
         for mapped in (True, False):
             assert _near(projection.reranked(visits, links, chunks, asked, mapped=mapped)) == _near(retrieval.rerank(want, cosine, mapped=mapped))
         for k in (3, 8):
@@ -283,7 +285,7 @@ def test_projection_equals_the_joined_way(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["explain_chunks_along_path", "rerank_hybrid", "rerank_backend", "chunk_projection"])
+@pytest.mark.parametrize("name", ["explain_chunks_along_path", "rerank_hybrid", "rerank_backend", "chunk_projection", "cosine_pairs"])
 def test_pairs_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan

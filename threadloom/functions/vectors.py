@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Vectors of a query set that a task holds at a time; larger sets are met in blocks.
 BLOCK = 4096
@@ -91,17 +92,29 @@ def top_rows(rows: DataFrame, queries: DataFrame, k: int, key_type: str = "long"
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def scores_to(rows: DataFrame, items: list[tuple[str, list[float]]]) -> DataFrame:
-    """``id, scores array<struct<item, cosine>>`` of each row against a few given vectors, in their order."""
-    names, u = [i for i, _ in items], unit(np.array([v for _, v in items], np.float64))
-    id_name = rows.columns[0]
-    kind = pa.struct([("item", pa.string()), ("cosine", pa.float64())])
+def cosines(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, <id>, cosine`` of every row with every query, made where the row is: rows are spread over tasks by the number of pairs, which leave a task in batches of about ``ROWS``."""
+    id_name, vector = rows.columns
+    key = queries.columns[0]
+    rows = rows.repartition(spread(rows.count() * queries.count()))
+    kind = queries.schema[key].dataType
+
+    def run(ids: pa.Array, m: np.ndarray):
+        u = unit(m)
+
+        def made(batches):
+            for batch in batches:
+                own = unit(matrix(batch.column(1)))
+                step = max(1, ROWS // max(1, len(own)))
+                for k in range(0, len(ids) if len(own) else 0, step):
+                    part = u[k : k + step]
+                    who, row = np.repeat(np.arange(k, k + len(part)), len(own)), np.tile(np.arange(len(own)), len(part))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), batch.column(0).take(pa.array(row)), pa.array((part @ own.T).ravel())], names=["query_id", id_name, "cosine"])
 
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            score = unit(matrix(batch.column(1))) @ u.T if n and len(names) else np.zeros((n, len(names)))
-            flat = pa.StructArray.from_arrays([pa.array(names * n, pa.string()), pa.array(score.ravel())], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(names), pa.int32()), flat)], names=[id_name, "scores"])
+        return made
 
-    return rows.mapInArrow(run, f"{id_name} {rows.schema[id_name].dataType.simpleString()}, scores array<struct<item: string, cosine: double>>")
+    found = None
+    for ids, m in query_blocks(queries):
+        one = rows.mapInArrow(run(pa.array(ids, to_arrow_type(kind)), m), f"query_id {kind.simpleString()}, {id_name} {rows.schema[id_name].dataType.simpleString()}, cosine double")
+        found = one if found is None else found.union(one)
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.vectors import scores_to
+from ..functions.vectors import cosines
 from ..operators import graph, navigation, topics
 from ..sources.staging import stage
 
@@ -110,9 +110,7 @@ class Given:
 
     def query_cosines(self) -> DataFrame:
         """``query_id, chunk_id, cosine``: the stated query set against all chunks."""
-        items = [(str(r["query_id"]), r["vector"]) for r in self.queries().select("query_id", "vector").orderBy("query_id").collect()]
-        s = scores_to(self.vectors().select(F.col("vec_id").alias("chunk_id"), "v"), items)
-        return s.select("chunk_id", F.explode("scores").alias("s")).select(F.col("s.item").cast("long").alias("query_id"), "chunk_id", F.col("s.cosine").alias("cosine"))
+        return cosines(self.vectors().select(F.col("vec_id").alias("chunk_id"), "v"), self.queries().select("query_id", "vector"))
 
     def sequences(self) -> DataFrame:
         """Events of a user in time; the day is the group."""
