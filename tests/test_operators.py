@@ -13,7 +13,7 @@ from threadloom.functions.text import intent_of
 from threadloom.functions.vectors import cosine as vector_cosine
 from threadloom.functions.vectors import cosines
 from threadloom.operators import chunking, graph, markov, navigation, projection, retrieval, topics
-from threadloom.plans.registry import QUERIES
+from threadloom.plans.registry import QUERIES, r6
 from threadloom.schema import one_of
 from threadloom.sources import vectors
 from threadloom.sources.store import load_index
@@ -301,6 +301,46 @@ def test_few_are_chosen_without_all_pairs(spark, monkeypatch, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
 
 
+def test_six_digits_of_a_rounded_number(spark):
+    """0.5047875 lies below its half as a double: SQL rounds it down."""
+    assert spark.createDataFrame([(0.504787500,), (-0.504787500,), (0.0000005,), (-0.0000001,), (None,)], "x double").select(r6("x").alias("x")).collect() == [(0.504787,), (-0.504787,), (0.000001,) if 0.0000005 * 1e6 >= 0.5 else (0.0,), (0.0,), (None,)]
+
+
+def test_nearest_rows_hold_few_pairs(spark):
+    """Many queries against a batch of many rows, with ties at the edge; a task's numpy memory stays far below one number for each pair of the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.functions import vectors as fv
+
+    class Rows:
+        columns = ["id", "v"]
+
+        def mapInArrow(self, run, kind):  # noqa: N802
+            self.run = run
+            raise StopIteration
+
+    m = np.random.default_rng(0).integers(-2, 3, (3000, 4)).astype(float)
+    q = spark.createDataFrame([(k, m[k].tolist()) for k in range(1500)], "query_id long, q array<double>")
+    rows = Rows()
+    with pytest.raises(StopIteration):
+        fv.top_rows(rows, q, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000, 0, -1)), pa.array(m.tolist())], names=["id", "v"])
+    tracemalloc.start()
+    got = {}
+    for b in rows.run([batch]):
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["cosine"], r["id"]))
+    assert tracemalloc.get_traced_memory()[1] < 3000 * 1500 * 8 * 2
+    tracemalloc.stop()
+    u = fv.unit(m)
+    for k in range(0, 1500, 100):
+        score = np.round(u @ u[k], 9)
+        assert sorted(got[k])[:3] == sorted(zip((-score).tolist(), range(3000, 0, -1)))[:3]
+
+
 def test_vector_table(spark, tmp_path):
     table = vectors.VectorTable(spark, str(tmp_path / "v"))
     table.upsert(spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "y")], "chunk_id long, v array<double>, tag string"))

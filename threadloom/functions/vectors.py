@@ -61,24 +61,42 @@ def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[list,
 def top_rows(rows: DataFrame, queries: DataFrame, k: int, key_type: str = "long", id_type: str = "long") -> DataFrame:
     """``query_id, id, cosine`` of the k rows nearest to each query (ties: smaller id), exact.
 
-    Each batch sends its own k best for each query, so what is shuffled depends on queries and batches, not on rows.
+    A task meets its rows ``ROWS`` pairs at a time and holds what may still be among the k best of each query; it sends those
+    once, at its end, so what is shuffled depends on queries and tasks, not on rows.
     """
     id_name, vector = rows.columns
 
     def nearest(ids: list, m: np.ndarray):
         u = unit(m)
 
+        def best(held: list, floor: np.ndarray) -> list:
+            q, own, score = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((own, -score, q))
+            q, own, score = q[order], own[order], score[order]
+            start = np.searchsorted(q, q)
+            nth = np.arange(len(q)) - start
+            floor[q[nth == k - 1]] = score[nth == k - 1]
+            return [(q[nth < k], own[nth < k], score[nth < k])]
+
         def run(batches):
+            held, floor, size = [], np.full(len(ids), -np.inf), 0
             for batch in batches:
-                own = batch.column(0).to_pylist()
-                if not own or not ids:
-                    continue
-                score = np.round(unit(matrix(batch.column(1))) @ u.T, 9)
-                order = np.argsort(np.array(own, object), kind="stable")
-                top = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
-                q = np.tile(np.arange(len(ids)), len(top))
-                r = top.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array([own[i] for i in r]), pa.array(score[r, q])], names=["query_id", "id", "cosine"])
+                own, v = np.array(batch.column(0).to_pylist()), unit(matrix(batch.column(1)))
+                step = max(1, ROWS // max(1, len(ids)))
+                for at in range(0, len(own) if ids else 0, step):
+                    score = v[at : at + step] @ u.T
+                    r, q = np.nonzero(score >= floor - 1e-8)
+                    score = np.round(score[r, q], 9)
+                    keep = score >= floor[q]
+                    held.append((q[keep], own[at + r[keep]], score[keep]))
+                    size += int(keep.sum())
+                    if size > 4 * ROWS + 2 * k * len(ids):
+                        held = best(held, floor)
+                        size = len(held[0][0])
+            for q, own, score in best(held, floor) if held else ():
+                for at in range(0, len(q), ROWS):
+                    part = slice(at, at + ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[part]]), pa.array(own[part].tolist()), pa.array(score[part])], names=["query_id", "id", "cosine"])
 
         return run
 
