@@ -146,6 +146,13 @@ def test_keywords_fall_back_to_any_word(spark):
     assert [(r.topic_id, r.term) for r in got.collect()] == [("t:0", "words")]
 
 
+@pytest.mark.parametrize("name", ["chunk_structure_aware"])
+def test_texts_are_split_once(spark, name):
+    """Tokens are made once for each text or section, however often they are used."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)\\s+") == 1
+
+
 def test_sections_of_equal_ids_and_marks(spark):
     docs = spark.createDataFrame([(1, "a\nb\n\nc"), (1, "d\x01\x02e\n1) f"), (2, None), (3, "")], "doc_id long, text string")
     assert rows(chunking.sections(docs), "doc_id", "section", "text") == [(1, 0, "a\nb"), (1, 0, "d\x01\x02e"), (1, 1, "1) f"), (1, 1, "c")]

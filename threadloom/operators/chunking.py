@@ -93,7 +93,8 @@ def structure_aware_chunks(docs: DataFrame, window_size: int = 200, overlap: int
         raise ValueError("window_size must be above 0 and overlap must not be negative")
     step = max(1, window_size - overlap)
     last = lambda t: F.ceil(F.greatest(F.size(t) - window_size, F.lit(0)) / step).cast("int")
-    windows = lambda part, k: F.when(F.size(tokens(part)) > 0, F.transform(F.sequence(F.lit(0), last(tokens(part))), lambda w: F.struct(k.alias("section"), F.array_join(F.slice(tokens(part), w * step + 1, window_size), " ").alias("text"))))
-    every = F.flatten(F.filter(F.transform(section_texts(F.col("text")), windows), lambda x: x.isNotNull()))
+    windows = lambda t, k: F.transform(F.sequence(F.lit(0), last(t)), lambda w: F.struct(k.alias("section"), F.array_join(F.slice(t, w * step + 1, window_size), " ").alias("text")))
+    split = F.transform(section_texts(F.col("text")), tokens)  # once a section: windows refer to the tokens by name
+    every = F.flatten(F.filter(F.transform(split, lambda t, k: F.when(F.size(t) > 0, windows(t, k))), lambda x: x.isNotNull()))
     rows = docs.select("doc_id", F.posexplode(every).alias("position", "w"))
     return rows.select("doc_id", "position", F.col("w.text").alias("text"), (F.col("doc_id") * 10000 + F.col("w.section")).cast("long").alias("structural_group"))
