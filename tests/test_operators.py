@@ -146,7 +146,7 @@ def test_keywords_fall_back_to_any_word(spark):
     assert [(r.topic_id, r.term) for r in got.collect()] == [("t:0", "words")]
 
 
-@pytest.mark.parametrize("name", ["chunk_structure_aware"])
+@pytest.mark.parametrize("name", ["chunk_structure_aware", "hash_embed"])
 def test_texts_are_split_once(spark, name):
     """Tokens are made once for each text or section, however often they are used."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +38,15 @@ def intent_of(text: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dim: int = 16) -> Column:
-    """Bag of lower-cased tokens: bucket and sign from md5, without length normalisation."""
-    code = F.transform(tokens(F.lower(text)), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long"))
-    bucket = F.transform(code, lambda h: F.struct((h % dim).alias("b"), F.when((h / dim).cast("long") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    total = lambda k: F.aggregate(bucket, F.lit(0.0), lambda acc, x: acc + F.when(x["b"] == k, x["s"]).otherwise(0.0))
-    return F.array(*map(total, range(dim)))
+    """Bag of lower-cased tokens: bucket and sign from md5, without length normalisation. Each distinct token of an Arrow batch is hashed once."""
+
+    @F.arrow_udf("array<double>")
+    def embedded(words: pa.Array) -> pa.Array:
+        own = words.flatten().dictionary_encode()
+        code = np.array([int(hashlib.md5(w.encode()).hexdigest()[:6], 16) for w in own.dictionary.to_pylist()], np.int64)
+        bucket, sign = code % dim, np.where(code // dim % 2 == 0, 1.0, -1.0)
+        at, row = np.asarray(own.indices), np.repeat(np.arange(len(words), dtype=np.int32), np.asarray(words.value_lengths()))
+        total = np.bincount(row * np.int64(dim) + bucket[at], sign[at], len(words) * dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(total))
+
+    return embedded(tokens(F.lower(text)))
