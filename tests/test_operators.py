@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,17 @@ def test_keywords_fall_back_to_any_word(spark):
     assert [(r.topic_id, r.term) for r in got.collect()] == [("t:0", "words")]
 
 
+def test_keywords_count_in_tasks_sized_by_bytes(spark, monkeypatch):
+    """Texts go to tasks by their bytes, not by the session's number of partitions; frequencies of one need no lookup, joined or broadcast."""
+    docs = spark.range(40).select(F.lit("t:0").alias("topic_id"), F.col("id").alias("doc_id"), F.concat(F.lit("same other "), F.repeat(F.lit("word "), F.col("id").cast("int")), F.lit("only"), F.chr(F.col("id") % 26 + 97)).alias("text"))
+    monkeypatch.setattr(topics, "TEXT", 200, raising=False)
+    got = topics.keywords(docs)
+    assert "REPARTITION_BY_NUM" in (plan := got._jdf.queryExecution().executedPlan().toString()) and int(re.search(r"hashpartitioning\(doc_id[^)]*, (\d+)\), REPARTITION_BY_NUM", plan)[1]) > 10
+    want = rows(got, "topic_id", "term", "score", "rank")
+    monkeypatch.setattr(topics, "TERMS", 0)
+    assert rows(topics.keywords(docs), "topic_id", "term", "score", "rank") == want
+
+
 @pytest.mark.parametrize("name", ["chunk_structure_aware", "hash_embed"])
 def test_texts_are_split_once(spark, name):
     """Tokens are made once for each text or section, however often they are used."""

@@ -352,31 +352,38 @@ def keyword_members(rows: DataFrame, topics: DataFrame) -> DataFrame:
 STOP = "a about after all also am an and any are as at be because been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on or our out she so some such than that the their them then there these they this to up us was we were what when which who will with would you your"
 
 
-#: Distinct terms up to which document frequencies are broadcast.
-TERMS = 500_000
+#: Terms of several documents up to which document frequencies are broadcast, and bytes of text that a task counts.
+TERMS, TEXT = 500_000, 16 << 20
 
 
 def keywords(members: DataFrame, top_k: int = 10, pattern: str = "[a-zA-Z]{2,}", stop: str = STOP) -> DataFrame:
     """``topic_id, term, score, rank`` from ``members(topic_id, doc_id, text)``: the best summed TF-IDF.
 
     idf = ln((1 + n) / (1 + df)) + 1 over distinct documents, rows of unit length; terms of score 0 don't occur. Where the
-    pattern finds no term at all, words of any kind count, stop words too. Texts move once, by document: counts, weights and
-    norms of a document are made in place.
+    pattern finds no term at all, words of any kind count, stop words too. Texts move once for each use, by document, into tasks
+    sized by their bytes: counts, weights and norms of a document are made in place. Terms of one document need no lookup.
     """
-    docs = members.select("doc_id", "text").dropDuplicates(["doc_id"])
-    n = docs.count()
+    n, size = members.agg(F.countDistinct("doc_id"), F.sum(F.octet_length("text"))).first()
+    n += members.filter("doc_id is null").limit(1).count()
+    docs = members.select("doc_id", "text").repartition(max(1, -(-(size or 0) // TEXT)), "doc_id").dropDuplicates(["doc_id"])
 
     def counted(pattern: str, stop: list[str]) -> DataFrame:
-        words = docs.repartition("doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop) if stop else F.lit(True))
+        words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term")).filter(~F.col("term").isin(stop) if stop else F.lit(True))
         return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
+    def shared(tf: DataFrame) -> tuple[DataFrame, int, int]:
+        df = stage(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+        return df.filter("df > 1"), *df.agg(F.count(F.lit(1)), F.count_if(F.col("df") > 1)).first()
+
+    from ..sources.staging import stage
+
     tf = counted(pattern, stop.split())
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if not (terms := df.count()):
+    df, terms, common = shared(tf)
+    if not terms:
         tf = counted(r"(?U)\w+", [])
-        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        terms = df.count()
-    raw = tf.join(F.broadcast(df) if terms <= TERMS else df, "term").withColumn("w", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1))
+        df, _, common = shared(tf)
+    known = tf.join(F.broadcast(df) if common <= TERMS else df, "term", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    raw = known.withColumn("w", F.col("tf") * (F.ln((1.0 + n) / (1.0 + F.col("df"))) + 1))
     weight = raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))))
     score = weight.join(members.select("topic_id", "doc_id").distinct(), "doc_id").groupBy("topic_id", "term").agg(F.round(F.sum("w"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.col("score").desc(), "term"))
