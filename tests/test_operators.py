@@ -310,6 +310,19 @@ def test_pairs_are_not_shuffled(spark, name):
     assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
 
 
+def test_cosine_pairs_leave_in_small_batches(spark, monkeypatch):
+    """A batch of 60,000 rows against five queries: what leaves the task at a time is about 131,072 pairs, not all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, kind: made.append(run) or spark.createDataFrame([], kind))
+    QUERIES["cosine_pairs"](spark, "/root/testdata/sf0.001")
+    v = np.random.default_rng(0).normal(size=(60_000, 64))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(60_000)), pa.ListArray.from_arrays(pa.array(np.arange(60_001) * 64, pa.int32()), pa.array(v.ravel()))], names=["chunk_id", "v"])
+    assert max(b.nbytes for b in made[0]([batch])) <= 24 << 17
+
+
 @pytest.mark.parametrize("name", ["window_score", "select_windows", "flagship", "select_diverse", "select_topk"])
 def test_few_are_chosen_without_all_pairs(spark, monkeypatch, name):
     """No score of a query and chunk becomes a row but of what may be chosen."""
